@@ -1,5 +1,5 @@
 """Registered queries: every operator run on the given tables."""
 from .registry import ORACLES, QUERIES
-from . import access, selection  # noqa: F401
+from . import access, categories, concat, merging, reshape, selection, sources, streams, updates, validation  # noqa: F401
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..model import Graph, LabeledMatrix, Matrix, Vectors, axis_table
 from ..operators.build import create
 
-QTY = F.sum("l_quantity")
-
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -18,7 +16,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def orders_by_part(spark: SparkSession, sf: str) -> LabeledMatrix:
     """Orders × parts: quantity, with price and line-count layers."""
     cells = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("obs_key"), F.col("l_partkey").alias("var_key")).agg(
-        QTY.alias("value"), F.round(F.sum("l_extendedprice"), 2).alias("price"), F.count(F.lit(1)).cast("double").alias("lines")
+        F.sum("l_quantity").alias("value"), F.round(F.sum("l_extendedprice"), 2).alias("price"), F.count(F.lit(1)).cast("double").alias("lines")
     )
     layer = lambda c: cells.select("obs_key", "var_key", F.col(c).alias("value"))
     return create(
@@ -42,7 +40,7 @@ def brand_axis(spark: SparkSession, sf: str) -> DataFrame:
 def customers_by_brand(spark: SparkSession, sf: str, *, graph: bool = False) -> LabeledMatrix:
     """Customers × brands: quantity and line-count layer; optionally the trade graph."""
     bought = purchases(spark, sf).groupBy(F.col("o_custkey").alias("obs_key"), F.col("p_brand").alias("var_name")).agg(
-        QTY.alias("value"), F.count(F.lit(1)).cast("double").alias("lines")
+        F.sum("l_quantity").alias("value"), F.count(F.lit(1)).cast("double").alias("lines")
     )
     lm = create(
         bought.select("obs_key", "var_name", "value"),
@@ -57,7 +55,7 @@ def trade_graph(spark: SparkSession, sf: str) -> Graph:
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     edges = lines.join(orders, "l_orderkey").groupBy(F.col("o_custkey").alias("i_key"), F.col("l_suppkey").alias("j_key"))
-    return Graph(edges.agg(QTY.alias("value")))
+    return Graph(edges.agg(F.sum("l_quantity").alias("value")))
 
 
 def users_by_event(spark: SparkSession, sf: str) -> LabeledMatrix:
@@ -100,7 +98,7 @@ def shops(spark: SparkSession, sf: str, *, graph: bool = False) -> list[LabeledM
     """Three customers × part-names matrices whose variables overlap but differ."""
     named = [s for seg in SEGMENTS if seg for s in seg]
     bought = purchases(spark, sf).groupBy(F.col("o_custkey").alias("obs_key"), F.col("p_name").alias("var_name")).agg(
-        QTY.alias("value"), F.count(F.lit(1)).cast("double").alias("lines")
+        F.sum("l_quantity").alias("value"), F.count(F.lit(1)).cast("double").alias("lines")
     )
     part, customer = table(spark, sf, "part"), table(spark, sf, "customer")
     trade = trade_graph(spark, sf).edges if graph else None
