@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import categories as C
 from ..operators import nested
+from ..plans.local import small_table
 from .registry import query
 from .tables import documents_by_lang, orders_by_part, table
 
@@ -59,7 +60,7 @@ def decode_categories(spark, sf):
     from ..model import Categories
     docs = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
     coded = docs.select(F.col("doc_id").alias("key"), F.coalesce("quality", F.lit(-1)).alias("q"))
-    names = spark.createDataFrame([(0, "bad"), (1, "good")], "code int, category string")
+    names = small_table(spark, [(0, "bad"), (1, "good")], "code int, category string")
     return C.decode_categories(coded, "q", Categories(names))
 
 

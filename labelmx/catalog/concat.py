@@ -9,6 +9,7 @@ from ..operators.concat import align, concat, concatenate
 from ..operators.merge import all_keys, shared_keys
 from ..operators.reshape import densify
 from ..operators.update import snapshot_raw
+from ..plans.local import small_table
 from .registry import query
 from .tables import embedded, named_cells, orders_by_part, shops
 
@@ -201,10 +202,10 @@ def merge_outer_suffix(spark, sf):
 @query("shared_keys", "SELECT unnest(['c_acctbal', 'c_mktsegment']) AS col, unnest([0, 1]) AS pos FROM region WHERE r_regionkey = 0")
 def shared_keys_query(spark, sf):
     """Annotation columns of every input, in first-seen order."""
-    return spark.createDataFrame(list(enumerate(shared_keys([annotation(lm.obs) for lm in shops(spark, sf)]))), "pos int, col string")
+    return small_table(spark, list(enumerate(shared_keys([annotation(lm.obs) for lm in shops(spark, sf)]))), "pos int, col string")
 
 
 @query("all_keys", "SELECT unnest(['c_nationkey', 'c_acctbal', 'c_mktsegment', 'nation']) AS col, unnest([0, 1, 2, 3]) AS pos FROM region WHERE r_regionkey = 0")
 def all_keys_query(spark, sf):
     """Annotation columns of any input, in first-seen order."""
-    return spark.createDataFrame(list(enumerate(all_keys([annotation(lm.obs) for lm in shops(spark, sf)]))), "pos int, col string")
+    return small_table(spark, list(enumerate(all_keys([annotation(lm.obs) for lm in shops(spark, sf)]))), "pos int, col string")

@@ -12,6 +12,7 @@ from ..model import Graph, Vectors
 from ..operators import nested
 from ..operators.concat import concat
 from ..operators.merge import differing_vectors
+from ..plans.local import small_table
 from .registry import query
 from .tables import shops, table
 
@@ -109,7 +110,7 @@ def element_equal(spark, sf):
         "narrow": [Vectors(e, 64), Vectors(e.select("key", F.slice("vec", 1, 8).alias("vec")), 8)],
     }
     bad = differing_vectors(pairs)
-    return spark.createDataFrame([(k, k in bad) for k in pairs], "element string, differs boolean")
+    return small_table(spark, [(k, k in bad) for k in pairs], "element string, differs boolean")
 
 
 def _notes(spark, sf):

@@ -8,6 +8,7 @@ from ..model import Graph, Vectors
 from ..operators import nested
 from ..operators.reshape import pack_dense
 from ..plans.durable import new_path
+from ..plans.local import small_table
 from ..plans.ranks import ranked
 from ..sources import bundle as B
 from ..sources import text as T
@@ -103,7 +104,7 @@ def _text_of(lm, sep: str, *, header: str | None, names: bool):
     lines = rows.select("at", (F.concat_ws(sep, "name", numbers) if names else numbers).alias("value"))
     if header is None:
         return lines
-    return lm.spark.createDataFrame([(-1, header)], "at bigint, value string").unionByName(lines)
+    return small_table(lm.spark, [(-1, header)], "at bigint, value string").unionByName(lines)
 
 
 def _write_lines(lines, stem: str, **options) -> str:
@@ -140,13 +141,13 @@ def read_text_compressed(spark, sf):
     return named_cells(T.read_text(spark, _write_lines(lines, "gz", compression="gzip"), "\t", dtype="double"))
 
 
-@query("read_umi_counts", """SELECT CAST(l_orderkey AS VARCHAR) AS obs_name, CAST(l_partkey AS VARCHAR) AS var_name, CAST(max_by(l_quantity, l_linenumber) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2""")
+@query("read_umi_counts", """SELECT CAST(l_orderkey AS VARCHAR) AS obs_name, CAST(l_partkey AS VARCHAR) AS var_name, CAST(max_by(l_quantity, l_linenumber * 1000 + l_quantity) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2""")
 def read_umi_counts(spark, sf):
     """A gzipped gene / cell / count table in which the last repeated pair counts."""
     lines = table(spark, sf, "lineitem")
-    at = F.col("l_orderkey") * 1000 + F.col("l_linenumber")
+    at = (F.col("l_orderkey") * 1000 + F.col("l_linenumber")) * 1000 + F.col("l_quantity").cast("bigint")
     text = lines.select(at.alias("at"), F.concat_ws("\t", "l_partkey", "l_orderkey", F.col("l_quantity").cast("bigint")).alias("value"))
-    text = spark.createDataFrame([(-1, "gene\tcell\tcount")], "at bigint, value string").unionByName(text)
+    text = small_table(spark, [(-1, "gene\tcell\tcount")], "at bigint, value string").unionByName(text)
     return named_cells(T.read_umi_counts(spark, _write_lines(text, "umi", compression="gzip"), dtype="double"))
 
 
@@ -160,7 +161,7 @@ def read_mtx(spark, sf):
     n_obs, n_vars = lm.shape
     body = cells.select(F.lit(1).cast("bigint").alias("at"), F.concat_ws(" ", F.col("obs_pos") + 1, F.col("var_pos") + 1, "value").alias("value"))
     head = [(-2, "%%MatrixMarket matrix coordinate real general"), (-1, "% orders by parts"), (0, f"{n_obs} {n_vars} {cells.count()}")]
-    path = _write_lines(spark.createDataFrame(head, "at bigint, value string").unionByName(body), "mtx")
+    path = _write_lines(small_table(spark, head, "at bigint, value string").unionByName(body), "mtx")
     return named_cells(T.read_mtx(spark, path, dtype="double"))
 
 

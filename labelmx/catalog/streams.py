@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..model import Matrix, LabeledMatrix, axis_table
 from ..operators.build import create
 from ..plans.durable import new_path
+from ..plans.local import small_table
 from ..sources.bundle import read_bundle, write_bundle
 from ..streaming import append_stream as run_append
 from ..streaming import chunk_stream as run_chunks
@@ -49,7 +50,7 @@ def chunk_stream(spark, sf):
     """Bounded row chunks of every micro-batch reduced by a user function."""
     events, stream = _events(spark, sf)
     kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]
-    var = axis_table(spark.createDataFrame(list(enumerate(kinds)), "key bigint, n string"), key="key", name="n")
+    var = axis_table(small_table(spark, list(enumerate(kinds)), "key bigint, n string"), key="key", name="n")
 
     def totals(values, start, end, var_start):
         import pandas as pd

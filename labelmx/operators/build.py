@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import LabeledMatrix, Matrix, Raw, Table, Vectors, axis_table
+from ..plans.local import small_table
 from ..plans.ranks import ranked
 
 
@@ -108,7 +109,7 @@ def from_wide(
     kind = _common_numeric(df, cols)
     rows = ranked(df, order or name, "key")
     obs = rows.select("key", F.col("key").alias("ord"), F.col(name).cast("string").alias("name"))
-    var = spark.createDataFrame([(i, i, c) for i, c in enumerate(cols)], "key bigint, ord bigint, name string")
+    var = small_table(spark, [(i, i, c) for i, c in enumerate(cols)], "key bigint, ord bigint, name string")
     # one pass over the rows: unfold each row's values with their column number
     values = F.array(*[F.col(c).cast(kind) for c in cols])
     cells = rows.select(F.col("key").alias("obs_key"), F.posexplode(values).alias("var_key", "value"))

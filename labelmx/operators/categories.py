@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import natural_key
 from ..model import Categories, LabeledMatrix, annotation, is_text
+from ..plans.local import small_table
 from ..plans.ranks import ranked
 
 
@@ -70,7 +71,7 @@ def set_palette(lm: LabeledMatrix, axis: str, column: str, colors: Sequence[str]
     """Attach a colour per category; one text stands for a palette of one."""
     held = getattr(lm, f"{axis}_categories")
     colors = [colors] if isinstance(colors, str) else list(colors)
-    palette = lm.spark.createDataFrame(list(enumerate(colors)), "code int, color string")
+    palette = small_table(lm.spark, list(enumerate(colors)), "code int, color string")
     old = held[column]
     return lm.replace(**{f"{axis}_categories": {**held, column: Categories(old.table, old.ordered, palette)}})
 
@@ -87,7 +88,7 @@ def rename_categories(lm: LabeledMatrix, axis: str, column: str, categories: Seq
     n = old.table.count()
     if n != len(new):
         raise ValueError(f"{len(new)} new categories given for {n}")
-    given = lm.spark.createDataFrame(list(enumerate(new)), "code int, _new string")
+    given = small_table(lm.spark, list(enumerate(new)), "code int, _new string")
     pairs = old.table.join(F.broadcast(given), "code")  # the caller's list, one row per category
     table = lm.axis(axis)
     lookup = pairs.select(F.col("category").alias(column), "_new")

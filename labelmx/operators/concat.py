@@ -21,6 +21,7 @@ from ..functions.arrays import fit
 from ..functions.text import suffixed
 from ..model import Categories, Graph, LabeledMatrix, Matrix, Raw, Table, Vectors, annotation
 from ..plans.blocks import key_blocks, spread
+from ..plans.local import small_table
 from ..plans.ranks import ranked
 from . import nested
 from .merge import all_keys, attach_columns, decide, differing_columns, differing_vectors, merge_columns, merge_outer_suffix, shared_keys
@@ -395,7 +396,7 @@ def concat(
     obs = stack_annotation([lm.obs for lm in lms], shifts, keys, join, label, index_unique)
     dictionaries = _shared_dictionaries(lms, annotation(obs))
     if label is not None:
-        codes = lms[0].spark.createDataFrame(list(enumerate(keys)), "code int, category string")
+        codes = small_table(lms[0].spark, list(enumerate(keys)), "code int, category string")
         dictionaries[label] = Categories(codes)
     return LabeledMatrix(
         obs=obs,

@@ -13,6 +13,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.local import small_table
+
 SCHEMA = "path array<string>, value string"
 STRATEGIES = ("same", "unique", "first", "only")
 
@@ -25,7 +27,7 @@ def from_dict(spark: SparkSession, tree: Mapping) -> DataFrame:
                 yield from leaves(v, (*path, str(k)))
             elif v is not None:
                 yield list((*path, str(k))), json.dumps(v, default=str)
-    return spark.createDataFrame(list(leaves(tree, ())), SCHEMA)
+    return small_table(spark, list(leaves(tree, ())), SCHEMA)
 
 
 def to_dict(table: DataFrame | None) -> dict:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import Categories, Graph, LabeledMatrix, Matrix, Raw, Table, Vectors, is_text
+from ..plans.local import small_table
 from ..plans.ranks import ranked
 
 
@@ -155,10 +156,10 @@ def resolve(lm: LabeledMatrix, axis: str, index) -> Selection | None:
         items = list(items[0])  # a (1, n) mask
     spark = lm.spark
     if items and all(isinstance(x, str) for x in items):
-        return by_labels(table, spark.createDataFrame(list(zip(items, range(len(items)))), "name string, new_key bigint"))
+        return by_labels(table, small_table(spark, list(zip(items, range(len(items)))), "name string, new_key bigint"))
     if items and all(isinstance(x, bool) for x in items):
-        return by_mask(lm, axis, spark.createDataFrame(list(enumerate(items)), "pos bigint, keep boolean"))
-    listed = spark.createDataFrame([(int(x), i) for i, x in enumerate(items)], "pos bigint, new_key bigint")
+        return by_mask(lm, axis, small_table(spark, list(enumerate(items)), "pos bigint, keep boolean"))
+    listed = small_table(spark, [(int(x), i) for i, x in enumerate(items)], "pos bigint, new_key bigint")
     return by_positions(lm.positions(axis), listed, table.count())
 
 

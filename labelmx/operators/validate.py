@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import Graph, LabeledMatrix, Matrix, Table, Vectors
+from ..plans.local import small_table
 
 _REPORT = "slot string, element string, problem string, n bigint"
 
@@ -55,7 +56,7 @@ def _problems(lm: LabeledMatrix, slot: str, key: str, el) -> DataFrame:
 def validate_alignment(lm: LabeledMatrix) -> DataFrame:
     """Every element's misaligned keys: ``(slot, element, problem, n)``; empty when aligned."""
     reports = [_problems(lm, *e) for e in elements(lm)]
-    return reduce(DataFrame.unionByName, reports) if reports else lm.spark.createDataFrame([], _REPORT)
+    return reduce(DataFrame.unionByName, reports) if reports else small_table(lm.spark, [], _REPORT)
 
 
 def check_element(lm: LabeledMatrix, slot: str, key: str, el) -> None:

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from ..model import Categories, Graph, LabeledMatrix, Matrix, Raw, Table, Vectors, annotation
 from ..operators.categories import strings_to_categories as make_categories
 from ..operators.reshape import densify
+from ..plans.local import small_table
 from ..plans.ranks import ranked
 
 FORMAT_VERSION = 1
@@ -47,24 +48,30 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
 
 def _commit(spark: SparkSession, path: str, manifest: dict) -> None:
     body = json.dumps(manifest)
-    spark.createDataFrame([(manifest["commit"], body)], "commit bigint, body string").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    small_table(spark, [(manifest["commit"], body)], "commit bigint, body string").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
 
 # -- segments ----------------------------------------------------------------------
 
 
+# The codec's names of the levels 0 … 9.
+_ZLIB_LEVELS = (
+    "NO_COMPRESSION", "BEST_SPEED", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "BEST_COMPRESSION",
+)
+
+
 class _Writer:
     """Writes tables of one attempt under names no other attempt uses."""
 
     def __init__(self, path: str, compression: str, level: int | None = None):
-        self.path, self.compression, self.level = path, compression, level
+        self.path, self.compression, self.level = path, compression, None if level is None else min(level, 9)
         self.attempt = uuid.uuid4().hex[:12]
 
     def table(self, df: DataFrame, slot: str, partition_by: Sequence[str] = ()) -> dict:
         segment = f"{slot}/seg-{self.attempt}"
         out = df.write.option("compression", self.compression)
         if self.level is not None:
-            out = out.option("parquet.compression.codec.zstd.level", self.level).option("zlib.compress.level", self.level)
+            out = out.option("parquet.compression.codec.zstd.level", self.level).option("zlib.compress.level", _ZLIB_LEVELS[self.level])
         if partition_by:
             out = out.partitionBy(*partition_by)
         out.parquet(f"{self.path}/{segment}")

@@ -34,7 +34,8 @@ def write_csvs(lm: LabeledMatrix, path: str, *, skip_data: bool = True, sep: str
     for axis in ("obs", "var"):
         table = lm.axis(axis)
         put(table.orderBy("ord").drop("key", "ord"), axis)
-        put(_vectors_in_order(lm, axis), f"{axis}m")
+        if getattr(lm, f"{axis}m"):
+            put(_vectors_in_order(lm, axis), f"{axis}m")
     if not skip_data:
         x_lines(lm, sep).orderBy("ord").select("value").write.mode("overwrite").text(f"{path}/X.csv")
     if graphs_in_uns:

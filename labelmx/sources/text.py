@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import unquote
 from ..model import LabeledMatrix, Matrix, axis_table
 from ..operators.reshape import densify
+from ..plans.local import small_table
 from ..plans.ranks import ranked, sort_text
 
 
@@ -145,7 +146,7 @@ def read_text(
     )
     name = unquote(F.col("t")[0]) if named else F.col("key").cast("string")
     obs = parts.select("key", F.col("key").alias("ord"), name.alias("name"))
-    var = spark.createDataFrame([(i, i, n) for i, n in enumerate(names)], "key bigint, ord bigint, name string")
+    var = small_table(spark, [(i, i, n) for i, n in enumerate(names)], "key bigint, ord bigint, name string")
     cells = parts.select(F.col("key").alias("obs_key"), F.posexplode(checked).alias("v", "token")).select(
         "obs_key", F.col("v").cast("bigint").alias("var_key"), F.trim("token").cast(dtype).alias("value")
     )
