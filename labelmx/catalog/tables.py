@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..model import Graph, LabeledMatrix, Matrix, Vectors, axis_table
 from ..operators.build import create
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; its schema is read from the files once per name."""
+    path = f"{sf}/{name}.parquet"
+    if name not in _SCHEMAS:
+        _SCHEMAS[name] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[name]).parquet(path)
 
 
 def orders_by_part(spark: SparkSession, sf: str) -> LabeledMatrix:

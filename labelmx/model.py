@@ -120,12 +120,15 @@ class LabeledMatrix:
     def is_dense_axis(self, axis: str) -> bool:
         return self.obs_dense if axis == "obs" else self.var_dense
 
-    def positions(self, axis: str) -> DataFrame:
-        """Axis table with ``pos`` = 0 … n-1; free when the order is dense."""
+    def positions(self, axis: str, n: int | None = None) -> DataFrame:
+        """Axis table with ``pos`` = 0 … n-1; free when the order is dense.
+
+        Pass ``n`` if the axis has been counted already.
+        """
         table = self.axis(axis)
         if self.is_dense_axis(axis):
             return table.withColumn("pos", F.col("ord"))
-        return ranked(table, "ord", "pos")
+        return ranked(table, "ord", "pos", n_rows=n)
 
     @property
     def shape(self) -> tuple[int, int]:

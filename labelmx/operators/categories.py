@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import natural_key
 from ..model import Categories, LabeledMatrix, annotation, is_text
+from ..plans.durable import stored
 from ..plans.local import small_table
 from ..plans.ranks import ranked
 
@@ -21,15 +22,13 @@ def dictionary(table: DataFrame, column: str, *, ordered: bool = False) -> Categ
     return Categories(coded.select(F.col("code").cast("int").alias("code"), "category"), ordered)
 
 
-def category_counts(table: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``(column, n_categories, n_rows)`` for text columns, in one aggregation.
+def category_values(table: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(column, value, n)`` of several text columns, in one aggregation.
 
-    Values collapse map-side per (column, value), so a value held by most rows
-    costs one row per task.
+    Values collapse map-side, so a value held by most rows costs one row per task.
     """
     pairs = table.select(*cols).unpivot([], list(cols), "column", "value")
-    values = pairs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    return values.groupBy("column").agg(F.count("value").alias("n_categories"), F.sum("n").alias("n_rows"))
+    return pairs.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def strings_to_categories(lm: LabeledMatrix, axes: Sequence[str] = ("obs", "var")) -> LabeledMatrix:
@@ -40,8 +39,15 @@ def strings_to_categories(lm: LabeledMatrix, axes: Sequence[str] = ("obs", "var"
         cols = [c for c in annotation(table) if is_text(table, c) and c not in held]
         if not cols:
             continue
-        counts = category_counts(table, cols).where("n_categories < n_rows").select("column").collect()
-        made = {r.column: dictionary(table, r.column) for r in sorted(counts)}
+        values = stored(category_values(table, cols), "values")  # one pass over the axis
+        counts = values.groupBy("column").agg(F.count("value").alias("n_categories"), F.sum("n").alias("n_rows")).collect()
+        few = {r.column: r.n_categories for r in counts if r.n_categories < r.n_rows}
+        named = values.where("value IS NOT NULL").select("column", F.col("value").alias("category"))
+        made = {}
+        for c in (c for c in cols if c in few):
+            nat = named.where(F.col("column") == c).withColumn("_nat", natural_key(F.col("category")))
+            coded = ranked(nat, "_nat", "code", n_rows=few[c])
+            made[c] = Categories(coded.select(F.col("code").cast("int").alias("code"), "category"))
         lm = lm.replace(**{f"{axis}_categories": {**held, **made}})
     return lm
 

@@ -21,6 +21,7 @@ from ..functions.arrays import fit
 from ..functions.text import suffixed
 from ..model import Categories, Graph, LabeledMatrix, Matrix, Raw, Table, Vectors, annotation
 from ..plans.blocks import key_blocks, spread
+from ..plans.durable import stored
 from ..plans.local import small_table
 from ..plans.ranks import ranked
 from . import nested
@@ -102,10 +103,11 @@ def align(lms: Sequence[LabeledMatrix], axis: str, join: str) -> Alignment:
     first = tables[0]
     if all(t is first or t.sameSemantics(first) for t in tables):
         return Alignment(first.select("key", "ord", "name"), None, lms[0].is_dense_axis(axis))
-    names = _union([
+    # the names are read many times below and by every element: compute them once
+    names = stored(_union([
         lm.positions(axis).select(F.lit(i).alias("ds"), F.col("key").alias("old_key"), "ord", "pos", "name")
         for i, lm in enumerate(lms)
-    ])
+    ]), "names")
     per_name = names.groupBy("name").agg(
         F.count(F.lit(1)).alias("n"),
         F.min_by(F.struct(F.col("old_key").alias("key"), "ord"), "ds").alias("f"),
@@ -114,7 +116,7 @@ def align(lms: Sequence[LabeledMatrix], axis: str, join: str) -> Alignment:
     )
     holders = sorted(r.ds for r in names.select("ds").distinct().collect())
     summary = per_name.agg(
-        F.count_if(F.col("n") > F.col("n_ds")).alias("repeats"),
+        F.count_if(F.col("n") > F.col("n_ds")).alias("repeats"), F.count(F.lit(1)).alias("n_names"),
         F.min("n").alias("fewest"), F.bool_and("level").alias("level"),
     ).first()
     if summary.repeats:
@@ -127,8 +129,9 @@ def align(lms: Sequence[LabeledMatrix], axis: str, join: str) -> Alignment:
         target = tables[lead].select("key", "ord", "name")
         dense = lms[lead].is_dense_axis(axis)
     else:
-        target = ranked(per_name.select("name"), "name", "ord").select(F.col("ord").alias("key"), "ord", "name")
+        target = ranked(per_name.select("name"), "name", "ord", n_rows=summary.n_names).select(F.col("ord").alias("key"), "ord", "name")
         dense = True
+    target = stored(target, "target")
     mapping = names.join(target.select("name", F.col("key").alias("new_key")), "name").select("ds", "old_key", "new_key")
     return Alignment(target, mapping, dense)
 
@@ -178,8 +181,9 @@ def _filled(cells: DataFrame, rows: DataFrame, gaps: Sequence[DataFrame], fill:
     if same_value(fill, absent):
         return plain
     missing = _union([g.select(F.lit(i).alias("ds"), "key", "ord") for i, g in enumerate(gaps)])
-    blocks = key_blocks(missing, ["ds"])
-    grid = spread(rows.select("ds", "obs_key"), blocks, missing.count(), ["ds"])
+    n_missing = missing.count()
+    blocks = key_blocks(missing, ["ds"], n_keys=n_missing)
+    grid = spread(rows.select("ds", "obs_key"), blocks, n_missing, ["ds"])
     kind = plain.schema["value"].dataType
     added = grid.select("obs_key", F.explode("keys").alias("var_key"), F.lit(float(fill)).cast(kind).alias("value"))
     return plain.unionByName(added)

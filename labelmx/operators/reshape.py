@@ -31,9 +31,9 @@ def transpose(lm: LabeledMatrix) -> LabeledMatrix:
     )
 
 
-def _pack(lm: LabeledMatrix, m: Matrix, major: str, width: int) -> DataFrame:
+def _pack(lm: LabeledMatrix, m: Matrix, major: str, width: int, n_minor: int | None = None) -> DataFrame:
     minor = "var" if major == "obs" else "obs"
-    place = lm.positions(minor).select(F.col("key").alias(f"{minor}_key"), "pos")
+    place = lm.positions(minor, n_minor).select(F.col("key").alias(f"{minor}_key"), "pos")
     placed = m.cells.join(place, f"{minor}_key")
     block = F.floor(F.col("pos") / width)
     item = F.struct((F.col("pos") - block * width).cast("int").alias("off"), F.col("value"))
@@ -71,10 +71,10 @@ def pack_dense(lm: LabeledMatrix, *, layer: str | None = None, width: int = BLOC
     Only stored cells and block arrays are shuffled; gaps are filled in place.
     """
     m = pick_matrix(lm, layer=layer)
-    blocks = key_blocks(lm.positions("var"), pos="pos", width=width)
     n_vars = lm.var.count() if n_vars is None else n_vars
-    grid = spread(lm.obs.select(F.col("key").alias("obs_key")), blocks, n_vars)
-    packed = _pack(lm, m, "obs", width).withColumnRenamed("key", "obs_key")
+    blocks = key_blocks(lm.positions("var", n_vars), pos="pos", width=width)
+    grid = spread(lm.obs.select(F.col("key").alias("obs_key")), blocks, n_vars, width=width)
+    packed = _pack(lm, m, "obs", width, n_vars).withColumnRenamed("key", "obs_key")
     full = grid.join(packed, ["obs_key", "block"], "left")
     empty = F.array().cast(packed.schema["packed"].dataType)
     values = inflate(F.coalesce("packed", empty), F.size("keys"), m.absent)
@@ -105,7 +105,7 @@ def block_grid(lm: LabeledMatrix, *, axis: str, size: int) -> DataFrame:
     """Axis table with ``block``, ``start`` and ``stop`` of contiguous blocks of ``size``."""
     n = lm.axis(axis).count()
     block = F.floor(F.col("pos") / size)
-    return lm.positions(axis).select(
+    return lm.positions(axis, n).select(
         "*", block.alias("block"), (block * size).alias("start"),
         F.least(block * size + size, F.lit(n)).alias("stop"),
     )
@@ -129,9 +129,8 @@ def map_chunks(
     """
     import numpy as np
 
-    n, n_vars = lm.shape
     place = lm.positions("obs").select(F.col("key").alias("obs_key"), F.col("pos").alias("row"))
-    rows = pack_dense(lm, layer=layer, width=var_block, n_vars=n_vars).join(place, "obs_key")
+    rows = pack_dense(lm, layer=layer, width=var_block).join(place, "obs_key")
     tiles = rows.select(F.floor(F.col("row") / chunk_size).alias("chunk"), "block", "row", "values")
 
     def one(ids, pdf):
@@ -153,7 +152,7 @@ def sample_positions(lm: LabeledMatrix, select: int = 1000, *, replace: bool = T
     if replace:
         ids = lm.spark.range(k)
         return ids.select((draw(seed, F.col("id")) % F.lit(max(n, 1))).alias("pos"), F.col("id").alias("new_key"))
-    drawn = lm.positions("obs").select("pos", F.concat_ws(":", F.md5(F.concat_ws(":", F.col("key").cast("string"), F.lit(str(seed)))), F.col("key")).alias("_draw"))
+    drawn = lm.positions("obs", n).select("pos", F.concat_ws(":", F.md5(F.concat_ws(":", F.col("key").cast("string"), F.lit(str(seed)))), F.col("key")).alias("_draw"))
     return ranked(drawn, "_draw", "new_key", n_rows=n).where(F.col("new_key") < k).select("pos", "new_key")
 
 
@@ -161,7 +160,8 @@ def take_rows(lm: LabeledMatrix, positions: DataFrame, *, layer: str | None = No
     """Rows at ``positions(pos, new_key)``, order and repeats kept, as a dense matrix."""
     from .select import apply
 
-    sub = apply(lm, "obs", by_positions(lm.positions("obs"), positions, lm.obs.count()))
+    n = lm.obs.count()
+    sub = apply(lm, "obs", by_positions(lm.positions("obs", n), positions, n))
     dense = densify(sub, layer=layer)
     return sub.replace(X=dense, layers={})
 

@@ -143,14 +143,15 @@ def resolve(lm: LabeledMatrix, axis: str, index) -> Selection | None:
             return Selection(table.join(index, "key", "left_semi"))
         if "name" in index.columns:
             return by_labels(table, index)
-        return by_positions(lm.positions(axis), index, table.count())
+        n = table.count()
+        return by_positions(lm.positions(axis, n), index, n)
     if hasattr(index, "tolist"):
         index = index.tolist()
     if isinstance(index, int) and not isinstance(index, bool):
         n = table.count()
         if not -n <= index < n:
             raise IndexError(f"position {index} is out of range for size {n}")
-        return Selection(lm.positions(axis).where(F.col("pos") == index % n).select(*table.columns))
+        return Selection(lm.positions(axis, n).where(F.col("pos") == index % n).select(*table.columns))
     items = [x[0] if isinstance(x, (list, tuple)) and len(x) == 1 else x for x in index]
     if len(items) == 1 and isinstance(items[0], (list, tuple)):
         items = list(items[0])  # a (1, n) mask
@@ -160,7 +161,8 @@ def resolve(lm: LabeledMatrix, axis: str, index) -> Selection | None:
     if items and all(isinstance(x, bool) for x in items):
         return by_mask(lm, axis, small_table(spark, list(enumerate(items)), "pos bigint, keep boolean"))
     listed = small_table(spark, [(int(x), i) for i, x in enumerate(items)], "pos bigint, new_key bigint")
-    return by_positions(lm.positions(axis), listed, table.count())
+    n = table.count()
+    return by_positions(lm.positions(axis, n), listed, n)
 
 
 # -- carrying a selection to every element -----------------------------------------

@@ -16,7 +16,8 @@ from .validate import check_element
 def constant_cells(obs: DataFrame, var: DataFrame, value: Column) -> DataFrame:
     """A cell for every (observation, variable) pair, unfolded from key blocks."""
     rows = obs.select(F.col("key").alias("obs_key"))
-    grid = spread(rows, key_blocks(var.select("key", "ord")), var.count())
+    n_vars = var.count()
+    grid = spread(rows, key_blocks(var.select("key", "ord"), n_keys=n_vars), n_vars)
     return grid.select("obs_key", F.explode("keys").alias("var_key"), value.alias("value"))
 
 
@@ -148,7 +149,7 @@ def set_column(lm: LabeledMatrix, axis: str, column: str, value: Column | DataFr
     n, given = table.count(), value.count()
     if n != given:
         raise ValueError(f"{given} values given for {axis} axis of length {n}")
-    source = table if on == "key" else lm.positions(axis)
+    source = table if on == "key" else lm.positions(axis, n)
     new = value.select(F.col(on).cast("bigint").alias(on), F.col("value").alias("_value"))
     out = source.join(new, on, "left").withColumn(column, F.col("_value")).drop("_value", "pos")
     return lm.replace(**{axis: out}, **_dictionaries(lm, axis, column))
@@ -162,8 +163,8 @@ def drop_column(lm: LabeledMatrix, axis: str, column: str) -> LabeledMatrix:
 
 def replace_annotation(lm: LabeledMatrix, axis: str, rows: DataFrame) -> LabeledMatrix:
     """Replace the whole annotation by ``(pos, name, columns…)`` rows, matched by position."""
-    table = lm.positions(axis).select("key", "ord", "pos")
-    n, given = table.count(), rows.count()
+    n, given = lm.axis(axis).count(), rows.count()
+    table = lm.positions(axis, n).select("key", "ord", "pos")
     if n != given:
         raise ValueError(f"{given} rows given for {axis} axis of length {n}")
     cols = [c for c in rows.columns if c not in ("pos", "name")]

@@ -19,9 +19,11 @@ BLOCK_WIDTH = 4096
 BROADCAST_KEYS = 4_000_000
 
 
-def key_blocks(axis: DataFrame, by: Sequence[str] = (), *, pos: str | None = None, width: int = BLOCK_WIDTH):
+def key_blocks(
+    axis: DataFrame, by: Sequence[str] = (), *, pos: str | None = None, width: int = BLOCK_WIDTH, n_keys: int | None = None
+) -> DataFrame:
     """``(by…, block, keys)`` with at most ``width`` keys per block, in order."""
-    placed = axis if pos else ranked(axis, "ord", "_pos", by)
+    placed = axis if pos else ranked(axis, "ord", "_pos", by, n_rows=n_keys)
     pos = pos or "_pos"
     return (
         placed.groupBy(*by, F.floor(F.col(pos) / width).alias("block"))
@@ -36,24 +38,22 @@ def spread(
     n_keys: int,
     by: Sequence[str] = (),
     *,
+    width: int = BLOCK_WIDTH,
     broadcast_keys: int = BROADCAST_KEYS,
     copies: int = 64,
 ) -> DataFrame:
     """Give every row each block of its group: ``rows × blocks`` rows.
 
-    ``n_keys`` is the counted number of keys in ``blocks``. Small block tables
+    ``n_keys`` is the counted number of keys in ``blocks``, ``width`` their width. Small block tables
     are broadcast; larger ones are copied ``copies`` times so that the rows of
     one group, or of one block, spread over as many tasks.
     """
     by = list(by)
-    ids = blocks.groupBy(*by).agg(F.collect_list("block").alias("_ids"))
     if by:
-        listed = rows.join(F.broadcast(ids), by)  # one row per group of inputs
+        ids = blocks.groupBy(*by).agg(F.collect_list("block").alias("_ids"))
+        listed = rows.join(F.broadcast(ids), by)  # one row per input
     else:
-        n_blocks = blocks.count()
-        listed = rows.withColumn("_ids", F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>"))
-        if n_blocks == 0:
-            listed = rows.withColumn("_ids", F.array().cast("array<bigint>"))
+        listed = rows.withColumn("_ids", F.lit(list(range(-(-n_keys // width)))).cast("array<bigint>"))
     each = listed.withColumn("block", F.explode("_ids")).drop("_ids")
     if n_keys <= broadcast_keys:
         return each.join(F.broadcast(blocks), [*by, "block"])

@@ -40,3 +40,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Replace the lineage of ``df`` by a reliable checkpoint."""
     work_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, stem: str = "table") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    For axis-sized tables that many plans reuse: it is computed once, survives
+    lost executors, and its file sizes let Spark choose the join strategy.
+    """
+    path = new_path(df.sparkSession, stem)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

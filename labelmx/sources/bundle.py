@@ -13,6 +13,7 @@ import math
 import uuid
 import warnings
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,7 +172,7 @@ def write_bundle(
     layout = "blocks" if chunks else layout
     manifest = {"version": FORMAT_VERSION, "commit": 0, "layout": layout, "batches": {}, "axes": {}, "slots": {}, "categories": {}}
 
-    places = {}
+    places, dictionaries = {}, []
     for axis in ("obs", "var"):
         table = lm.positions(axis).withColumn("ord", F.col("pos")).drop("pos")
         entry = w.table(table.repartitionByRange("ord").sortWithinPartitions("ord"), axis)
@@ -180,11 +181,13 @@ def write_bundle(
         manifest["axes"][axis] = {**entry, "n": stats.n, "max_key": -1 if stats.k is None else stats.k, "dense": True}
         places[axis] = stored.select(F.col("key").alias(f"{axis}_key"), F.col("ord").alias(f"_{axis}_pos"))
         for col, cats in getattr(lm, f"{axis}_categories").items():
-            c = w.table(cats.table.coalesce(1), f"categories/{axis}/{col}")
-            kept = {**c, "ordered": cats.ordered}
+            manifest["categories"].setdefault(axis, {})[col] = {"ordered": cats.ordered, "colors": cats.colors is not None}
+            tag = (F.lit(axis).alias("axis"), F.lit(col).alias("column"), F.col("code").cast("int").alias("code"))
+            dictionaries.append(cats.table.select(*tag, F.lit("category").alias("kind"), F.col("category").alias("text")))
             if cats.colors is not None:
-                kept["colors"] = w.table(cats.colors.coalesce(1), f"colors/{axis}/{col}")
-            manifest["categories"].setdefault(axis, {})[col] = kept
+                dictionaries.append(cats.colors.select(*tag, F.lit("color").alias("kind"), F.col("color").alias("text")))
+    if dictionaries:
+        manifest["dictionaries"] = w.table(reduce(DataFrame.unionByName, dictionaries), "dictionaries")
     stored_lm = lm.replace(obs=_load(spark, path, manifest["axes"]["obs"]), var=_load(spark, path, manifest["axes"]["var"]), obs_dense=True, var_dense=True)
     if lm.X is not None:
         X = densify(stored_lm) if "X" in as_dense else lm.X
@@ -223,13 +226,13 @@ def read_bundle(spark: SparkSession, path: str) -> LabeledMatrix:
             groups[slot][key] = _element(spark, path, entry)
         else:
             single[name] = _element(spark, path, entry)
-    cats = {
-        axis: {
-            col: Categories(_load(spark, path, e), e["ordered"], _load(spark, path, e["colors"]) if "colors" in e else None)
-            for col, e in m["categories"].get(axis, {}).items()
-        }
-        for axis in ("obs", "var")
-    }
+    cats: dict[str, dict] = {"obs": {}, "var": {}}
+    for axis, columns in m["categories"].items():
+        table = _load(spark, path, m["dictionaries"])
+        for col, e in columns.items():
+            mine = table.where((F.col("axis") == axis) & (F.col("column") == col))
+            texts = lambda kind: mine.where(F.col("kind") == kind).select("code", F.col("text").alias(kind))
+            cats[axis][col] = Categories(texts("category"), e["ordered"], texts("color") if e["colors"] else None)
     raw = None
     if "raw/var" in m["axes"]:
         raw = Raw(single.get("raw/X"), _load(spark, path, m["axes"]["raw/var"]), groups["raw/varm"], True)
