@@ -4,12 +4,10 @@ from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from labelmx import LabeledMatrix, Matrix  # noqa: E402
-from labelmx.operators.reshape import densify  # noqa: E402
 from labelmx.plans.local import small_table  # noqa: E402
 
 
@@ -17,8 +15,10 @@ from labelmx.plans.local import small_table  # noqa: E402
 def spark(tmp_path_factory):
     s = (
         SparkSession.builder.master("local[4]").appName("labelmx-tests")
-        .config("spark.sql.shuffle.partitions", "3").config("spark.ui.enabled", "false")
+        .config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false")
+        .config("spark.sql.codegen.wholeStage", "false")  # tiny inputs: compiling costs more than running
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
+        .config("spark.driver.extraJavaOptions", "-XX:TieredStopAtLevel=1 -XX:+UseParallelGC")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("work")))
         .getOrCreate()
     )
@@ -57,12 +57,14 @@ def make(spark):
 def grid(lm, m=None):
     """Dense nested lists of a matrix, in axis order; NaN shows as None."""
     m = m or lm.X
-    cells = {(r.obs_key, r.var_key): r.value for r in densify(lm.replace(X=m)).cells.collect()}
-    obs = [r.key for r in lm.obs.orderBy("ord").collect()]
-    var = [r.key for r in lm.var.orderBy("ord").collect()]
+    rows = m.cells.collect()
+    cells = {(r.obs_key, r.var_key): r.value for r in rows}
+    assert len(cells) == len(rows)
+    obs = [r.key for r in lm.obs.select("key", "ord").sort("ord").collect()]
+    var = [r.key for r in lm.var.select("key", "ord").sort("ord").collect()]
+    assert all(o in obs and v in var for o, v in cells)
     show = lambda v: None if v is None or math.isnan(v) else v
-    assert len(cells) == len(obs) * len(var)
-    return [[show(cells[(o, v)]) for v in var] for o in obs]
+    return [[show(cells.get((o, v), m.absent)) for v in var] for o in obs]
 
 
 def names(lm, axis):
