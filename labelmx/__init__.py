@@ -3,8 +3,9 @@
 from .model import Categories, Graph, LabeledMatrix, Matrix, Raw, Table, Vectors, axis_table
 from .operators.build import create, from_annotation, from_compressed, from_wide
 from .operators.concat import concat, concatenate
+from .session import tune
 
 __all__ = [
     "Categories", "Graph", "LabeledMatrix", "Matrix", "Raw", "Table", "Vectors", "axis_table",
-    "create", "from_annotation", "from_compressed", "from_wide", "concat", "concatenate",
+    "create", "from_annotation", "from_compressed", "from_wide", "concat", "concatenate", "tune",
 ]

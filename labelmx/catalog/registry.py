@@ -6,19 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import tune
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def tune(spark: SparkSession) -> None:
-    """Session settings the plans rely on; all can be changed at run time."""
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    # split a skewed join side even if the next aggregation must shuffle again
-    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-
-
 def query(name: str, sql: str | None = None):
     """Register a query and, if it has one, its SQL."""
     def add(fn):

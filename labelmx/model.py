@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .plans.durable import stored
 from .plans.ranks import ranked, sort_text
 
 RESERVED = ("key", "ord", "name")
@@ -178,9 +179,10 @@ def axis_table(
     """Normalise a table to ``(key, ord, name, annotation…)``.
 
     ``key`` names a unique integer column. Without one, rows are numbered along
-    ``order`` (one column, or several non-negative integer columns). ``name``
-    defaults to the key; other columns, ``key``'s source excepted, are kept as
-    annotation.
+    ``order`` (one column, or several non-negative integer columns) and the table
+    is stored, as every element of the matrix will be joined to those numbers.
+    ``name`` defaults to the key; other columns, ``key``'s source excepted, are
+    kept as annotation.
     """
     if key is None and order is None:
         raise ValueError("give key= or order= to identify the rows of an axis")
@@ -196,7 +198,8 @@ def axis_table(
         numbered = df.withColumn("_ord", F.col(key).cast("bigint"))
     ident = F.col(key).cast("bigint") if key else F.col("_ord")
     label = (F.col(name) if name else ident).cast("string")
-    return numbered.select(ident.alias("key"), F.col("_ord").alias("ord"), label.alias("name"), *keep)
+    table = numbered.select(ident.alias("key"), F.col("_ord").alias("ord"), label.alias("name"), *keep)
+    return table if key else stored(table, "axis")
 
 
 def annotation(table: DataFrame) -> list[str]:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..model import LabeledMatrix, Matrix, Raw, Table, Vectors, axis_table
 from ..plans.local import small_table
-from ..plans.ranks import ranked
+from ..plans.ranks import ranked, whole_div
 
 
 def as_matrix(value, obs: DataFrame, var: DataFrame, dtype: str | None, absent: float = 0.0) -> Matrix | None:
@@ -143,10 +143,10 @@ def from_compressed(
     """
     page = 65_536
     pages = indptr.where(F.col("end") > F.col("start")).withColumn(
-        "page", F.explode(F.sequence(F.floor(F.col("start") / page), F.floor((F.col("end") - 1) / page)))
+        "page", F.explode(F.sequence(whole_div(F.col("start"), page), whole_div(F.col("end") - 1, page)))
     )
     joined = (
-        data.withColumn("page", F.floor(F.col("pos") / page))
+        data.withColumn("page", whole_div(F.col("pos"), page))
         .join(pages, "page")
         .where((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")))
     )

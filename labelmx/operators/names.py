@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import LabeledMatrix
-from ..plans.ranks import ranked, running_total
+from ..plans.ranks import ranked, running_total, whole_div
 
 
 def unique_names(table: DataFrame, join: str = "-", *, rows_per_bucket: int | None = None) -> DataFrame:
@@ -46,7 +46,7 @@ def unique_names(table: DataFrame, join: str = "-", *, rows_per_bucket: int | No
         skips.select("name", (F.col("_i") * 2 + 1).alias("_e"), "_n", F.lit(None).cast("bigint").alias("key"))
     )
     shifted = running_total(events, "_e", F.col("_n"), "_skip", ["name"], **rpb)
-    suffix = shifted.where("key IS NOT NULL").select("key", (F.floor(F.col("_e") / 2) + F.col("_skip")).alias("_k"))
+    suffix = shifted.where("key IS NOT NULL").select("key", (whole_div(F.col("_e"), 2) + F.col("_skip")).alias("_k"))
     renamed = F.when(F.col("_k").isNull(), F.col("name")).otherwise(
         F.concat("name", F.lit(join), F.col("_k").cast("string"))
     )

@@ -11,7 +11,7 @@ from ..functions.arrays import inflate
 from ..functions.text import draw
 from ..model import LabeledMatrix, Matrix
 from ..plans.blocks import BLOCK_WIDTH, key_blocks, spread
-from ..plans.ranks import ranked
+from ..plans.ranks import ranked, whole_div
 from .access import pick_matrix
 from .select import by_positions
 
@@ -35,7 +35,7 @@ def _pack(lm: LabeledMatrix, m: Matrix, major: str, width: int, n_minor: int | N
     minor = "var" if major == "obs" else "obs"
     place = lm.positions(minor, n_minor).select(F.col("key").alias(f"{minor}_key"), "pos")
     placed = m.cells.join(place, f"{minor}_key")
-    block = F.floor(F.col("pos") / width)
+    block = whole_div(F.col("pos"), width)
     item = F.struct((F.col("pos") - block * width).cast("int").alias("off"), F.col("value"))
     return placed.groupBy(F.col(f"{major}_key").alias("key"), block.alias("block")).agg(
         F.sort_array(F.collect_list(item)).alias("packed")
@@ -104,7 +104,7 @@ def blocks_of(n: int, size: int) -> list[tuple[int, int]]:
 def block_grid(lm: LabeledMatrix, *, axis: str, size: int) -> DataFrame:
     """Axis table with ``block``, ``start`` and ``stop`` of contiguous blocks of ``size``."""
     n = lm.axis(axis).count()
-    block = F.floor(F.col("pos") / size)
+    block = whole_div(F.col("pos"), size)
     return lm.positions(axis, n).select(
         "*", block.alias("block"), (block * size).alias("start"),
         F.least(block * size + size, F.lit(n)).alias("stop"),
@@ -131,7 +131,7 @@ def map_chunks(
 
     place = lm.positions("obs").select(F.col("key").alias("obs_key"), F.col("pos").alias("row"))
     rows = pack_dense(lm, layer=layer, width=var_block).join(place, "obs_key")
-    tiles = rows.select(F.floor(F.col("row") / chunk_size).alias("chunk"), "block", "row", "values")
+    tiles = rows.select(whole_div(F.col("row"), chunk_size).alias("chunk"), "block", "row", "values")
 
     def one(ids, pdf):
         pdf = pdf.sort_values("row")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import ranked
+from .ranks import ranked, whole_div
 
 BLOCK_WIDTH = 4096
 # Arrays of 8-byte keys; beyond this the block table is shuffled, not broadcast.
@@ -26,7 +26,7 @@ def key_blocks(
     placed = axis if pos else ranked(axis, "ord", "_pos", by, n_rows=n_keys)
     pos = pos or "_pos"
     return (
-        placed.groupBy(*by, F.floor(F.col(pos) / width).alias("block"))
+        placed.groupBy(*by, whole_div(F.col(pos), width).alias("block"))
         .agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col("key").alias("key")))).alias("_k"))
         .select(*by, "block", F.col("_k.key").alias("keys"))
     )
@@ -53,7 +53,9 @@ def spread(
         ids = blocks.groupBy(*by).agg(F.collect_list("block").alias("_ids"))
         listed = rows.join(F.broadcast(ids), by)  # one row per input
     else:
-        listed = rows.withColumn("_ids", F.lit(list(range(-(-n_keys // width)))).cast("array<bigint>"))
+        n_blocks = -(-n_keys // width)
+        ids = F.sequence(F.lit(0), F.lit(n_blocks - 1)) if n_blocks else F.array()
+        listed = rows.withColumn("_ids", ids.cast("array<bigint>"))
     each = listed.withColumn("block", F.explode("_ids")).drop("_ids")
     if n_keys <= broadcast_keys:
         return each.join(F.broadcast(blocks), [*by, "block"])

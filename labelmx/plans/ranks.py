@@ -8,6 +8,7 @@ buckets before it; the totals table holds at most ``MAX_BUCKETS`` rows per group
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
@@ -40,14 +41,18 @@ def _bounds(df: DataFrame, order: str, rows_per_bucket: int, n_rows: int | None)
     return sorted(set(sample[step::step]))
 
 
-def _bucket_of(order: str, bounds: Sequence) -> Column:
+def whole_div(value: Column, size: int) -> Column:
+    """Integer division that stays exact for any BIGINT."""
+    return F.call_function("div", value, F.lit(size))
+
+
+def _bucket_of(order: str, kind: str, bounds: Sequence) -> Column:
     """Number of bounds not above the value, found in two short scans."""
-    if not bounds:
-        return F.lit(0)
+    # the optimizer folds the parsed text into one array literal
+    listed = lambda values: F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>")
     width = max(1, math.isqrt(len(bounds)))
-    coarse = F.lit(list(bounds[width - 1 :: width]))
-    skip = F.size(F.filter(coarse, lambda b: b <= F.col(order))) * width
-    near = F.slice(F.lit(list(bounds)), skip + 1, F.lit(width))
+    skip = F.size(F.filter(listed(bounds[width - 1 :: width]), lambda b: b <= F.col(order))) * width
+    near = F.slice(listed(bounds), skip + 1, F.lit(width))
     return skip + F.size(F.filter(near, lambda b: b <= F.col(order)))
 
 
@@ -73,7 +78,8 @@ def running_total(
         w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
         w = w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(out, F.sum(value).over(w))
-    t = df.withColumn("_bucket", _bucket_of(order, bounds)).withColumn("_amount", value)
+    kind = df.schema[order].dataType.simpleString()
+    t = df.withColumn("_bucket", _bucket_of(order, kind, bounds)).withColumn("_amount", value)
     totals = t.groupBy(*by, "_bucket").agg(F.sum("_amount").alias("_total"))
     before = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = before.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

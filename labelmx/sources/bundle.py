@@ -23,7 +23,7 @@ from ..model import Categories, Graph, LabeledMatrix, Matrix, Raw, Table, Vector
 from ..operators.categories import strings_to_categories as make_categories
 from ..operators.reshape import densify
 from ..plans.local import small_table
-from ..plans.ranks import ranked
+from ..plans.ranks import ranked, whole_div
 
 FORMAT_VERSION = 1
 RESERVED_COLUMNS = ("_index", "__categories")  # fixed values: names a stored table may not use
@@ -106,7 +106,7 @@ def _matrix_entry(w: _Writer, m: Matrix, slot: str, layout: str, block, places)
     if layout == "blocks":
         rows, cols = block
         placed = m.cells.join(places["obs"], "obs_key").join(places["var"], "var_key")
-        cells = placed.withColumn("row_block", F.floor(F.col("_obs_pos") / rows)).withColumn("col_block", F.floor(F.col("_var_pos") / cols))
+        cells = placed.withColumn("row_block", whole_div(F.col("_obs_pos"), rows)).withColumn("col_block", whole_div(F.col("_var_pos"), cols))
         cells = cells.drop("_obs_pos", "_var_pos").repartition("row_block", "col_block").sortWithinPartitions("row_block", "col_block", "obs_key", "var_key")
         entry = w.table(cells, slot, ["row_block", "col_block"])
         entry["partitioned"] = True

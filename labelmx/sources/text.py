@@ -18,7 +18,7 @@ from ..functions.text import unquote
 from ..model import LabeledMatrix, Matrix, axis_table
 from ..operators.reshape import densify
 from ..plans.local import small_table
-from ..plans.ranks import ranked, sort_text
+from ..plans.ranks import ranked, sort_text, whole_div
 
 
 @dataclass(frozen=True)
@@ -214,7 +214,7 @@ def read_mtx(spark: SparkSession, path: str, dtype: str = "float") -> LabeledMat
         cells = body.select((t[0].cast("bigint") - 1).alias("obs_key"), (t[1].cast("bigint") - 1).alias("var_key"), value.alias("value"))
     elif symmetry == "general":
         placed = ranked(body.select("value", place().alias("_at")), "_at", "pos")
-        cells = placed.select((F.col("pos") % shape[0]).alias("obs_key"), F.floor(F.col("pos") / shape[0]).alias("var_key"), F.trim("value").cast("double").alias("value"))
+        cells = placed.select((F.col("pos") % shape[0]).alias("obs_key"), whole_div(F.col("pos"), shape[0]).alias("var_key"), F.trim("value").cast("double").alias("value"))
         cells = cells.where("value <> 0")
     else:
         raise NotImplementedError("array format is only read in general storage")
