@@ -92,10 +92,11 @@ def suffix_names(spark, sf):
 
 
 @query("concat_annotation", """-- uses: shop_obs
-SELECT c_name AS name, c_acctbal, c_mktsegment, CASE WHEN ds < 2 THEN c_nationkey END AS c_nationkey, CASE WHEN ds = 2 THEN c_nationkey END AS nation FROM shop_obs""")
+SELECT c_name AS name, c_acctbal, c_mktsegment, CAST(CASE WHEN ds < 2 THEN c_nationkey END AS DOUBLE) AS c_nationkey, CAST(CASE WHEN ds = 2 THEN c_nationkey END AS DOUBLE) AS nation FROM shop_obs""")
 def concat_annotation(spark, sf):
     """All annotation columns, null where an input lacks one."""
-    return concat(shops(spark, sf), join="outer").obs.select("name", "c_acctbal", "c_mktsegment", "c_nationkey", "nation")
+    obs = concat(shops(spark, sf), join="outer").obs
+    return obs.select("name", "c_acctbal", "c_mktsegment", F.col("c_nationkey").cast("double"), F.col("nation").cast("double"))
 
 
 @query("concat_annotation_inner", """SELECT c_name AS name, c_acctbal, c_mktsegment FROM customer""")
@@ -152,12 +153,12 @@ def concat_vectors_inner(spark, sf):
 
 
 @query("concat_vector_tables", """-- uses: shop_obs
-SELECT c_name AS name, CASE WHEN ds < 2 THEN c_acctbal END AS balance, CASE WHEN ds = 0 THEN c_nationkey END AS nation FROM shop_obs""")
+SELECT c_name AS name, CASE WHEN ds < 2 THEN c_acctbal END AS balance, CAST(CASE WHEN ds = 0 THEN c_nationkey END AS DOUBLE) AS nation FROM shop_obs""")
 def concat_vector_tables(spark, sf):
     """Typed tables side by side: all columns, null where an input lacks them."""
     a, b, c = shops(spark, sf)
     money = lambda lm, cols: Table(lm.obs.select("key", *cols))
-    a = a.replace(obsm={"t": money(a, [F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("nation")])})
+    a = a.replace(obsm={"t": money(a, [F.col("c_acctbal").alias("balance"), F.col("c_nationkey").cast("double").alias("nation")])})
     b = b.replace(obsm={"t": money(b, [F.col("c_acctbal").alias("balance")])})
     out = concat([a, b, c], join="outer")
     return out.obs.select("key", "name").join(out.obsm["t"].rows, "key").select("name", "balance", "nation")

@@ -104,10 +104,10 @@ def set_names(spark, sf):
 @query("element_stats", """-- uses: ord
 SELECT 'X' AS slot, 'X' AS element, count(*) AS n_rows, count(*) FILTER (value <> 0) AS n_nonzero FROM ord
 UNION ALL SELECT 'layers', 'price', count(*), count(*) FROM ord UNION ALL SELECT 'layers', 'lines', count(*), count(*) FROM ord
-UNION ALL SELECT 'obs', 'obs', count(*), NULL FROM orders UNION ALL SELECT 'var', 'var', count(*), NULL FROM part""")
+UNION ALL SELECT 'obs', 'obs', count(*), -1 FROM orders UNION ALL SELECT 'var', 'var', count(*), -1 FROM part""")
 def element_stats(spark, sf):
     """Rows and non-zero values of every element."""
-    return V.element_stats(orders_by_part(spark, sf))
+    return V.element_stats(orders_by_part(spark, sf)).withColumn("n_nonzero", F.coalesce("n_nonzero", F.lit(-1)))
 
 
 @query("from_wide", """SELECT CAST(c_custkey AS VARCHAR) AS obs_name, 'nation' AS var_name, CAST(c_nationkey AS DOUBLE) AS value FROM customer
