@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import LabeledMatrix, Table, Vectors, annotation
+from ..model import LabeledMatrix, Table, Vectors
 from ..operators.concat import align, concat, concatenate
-from ..operators.merge import all_keys, shared_keys
+from ..operators.merge import key_order
 from ..operators.reshape import densify
 from ..operators.update import snapshot_raw
-from ..plans.local import small_table
 from .registry import query
 from .tables import embedded, named_cells, orders_by_part, shops
 
@@ -200,13 +202,20 @@ def merge_outer_suffix(spark, sf):
     return concatenate(*shops(spark, sf)).var.drop("key", "ord")
 
 
-@query("shared_keys", "SELECT unnest(['c_acctbal', 'c_mktsegment']) AS col, unnest([0, 1]) AS pos FROM region WHERE r_regionkey = 0")
-def shared_keys_query(spark, sf):
-    """Annotation columns of every input, in first-seen order."""
-    return small_table(spark, list(enumerate(shared_keys([annotation(lm.obs) for lm in shops(spark, sf)]))), "pos int, col string")
+def _name_lists(spark, sf):
+    """Part names of each shop in the shop's order, shops from last to first."""
+    lms = shops(spark, sf)[::-1]
+    return reduce(DataFrame.unionByName, [lm.positions("var").select(F.lit(i).alias("ds"), F.col("pos").alias("at"), F.col("name").alias("key")) for i, lm in enumerate(lms)]), len(lms)
+
+
+@query("shared_keys", """-- uses: shop_var
+SELECT name AS key, row_number() OVER (ORDER BY name) - 1 AS pos FROM shop_var GROUP BY name HAVING count(*) = 3""")
+def shared_key_order(spark, sf):
+    """Names every shop has, in first-seen order."""
+    return key_order(*_name_lists(spark, sf), "shared")
 
 
-@query("all_keys", "SELECT unnest(['c_nationkey', 'c_acctbal', 'c_mktsegment', 'nation']) AS col, unnest([0, 1, 2, 3]) AS pos FROM region WHERE r_regionkey = 0")
-def all_keys_query(spark, sf):
-    """Annotation columns of any input, in first-seen order."""
-    return small_table(spark, list(enumerate(all_keys([annotation(lm.obs) for lm in shops(spark, sf)]))), "pos int, col string")
+@query("all_keys", """SELECT name AS key, row_number() OVER (ORDER BY name) - 1 AS pos FROM (SELECT DISTINCT p_name AS name FROM part)""")
+def all_key_order(spark, sf):
+    """Names any shop has, in first-seen order."""
+    return key_order(*_name_lists(spark, sf), "all")

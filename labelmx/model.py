@@ -77,6 +77,7 @@ class Categories:
     table: DataFrame
     ordered: bool = False
     colors: DataFrame | None = None  # (code, color)
+    size: int | None = None  # at most this many categories, if known
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -96,6 +97,8 @@ def homogenize(df: DataFrame, ident: str, cols: Sequence[str] | None = None) ->
     """Long form ``(ident, var_name, value)`` of a frame, in one common type."""
     cols = list(cols) if cols is not None else [c for c in df.columns if c != ident]
     kind = _common_numeric(df, cols)
+    if len({df.schema[c].dataType for c in cols}) > 1:
+        warnings.warn(f"columns of several types are converted to {kind}", UserWarning, stacklevel=2)
     same = df.select(ident, *[F.col(c).cast(kind).alias(c) for c in cols])
     return same.unpivot([ident], cols, "var_name", "value")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
 from collections.abc import Mapping, Sequence
 
@@ -18,8 +19,9 @@ from ..plans.ranks import ranked
 def dictionary(table: DataFrame, column: str, *, ordered: bool = False) -> Categories:
     """Naturally sorted dictionary of a column's distinct non-null values."""
     values = table.select(F.col(column).cast("string").alias("category")).where("category IS NOT NULL").distinct()
-    coded = ranked(values.withColumn("_nat", natural_key(F.col("category"))), "_nat", "code")
-    return Categories(coded.select(F.col("code").cast("int").alias("code"), "category"), ordered)
+    n = values.count()
+    coded = ranked(values.withColumn("_nat", natural_key(F.col("category"))), "_nat", "code", n_rows=n)
+    return Categories(coded.select(F.col("code").cast("int").alias("code"), "category"), ordered, size=n)
 
 
 def category_values(table: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -47,7 +49,7 @@ def strings_to_categories(lm: LabeledMatrix, axes: Sequence[str] = ("obs", "var"
         for c in (c for c in cols if c in few):
             nat = named.where(F.col("column") == c).withColumn("_nat", natural_key(F.col("category")))
             coded = ranked(nat, "_nat", "code", n_rows=few[c])
-            made[c] = Categories(coded.select(F.col("code").cast("int").alias("code"), "category"))
+            made[c] = Categories(coded.select(F.col("code").cast("int").alias("code"), "category"), size=few[c])
         lm = lm.replace(**{f"{axis}_categories": {**held, **made}})
     return lm
 
@@ -79,7 +81,7 @@ def set_palette(lm: LabeledMatrix, axis: str, column: str, colors: Sequence[str]
     colors = [colors] if isinstance(colors, str) else list(colors)
     palette = small_table(lm.spark, list(enumerate(colors)), "code int, color string")
     old = held[column]
-    return lm.replace(**{f"{axis}_categories": {**held, column: Categories(old.table, old.ordered, palette)}})
+    return lm.replace(**{f"{axis}_categories": {**held, column: dataclasses.replace(old, colors=palette)}})
 
 
 def rename_categories(lm: LabeledMatrix, axis: str, column: str, categories: Sequence[str]) -> LabeledMatrix:
@@ -101,7 +103,7 @@ def rename_categories(lm: LabeledMatrix, axis: str, column: str, categories: Seq
     renamed = table.join(lookup, column, "left").select(
         *[F.col("_new").alias(column) if c == column else F.col(c) for c in table.columns]
     )
-    cats = Categories(pairs.select("code", F.col("_new").alias("category")), old.ordered, old.colors)
+    cats = Categories(pairs.select("code", F.col("_new").alias("category")), old.ordered, old.colors, n)
     uns = None if lm.uns is None else rename_linked_fields(lm.uns, column, pairs.select("category", "_new"))
     return lm.replace(**{axis: renamed, f"{axis}_categories": {**held, column: cats}, "uns": uns})
 

@@ -401,7 +401,7 @@ def concat(
     dictionaries = _shared_dictionaries(lms, annotation(obs))
     if label is not None:
         codes = small_table(lms[0].spark, list(enumerate(keys)), "code int, category string")
-        dictionaries[label] = Categories(codes)
+        dictionaries[label] = Categories(codes, size=len(keys))
     return LabeledMatrix(
         obs=obs,
         var=merge_columns([lm.var for lm in lms], to.target, merge, [annotation(lm.var) for lm in lms]),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import Graph, Table, Vectors
+from ..plans.ranks import ranked, sort_text
 
 
 def shared_keys(mappings: Sequence[Mapping | Sequence[str]]) -> list[str]:
@@ -27,6 +28,20 @@ def all_keys(mappings: Sequence[Mapping | Sequence[str]]) -> list[str]:
     return list(dict.fromkeys(k for m in mappings for k in m))
 
 
+def key_order(tagged: DataFrame, n_inputs: int, how: str) -> DataFrame:
+    """``(key, pos)``: the keys of any input, or of every input, in first-seen order.
+
+    The table form of ``all_keys`` / ``shared_keys`` for ``(ds, at, key)`` rows,
+    where ``at`` orders the keys of one input.
+    """
+    seen = tagged.groupBy("key").agg(
+        F.count_distinct("ds").alias("n"), F.min(sort_text(F.col("ds"), F.col("at"))).alias("first")
+    )
+    if how == "shared":
+        seen = seen.where(F.col("n") == n_inputs)
+    return ranked(seen, "first", "pos").select("key", "pos")
+
+
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

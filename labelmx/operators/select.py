@@ -273,7 +273,8 @@ def prune(cats: Categories, table: DataFrame, column: str) -> Categories:
     """
     used = table.select(F.col(column).cast("string").alias("category")).distinct()
     kept = cats.table.join(used, "category", "left_semi")
-    new = ranked(kept, "code", "new_code").withColumn("new_code", F.col("new_code").cast("int"))
+    # with a known size this only extends the plan; no job runs per selection
+    new = ranked(kept, "code", "new_code", n_rows=cats.size).withColumn("new_code", F.col("new_code").cast("int"))
     renumbered = new.select(F.col("new_code").alias("code"), "category")
     colors = cats.colors
     if colors is not None:
@@ -281,4 +282,4 @@ def prune(cats: Categories, table: DataFrame, column: str) -> Categories:
             colors = None
         else:
             colors = colors.join(new, "code").select(F.col("new_code").alias("code"), "color")
-    return Categories(renumbered, cats.ordered, colors)
+    return Categories(renumbered, cats.ordered, colors, cats.size)

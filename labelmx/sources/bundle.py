@@ -91,6 +91,12 @@ def _load(spark: SparkSession, path: str, entry: dict) -> DataFrame:
     return out.select(*names)
 
 
+def _slot_of(name: str) -> tuple[str, str]:
+    """``layers/k`` → slot and key; keys may hold slashes themselves."""
+    prefix = "raw/varm/" if name.startswith("raw/varm/") else name.partition("/")[0] + "/"
+    return ("", name) if name in ("X", "raw/X") else (prefix[:-1], name[len(prefix):])
+
+
 def _encode_nan(x: float) -> float | str:
     return "nan" if math.isnan(x) else x
 
@@ -181,7 +187,7 @@ def write_bundle(
         manifest["axes"][axis] = {**entry, "n": stats.n, "max_key": -1 if stats.k is None else stats.k, "dense": True}
         places[axis] = stored.select(F.col("key").alias(f"{axis}_key"), F.col("ord").alias(f"_{axis}_pos"))
         for col, cats in getattr(lm, f"{axis}_categories").items():
-            manifest["categories"].setdefault(axis, {})[col] = {"ordered": cats.ordered, "colors": cats.colors is not None}
+            manifest["categories"].setdefault(axis, {})[col] = {"ordered": cats.ordered, "colors": cats.colors is not None, "size": cats.size}
             tag = (F.lit(axis).alias("axis"), F.lit(col).alias("column"), F.col("code").cast("int").alias("code"))
             dictionaries.append(cats.table.select(*tag, F.lit("category").alias("kind"), F.col("category").alias("text")))
             if cats.colors is not None:
@@ -221,7 +227,7 @@ def read_bundle(spark: SparkSession, path: str) -> LabeledMatrix:
     groups: dict[str, dict] = {s: {} for s in ("layers", "obsm", "varm", "obsp", "varp", "raw/varm")}
     single = {}
     for name, entry in m["slots"].items():
-        slot, _, key = name.rpartition("/")
+        slot, key = _slot_of(name)
         if slot in groups:
             groups[slot][key] = _element(spark, path, entry)
         else:
@@ -232,7 +238,7 @@ def read_bundle(spark: SparkSession, path: str) -> LabeledMatrix:
         for col, e in columns.items():
             mine = table.where((F.col("axis") == axis) & (F.col("column") == col))
             texts = lambda kind: mine.where(F.col("kind") == kind).select("code", F.col("text").alias(kind))
-            cats[axis][col] = Categories(texts("category"), e["ordered"], texts("color") if e["colors"] else None)
+            cats[axis][col] = Categories(texts("category"), e["ordered"], texts("color") if e["colors"] else None, e["size"])
     raw = None
     if "raw/var" in m["axes"]:
         raw = Raw(single.get("raw/X"), _load(spark, path, m["axes"]["raw/var"]), groups["raw/varm"], True)
@@ -318,7 +324,7 @@ def append(
             if (given.absent == 0) != (entry["absent"] == 0):
                 raise ValueError(f"{name} is stored {'sparse' if entry['absent'] == 0 else 'dense'}: the formats differ")
     for name, entry in m["slots"].items():
-        slot, _, key = name.rpartition("/")
+        slot, key = _slot_of(name)
         if entry["kind"] == "matrix" and not name.startswith("raw/"):
             slots[name] = grown(entry, cells(new.X if name == "X" else new.layers[key]), name)
         elif slot == f"{axis}m":
