@@ -15,6 +15,7 @@ import warnings
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +48,14 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     return found
 
 
+def _next_commit(spark: SparkSession, path: str) -> int:
+    """0 for a new path; a later number replaces what is stored there."""
+    try:
+        return read_manifest(spark, path)["commit"] + 1
+    except (AnalysisException, FileNotFoundError):
+        return 0
+
+
 def _commit(spark: SparkSession, path: str, manifest: dict) -> None:
     body = json.dumps(manifest)
     small_table(spark, [(manifest["commit"], body)], "commit bigint, body string").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
@@ -163,7 +172,8 @@ def write_bundle(
     ``layout`` clusters cells by ``rows`` or ``cols``; ``chunks=(r, c)`` stores
     them in partitioned blocks instead. ``as_dense`` writes out every cell of
     ``X`` or ``raw/X``. Axis positions are computed once here, so that reading
-    and slicing the stored matrix needs no numbering.
+    and slicing the stored matrix needs no numbering. A matrix already stored at
+    ``path`` is replaced when the new one is complete; it may be the source.
     """
     for name in as_dense:
         if name not in ("X", "raw/X"):
@@ -176,7 +186,7 @@ def write_bundle(
         lm = make_categories(lm)
     spark, w = lm.spark, _Writer(path, compression, compression_level)
     layout = "blocks" if chunks else layout
-    manifest = {"version": FORMAT_VERSION, "commit": 0, "layout": layout, "batches": {}, "axes": {}, "slots": {}, "categories": {}}
+    manifest = {"version": FORMAT_VERSION, "commit": _next_commit(spark, path), "layout": layout, "batches": {}, "axes": {}, "slots": {}, "categories": {}}
 
     places, dictionaries = {}, []
     for axis in ("obs", "var"):

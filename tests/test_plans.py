@@ -102,3 +102,30 @@ def test_cut_and_stored_keep_rows(spark):
     assert cut(df).agg(F.sum("v")).first()[0] == 9900
     back = stored(df)
     assert back.agg(F.sum("v")).first()[0] == 9900 and back.columns == df.columns
+
+
+def test_hot_row_is_split_in_selection(spark):
+    """A third of all cells in one row: the join splits that partition."""
+    from labelmx import Matrix, create, tune
+    from labelmx.model import axis_table
+
+    tune(spark)
+    hot = spark.range(20_000).select(F.lit(7).cast("bigint").alias("obs_key"), F.col("id").alias("var_key"), F.lit(1.0).alias("value"))
+    rest = spark.range(40_000).select((F.col("id") % 4000 + 10).alias("obs_key"), F.col("id").alias("var_key"), F.lit(2.0).alias("value"))
+    cells = stored(hot.unionByName(rest).repartition(8))
+    lm = create(None, axis_table(spark.range(5000), key="id"), axis_table(spark.range(40_000), key="id"), dtype=None).replace(X=Matrix(cells))
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB", "spark.sql.shuffle.partitions": "16",
+    }
+    old = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        kept = lm.subset(obs=F.col("key") < 4500).X.cells
+        assert len(kept.collect()) == 60_000
+        assert "skew=true" in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
