@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import toxicity
+from . import line_dedup, toxicity
 from .base import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,3 +37,52 @@ def op10_toxicity(spark, sf_dir):
         "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"), "n_words", "terms",
     )
+
+
+# Lines are compared at code-point level by cutting the line at every position.
+LINE_SQL = """
+WITH occ AS (
+  SELECT doc_id, no, line FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents
+  ) WHERE length(line) >= 20
+), firsts AS (
+  SELECT line, length(line) AS n, min((doc_id, no)) AS pos FROM occ GROUP BY line
+), halves AS (
+  SELECT line, n, pos, h, side, CASE WHEN side = 0 THEN left(line, h) ELSE right(line, h) END AS half
+  FROM (SELECT *, unnest(list_distinct([n // 2, (n - 1) // 2])) AS h FROM firsts), (SELECT unnest([0, 1]) AS side)
+), pairs AS (
+  SELECT DISTINCT a.line AS line, b.line AS other, a.n AS n, b.n AS m
+  FROM halves a JOIN halves b ON a.h = b.h AND a.side = b.side AND a.half = b.half AND b.pos < a.pos AND abs(a.n - b.n) <= 1
+), near AS (
+  SELECT DISTINCT line FROM pairs WHERE len(list_filter(range(0, greatest(n, m)), lambda p:
+    CASE WHEN n = m THEN left(line, p) = left(other, p) AND substr(line, p + 2) = substr(other, p + 2)
+         WHEN n > m THEN left(line, p) = left(other, p) AND substr(line, p + 2) = substr(other, p + 1)
+         ELSE left(line, p) = left(other, p) AND substr(line, p + 1) = substr(other, p + 2) END)) > 0
+), gone AS (
+  SELECT occ.doc_id, count(*) AS n_removed, sum(length(occ.line)) AS chars_removed
+  FROM occ JOIN firsts f ON f.line = occ.line LEFT JOIN near ON near.line = occ.line
+  WHERE near.line IS NOT NULL OR (occ.doc_id, occ.no) > f.pos GROUP BY occ.doc_id
+)
+"""
+
+
+@query("op6_line_dedup", LINE_SQL + """
+, kept AS (
+  SELECT d.doc_id, string_agg(line, chr(10) ORDER BY d.no) AS text, count(*) AS n_kept
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents) d
+  LEFT JOIN (SELECT occ.doc_id, occ.no FROM occ JOIN firsts f ON f.line = occ.line LEFT JOIN near ON near.line = occ.line
+             WHERE near.line IS NOT NULL OR (occ.doc_id, occ.no) > f.pos) g ON g.doc_id = d.doc_id AND g.no = d.no
+  WHERE g.doc_id IS NULL GROUP BY d.doc_id
+)
+SELECT d.doc_id, CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines, CAST(coalesce(n_kept, 0) AS BIGINT) AS n_kept,
+       sha256(coalesce(k.text, '')) AS text_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+""")
+def op6_line_dedup(spark, sf_dir):
+    """Per document: lines before and after the dedup, and the digest of what stays."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("before"))
+    done = line_dedup.dedup_lines(docs)
+    lines = lambda c: F.coalesce(F.size(F.split(c, "\n", -1)), F.lit(0)).cast("bigint")
+    n = lines("before")
+    kept = F.when((F.col("text") == "") & (F.col("before") != ""), F.lit(0).cast("bigint")).otherwise(lines("text"))
+    return done.select("doc_id", n.alias("n_lines"), kept.alias("n_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
