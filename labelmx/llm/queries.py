@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import line_dedup, toxicity
+from . import line_dedup, ngram_join, toxicity
 from .base import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,30 @@ def op6_line_dedup(spark, sf_dir):
     n = lines("before")
     kept = F.when((F.col("text") == "") & (F.col("before") != ""), F.lit(0).cast("bigint")).otherwise(lines("text"))
     return done.select("doc_id", n.alias("n_lines"), kept.alias("n_kept"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query("op9_ngram_jaccard", r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words
+), entries AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS h FROM sets
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i, any_value(a.n) AS nx, any_value(b.n) AS ny
+  FROM entries a JOIN entries b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM common WHERE 100 * i >= 75 * (nx + ny - i)
+), steps AS (
+  SELECT x AS a, y AS b FROM links UNION ALL SELECT y, x FROM links
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM sets UNION SELECT r.a, s.b FROM reach r JOIN steps s ON s.a = r.b
+), low AS (
+  SELECT a, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN low ON low.a = doc_id
+""")
+def op9_ngram_jaccard(spark, sf_dir):
+    """Set size and component of every document under 5-word shingles and a Jaccard similarity of 0.75."""
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), width=5, threshold=75)

@@ -89,7 +89,7 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
             if e - s >= width:
                 yield np.unique(rolled[s : e - width + 1])
             elif e > s:
-                short = (hashes[s:e] * weights[: e - s]).sum(dtype=np.uint64)
-                yield mix(np.array([short], np.uint64) + np.uint64(e - s) * _STEP)
+                short = (hashes[s:e] * weights[: e - s]).sum(dtype=np.uint64, keepdims=True)
+                yield mix(short + np.full(1, e - s, np.uint64) * _STEP)
             else:
                 yield np.zeros(0, np.uint64)
