@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import line_dedup, ngram_join, toxicity
+from . import bpe, line_dedup, mixing, ngram_join, toxicity
 from .base import fold, table
 
+MIX = {"good": 0.85, "low": 0.1, "toxic": 0.05}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -113,3 +115,24 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN
 def op9_ngram_jaccard(spark, sf_dir):
     """Set size and component of every document under 5-word shingles and a Jaccard similarity of 0.75."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), width=5, threshold=75)
+
+
+@query("op1_mixing")
+def op1_mixing(spark, sf_dir):
+    """Rate of every document that brings the expected token totals of its domains to the target weights."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rates, model, _ = mixing.mixing_rates(docs, mixing.label_domains(labels), MIX)
+    member = [F.get("posteriors", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(model.domains)]
+    return rates.select("doc_id", "n_tokens", *member, "rate")
+
+
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op7_bpe")
+def op7_bpe(spark, sf_dir):
+    """Token count and digests of the ids and of the decoded text of every document."""
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
