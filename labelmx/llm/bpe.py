@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterable
 from typing import NamedTuple
 
@@ -32,15 +33,21 @@ from pyspark.sql import types as T
 from .base import column
 
 _SPACES = b" \t\n\x0b\x0c\r"
+_ASCII_CUT = re.compile("[ \\t-\\r]*[^ \\t-\\r]+|[ \\t-\\r]+").findall
+_SEPARATOR = re.compile("[\\x1c-\\x1f]").search
 _KEEP_CHARS = 64
-_KEEP_ENTRIES = 150_000
+_KEEP_ENTRIES = 300_000
+
+
+# Fixed value: the pre-tokenizer pattern of byte-level vocabularies.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Vocabulary(NamedTuple):
-    """What tasks need of a tokenizer: its JSON, the bytes of each id, and the pattern of its cuts."""
+    """What tasks need of a tokenizer: the bytes of each id, special tokens, and the pattern of its cuts."""
 
-    source: str
     tokens: list[bytes | None]
+    special: dict[str, int]
     cuts: str | None
 
 
@@ -52,53 +59,108 @@ def _byte_of_char() -> dict[str, int]:
 
 
 def load_vocabulary(path: str) -> Vocabulary:
-    """Read a byte-level BPE tokenizer file on the driver."""
+    """Read a byte-level BPE tokenizer file on the driver; its ids must follow its merges."""
     with open(path, encoding="utf-8") as f:
-        source = f.read()
-    spec = json.loads(source)
-    if spec["model"]["type"] != "BPE" or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or spec.get("normalizer"):
-        raise ValueError("a byte-level BPE without normalizer is needed")
-    spec |= {"truncation": None, "padding": None}
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if model["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or spec.get("normalizer"):
+        raise ValueError("a byte-level BPE without normalizer or prefix space is needed")
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    if any(model["vocab"][t] != 256 + i for i, t in enumerate(merged)):
+        raise ValueError("ids that follow the merges are needed")
     byte = _byte_of_char()
-    as_bytes = lambda token: bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
-    vocab = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
-    tokens: list[bytes | None] = [None] * (max(vocab.values(), default=-1) + 1)
-    for token, i in vocab.items():
-        tokens[i] = as_bytes(token)
-    return Vocabulary(json.dumps(spec), tokens, forced_cuts(t for t in tokens if t))
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    tokens: list[bytes | None] = [None] * (max([*model["vocab"].values(), *special.values()], default=-1) + 1)
+    for token, i in model["vocab"].items():
+        if token not in special:
+            tokens[i] = bytes(byte[c] for c in token)
+    cuts = forced_cuts(t for t in tokens if t)
+    for token, i in special.items():
+        tokens[i] = token.encode()
+    return Vocabulary(tokens, special, cuts)
 
 
 def forced_cuts(tokens: Iterable[bytes]) -> str | None:
-    """Pattern of the white space before which every text may be cut after a non-space."""
-    inside = {(a, b) for t in tokens for a, b in zip(t, t[1:])}
-    free = [y for y in _SPACES if not any((x, y) in inside for x in range(256) if x not in _SPACES)]
-    return "(?<=\\S)(?=[" + "".join(f"\\x{y:02x}" for y in free) + "])" if free else None
+    """Pattern of the places before white space where every text may be cut.
+
+    The byte before such a place ends a non-space character and forms no pair
+    inside any token with the white space behind it. Characters from U+0800 on
+    are cut after only if none of their last bytes forms such a pair.
+    """
+    before: dict[int, set[int]] = {y: set() for y in _SPACES}
+    for t in tokens:
+        for a, b in zip(t, t[1:]):
+            if b in before:
+                before[b].add(a)
+    parts = []
+    for y, bad in before.items():
+        free = [c for c in range(0x800) if not chr(c).isspace() and chr(c).encode("utf-8", "surrogatepass")[-1] not in bad]
+        ranges: list[list[int]] = []
+        for c in free:
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+        inside = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges)
+        if not any(0x80 <= b < 0xC0 for b in bad):
+            inside += "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _above())
+        if inside:
+            parts.append((inside, y))
+    groups: dict[str, list[int]] = {}
+    for inside, y in parts:
+        groups.setdefault(inside, []).append(y)
+    return "|".join(f"(?<=[{inside}])(?=[{''.join(f'\\x{y:02x}' for y in ys)}])" for inside, ys in groups.items()) or None
+
+
+def _above() -> list[tuple[int, int]]:
+    """Ranges of non-space characters from U+0800 on."""
+    out, start = [], 0x800
+    for c in range(0x800, 0x3002):
+        if chr(c).isspace():
+            if c > start:
+                out.append((start, c - 1))
+            start = c + 1
+    return [*out, (start, 0x10FFFF)]
 
 
 class Encoder:
     """Encodes texts in one task; keeps the ids of short fragments, up to a bound."""
 
-    def __init__(self, source: str, cuts: str | None):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(source)
-        self.split = re.compile(cuts).split if cuts else lambda text: [text]
-        self.kept: dict[str, np.ndarray] = {}
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        pieces = [self.split(t) if t else [] for t in texts]
-        new = list({f for p in pieces for f in p if f not in self.kept})
-        fresh = {f: np.array(e.ids, np.int32) for f, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False))}
-        kept = self.kept
-        look = lambda f: kept[f] if f in kept else fresh[f]
-        out = [np.concatenate([look(f) for f in p]) if p else np.zeros(0, np.int32) for p in pieces]
-        if len(kept) + len(fresh) > _KEEP_ENTRIES:
+    def __init__(self, tokens: list[bytes | None], special: dict[str, int], cuts: str | None):
+        import tiktoken
+
+        ranks = {t: i for i, t in enumerate(tokens) if t is not None and i not in special.values()}
+        self.plain = tiktoken.Encoding("fragments", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.ordinary = self.plain.encode_ordinary
+        self.special = list(special)
+        self.cut = re.compile(cuts).split if cuts else lambda text: [text]
+        # in ASCII texts the cuts are simple, if no ASCII character was ruled out
+        simple = "\\u0000-\\u0008\\u000e-\\u001b\\u0021-\\u0084"
+        self.simple = cuts is not None and cuts.count("(?=") == cuts.count(simple) and all(f"\\x{y:02x}" in cuts for y in _SPACES)
+        self.kept: dict[str, bytes] = {}
+
+    def split(self, text: str) -> list[str]:
+        return _ASCII_CUT(text) if self.simple and text.isascii() and not _SEPARATOR(text) else self.cut(text)
+
+    def _ids(self, fragment: str) -> bytes:
+        if any(s in fragment for s in self.special):
+            return array("i", self.plain.encode(fragment, allowed_special="all")).tobytes()
+        return array("i", self.ordinary(fragment)).tobytes()
+
+    def encode(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.int32)
+        fragments, kept = self.split(text), self.kept
+        new = set(fragments).difference(kept)
+        for f in new:
+            kept[f] = self._ids(f)
+        ids = np.frombuffer(b"".join(map(kept.__getitem__, fragments)), np.int32)
+        for f in new:
+            if len(f) > _KEEP_CHARS:
+                del kept[f]
+        if len(kept) > _KEEP_ENTRIES:
             kept.clear()
-        kept.update((f, ids) for f, ids in list(fresh.items())[: _KEEP_ENTRIES] if len(f) <= _KEEP_CHARS)
-        return out
+        return ids
 
 
 def _slices(lengths: list[int], most: int = 1_000_000):
@@ -115,7 +177,7 @@ def _slices(lengths: list[int], most: int = 1_000_000):
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with ``out``: the ids of ``text``, as the tokenizer's own encode without added special tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary.source, vocabulary.cuts))  # as large as the vocabulary file
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(vocabulary))  # as large as the vocabulary file
     kept = [c for c in docs.columns if c.lower() != out.lower()]
     rows = docs.select(*[column(c) for c in kept], column(text).cast("string").alias(out))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField(out, T.ArrayType(T.IntegerType(), False))])
@@ -125,7 +187,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text", out:
         for b in batches:
             for s, e in _slices([len(x) if x else 0 for x in b.column(b.num_columns - 1).to_pylist()]):
                 part = b.slice(s, e - s)
-                ids = encoder.encode(part.column(part.num_columns - 1).to_pylist())
+                ids = [encoder.encode(t) for t in part.column(part.num_columns - 1).to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=b.schema.names)
