@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import bpe, line_dedup, mixing, ngram_join, toxicity
+from ..plans.durable import new_path, stored
+from . import bpe, dimension_scan, host_words, line_dedup, mixing, ngram_join, rollups, toxicity
 from .base import fold, table
 
 MIX = {"good": 0.85, "low": 0.1, "toxic": 0.05}
@@ -136,3 +137,39 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 def op7_bpe(spark, sf_dir):
     """Token count and digests of the ids and of the decoded text of every document."""
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+@query("op5_dimension_scan")
+def op5_dimension_scan(spark, sf_dir):
+    """The five nearest vectors by cosine for every row whose vec_id is divisible by 50."""
+    return dimension_scan.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+@query("op3_host_words")
+def op3_host_words(spark, sf_dir):
+    """Verdict on every page's URL: its longest rule's, else the classifier's."""
+    return host_words.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op8_token_rollup")
+def op8_token_rollup(spark, sf_dir):
+    """Token totals by source, language and tokenizer version after three batches: all documents come,
+    those with runs of blanks are counted again without them, later copies of equal texts go. One batch is
+    delivered twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    versions = {"byte_bpe_50k": bpe.load_vocabulary(vocabulary_path()), "bytes": None}
+    counted = stored(rollups.count_tokens(docs, versions), "counts")
+    plain = F.regexp_replace("text", r"[ \t]+", " ")
+    revised = docs.where(F.col("text").rlike(r"\t|  ")).withColumn("text", plain)
+    after = stored(rollups.count_tokens(revised, versions), "counts")
+    rollup = rollups.Rollup(spark, new_path(spark, "rollup"))
+    rollup.commit("insert", rollups.changes(inserted=counted))
+    revise = rollups.changes(inserted=after, deleted=counted.join(after.select("doc_id").distinct(), "doc_id", "left_semi"))
+    rollup.commit("revise", revise)
+    same = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    first = same.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = stored(same.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id"), "copies")
+    now = counted.join(after.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(after)
+    rollup.commit("delete", rollups.changes(deleted=now.join(copies, "doc_id", "left_semi")))
+    rollup.commit("revise", revise)
+    return rollup.totals()
