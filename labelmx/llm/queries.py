@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import tune
 from ..plans.durable import new_path, stored
-from . import bpe, dimension_scan, host_words, line_dedup, mixing, ngram_join, rollups, toxicity
+from . import bpe, dimension_scan, edit_embedding, host_words, line_dedup, mixing, ngram_join, rollups, toxicity
 from .base import fold, table
 
 MIX = {"good": 0.85, "low": 0.1, "toxic": 0.05}
@@ -173,3 +173,9 @@ def op8_token_rollup(spark, sf_dir):
     rollup.commit("delete", rollups.changes(deleted=now.join(copies, "doc_id", "left_semi")))
     rollup.commit("revise", revise)
     return rollup.totals()
+
+
+@query("op2_edit_embedding")
+def op2_edit_embedding(spark, sf_dir):
+    """Fingerprints of every document and of its text edited with the next document's, and their likeness."""
+    return edit_embedding.compare_with_next(table(spark, sf_dir, "documents"))
