@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import tune
 from ..plans.durable import new_path, stored
-from . import bpe, dimension_scan, edit_embedding, host_words, line_dedup, mixing, ngram_join, rollups, toxicity
+from . import bpe, dimension_scan, edit_embedding, host_words, line_dedup, mixing, ngram_join, ppm, rollups, toxicity
 from .base import fold, table
 
 MIX = {"good": 0.85, "low": 0.1, "toxic": 0.05}
@@ -179,3 +179,9 @@ def op8_token_rollup(spark, sf_dir):
 def op2_edit_embedding(spark, sf_dir):
     """Fingerprints of every document and of its text edited with the next document's, and their likeness."""
     return edit_embedding.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query("op4_ppm")
+def op4_ppm(spark, sf_dir):
+    """Log10 probability of every document under the trained model, and under the unigram model."""
+    return ppm.train_and_score(table(spark, sf_dir, "documents"), held_out=2, folds=7)
