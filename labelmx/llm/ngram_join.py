@@ -195,11 +195,15 @@ class NgramJoin:
     def links(self, sets: DataFrame) -> DataFrame:
         """Verified links ``(a, b)`` between sets that join everything the threshold joins."""
         reps = sets.where("doc_id = rep").select("doc_id", "n", "s1", "s2")
-        heads = self.signed.join(reps, ["doc_id", "n", "s1", "s2"], "left_semi").dropDuplicates(["doc_id", "n", "s1", "s2"])
-        groups = heads.groupBy("n", "p1", "p2").agg(F.min("doc_id").alias("gid"), F.count(F.lit(1)).alias("members"))
-        member = stored(heads.select("doc_id", "n", "p1", "p2").join(groups, ["n", "p1", "p2"]).select(F.col("doc_id").alias("id"), "gid", "n", "members"), "members")
-        lead = member.where("id = gid").select("gid")
-        lists = heads.select(F.col("doc_id").alias("gid"), "tokens").join(lead, "gid", "left_semi").mapInArrow(_postings, "token bigint, gid bigint")
+        narrow = self.signed.select("doc_id", "n", "s1", "s2", "p1", "p2").distinct()
+        heads = stored(narrow.join(reps, ["doc_id", "n", "s1", "s2"], "left_semi"), "heads")
+        groups = heads.groupBy("n", "p1", "p2").agg(F.min(F.struct("doc_id", "s1", "s2")).alias("lead"), F.count(F.lit(1)).alias("members"))
+        member = heads.select(F.col("doc_id").alias("id"), "n", "p1", "p2").join(groups, ["n", "p1", "p2"])
+        member = stored(member.select("id", F.col("lead.doc_id").alias("gid"), "n", "members"), "members")
+        # the only exchange of whole prefixes, one row per group
+        lead = groups.select("lead.*")
+        lists = self.signed.select("doc_id", "s1", "s2", "tokens").join(lead, ["doc_id", "s1", "s2"], "left_semi")
+        lists = lists.select("doc_id", "tokens").mapInArrow(_postings, "token bigint, gid bigint")
         lists = lists.repartition(task_count(lists), "token").sortWithinPartitions("token").mapInArrow(_shared_only, "token bigint, gid bigint")
         # members of one group share their whole prefix
         several = member.where("members > 1").select(F.xxhash64(F.lit("group"), "gid").alias("token"), "id", "n", self._prefix().alias("shares"))

@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import tune
 from ..plans.durable import new_path, stored
 from . import bpe, dimension_scan, edit_embedding, host_words, line_dedup, mixing, ngram_join, ppm, rollups, toxicity
-from .base import fold, table
+from .base import fold, ready, table
 
 MIX = {"good": 0.85, "low": 0.1, "toxic": 0.05}
 
@@ -21,7 +20,7 @@ ORACLES: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(tune(spark), sf_dir)
+            return fn(ready(spark), sf_dir)
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run
         if sql:
