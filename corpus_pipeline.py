@@ -10,39 +10,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from labelmx.llm import bpe, line_dedup, mixing, ngram_join, toxicity
-from labelmx.llm.base import table
+from labelmx.llm.base import ready, table
 from labelmx.llm.queries import MIX, vocabulary_path
 from labelmx.plans.durable import stored
-from labelmx.session import tune
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under 0.7 by a lexicon learned from the labels."""
-    tune(spark)
+    ready(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that repeat or nearly repeat an earlier one."""
-    tune(spark)
+    ready(spark)
     return line_dedup.dedup_lines(docs)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a 5-word shingle similarity of 0.75 or more."""
-    tune(spark)
+    ready(spark)
     return ngram_join.keep_one(docs, width=5, threshold=75)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that expected domain tokens follow the target weights."""
-    tune(spark)
+    ready(spark)
     return mixing.mix(docs, mixing.label_domains(table(spark, sf_dir, "labels")), MIX)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts."""
-    tune(spark)
+    ready(spark)
     return bpe.digests(docs, vocabulary_path())
 
 
