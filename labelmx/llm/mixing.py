@@ -39,6 +39,7 @@ from ..plans.durable import stored
 from .base import column, fresh
 
 BUCKETS = 4096
+SMOOTHING = 0.1
 MAX_LABELLED = 50_000
 MAX_STEPS = 50
 _SPACE = " \t\n\x0b\f\r"
@@ -77,7 +78,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, *, max_labelled: int =
     sizes = {r.domain: r["count"] for r in known.join(texts.select("id").distinct(), "id", "left_semi").groupBy("domain").count().collect()}
     domains = tuple(sorted(sizes))
     total = sum(sizes.values())
-    counts = {d: [1.0] * BUCKETS for d in domains}
+    counts = {d: [SMOOTHING] * BUCKETS for d in domains}
     for r in counted:
         if not r.none:
             counts[r.domain][r.bucket] += r["count"]
