@@ -183,8 +183,9 @@ class NgramJoin:
         self.spark, self.width, self.threshold = docs.sparkSession, width, threshold
         self.docs = docs.select(column("doc_id").cast("bigint").alias("doc_id"), column(text).alias("text"))
         order = self.spark.sparkContext.broadcast(shingle_counters(self.docs, width=width))
-        signed = self.docs.mapInArrow(partial(_signatures, width, threshold, order), "doc_id bigint, n bigint, s1 bigint, s2 bigint, p1 bigint, p2 bigint, tokens binary")
-        self.signed = stored(signed, "signed")
+        # prefixes are computed again where they are needed: that costs less than to keep them on disk
+        self.whole = self.docs.mapInArrow(partial(_signatures, width, threshold, order), "doc_id bigint, n bigint, s1 bigint, s2 bigint, p1 bigint, p2 bigint, tokens binary")
+        self.signed = stored(self.whole.drop("tokens"), "signed")
 
     def sets(self) -> DataFrame:
         """``(doc_id, n, s1, s2, rep)`` per document and set; rep is the smallest document with that set."""
@@ -202,7 +203,7 @@ class NgramJoin:
         member = stored(member.select("id", F.col("lead.doc_id").alias("gid"), "n", "members"), "members")
         # the only exchange of whole prefixes, one row per group
         lead = groups.select("lead.*")
-        lists = self.signed.select("doc_id", "s1", "s2", "tokens").join(lead, ["doc_id", "s1", "s2"], "left_semi")
+        lists = self.whole.select("doc_id", "s1", "s2", "tokens").join(lead, ["doc_id", "s1", "s2"], "left_semi")
         lists = lists.select("doc_id", "tokens").mapInArrow(_postings, "token bigint, gid bigint")
         lists = lists.repartition(task_count(lists), "token").sortWithinPartitions("token").mapInArrow(_shared_only, "token bigint, gid bigint")
         # members of one group share their whole prefix
@@ -229,7 +230,7 @@ class NgramJoin:
                 if not left:
                     break
                 pairs_left = main.agg(F.sum(F.col("others") * F.col("size"))).first()[0]
-                last = 10 * found < asked or pairs_left <= 8 * left
+                last = 20 * found < asked or pairs_left <= left
                 if last:
                     strange = rows.where("label <> main").select("token", "shares", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
                     whole = rows.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), (F.col("label") == F.col("main")).alias("common"))
