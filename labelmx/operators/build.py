@@ -118,7 +118,10 @@ def from_wide(
     cells = rows.select(F.col("key").alias("obs_key"), F.posexplode(values).alias("var_key", "value"))
     cells = cells.withColumn("var_key", F.col("var_key").cast("bigint"))
     if sparse:
-        cells = cells.where(F.col("value") != 0)
+        # a missing value is not a zero: it stays, as NaN where the type has one
+        if kind in ("float", "double"):
+            cells = cells.withColumn("value", F.coalesce("value", F.lit(float("nan")).cast(kind)))
+        cells = cells.where(F.col("value").isNull() | (F.col("value") != 0))
     m = Matrix(cells, 0.0 if sparse else float("nan"))
     return LabeledMatrix(obs, var, m.cast(dtype) if dtype else m, obs_dense=True, var_dense=True)
 

@@ -21,6 +21,10 @@ def constant_cells(obs: DataFrame, var: DataFrame, value: Column) -> DataFrame:
     return grid.select("obs_key", F.explode("keys").alias("var_key"), value.alias("value"))
 
 
+def _is_absent(value, absent) -> bool:
+    return value == absent or (value != value and absent != absent)
+
+
 def set_matrix(lm: LabeledMatrix, value, *, layer: str | None = None, dtype: str | None = None) -> LabeledMatrix:
     """Replace X (or a layer).
 
@@ -38,7 +42,8 @@ def set_matrix(lm: LabeledMatrix, value, *, layer: str | None = None, dtype: str
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         old = lm.X if layer is None else lm.layers.get(layer)
         absent = old.absent if old is not None else float("nan")
-        return put(Matrix(constant_cells(lm.obs, lm.var, F.lit(float(value))), absent))
+        cells = constant_cells(lm.obs, lm.var, F.lit(float(value)))
+        return put(Matrix(cells.where("false") if _is_absent(value, absent) else cells, absent))
     if isinstance(value, DataFrame) and set(value.columns) == {"key", "value"}:
         n_obs, n_vars = lm.shape
         if 1 not in (n_obs, n_vars):
@@ -77,6 +82,8 @@ def assign_block(lm: LabeledMatrix, obs, var, value, *, layer: str | None = None
         new = new.join(picks["var"].select(F.col("key").alias("var_key")), "var_key", "left_semi")
     else:
         new = constant_cells(picks["obs"], picks["var"], F.lit(float(value)))
+        if _is_absent(value, m.absent):
+            new = new.where("false")  # the block's cells are absent then
     new = new.select("obs_key", "var_key", F.col("value").cast(kind).alias("value"))
     changed = Matrix(outside.select("obs_key", "var_key", "value").unionByName(new), m.absent)
     return lm.replace(X=changed) if layer is None else lm.replace(layers={**lm.layers, layer: changed})

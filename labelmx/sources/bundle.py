@@ -74,14 +74,17 @@ class _Writer:
     """Writes tables of one attempt under names no other attempt uses."""
 
     def __init__(self, path: str, compression: str, level: int | None = None):
-        self.path, self.compression, self.level = path, compression, None if level is None else min(level, 9)
+        highest = 22 if compression == "zstd" else 9
+        if level is not None and not 0 <= level <= highest:
+            raise ValueError(f"{compression} has levels 0 to {highest}, not {level}")
+        self.path, self.compression, self.level = path, compression, level
         self.attempt = uuid.uuid4().hex[:12]
 
     def table(self, df: DataFrame, slot: str, partition_by: Sequence[str] = ()) -> dict:
         segment = f"{slot}/seg-{self.attempt}"
         out = df.write.option("compression", self.compression)
         if self.level is not None:
-            out = out.option("parquet.compression.codec.zstd.level", self.level).option("zlib.compress.level", _ZLIB_LEVELS[self.level])
+            out = out.option("parquet.compression.codec.zstd.level", self.level).option("zlib.compress.level", _ZLIB_LEVELS[min(self.level, 9)])
         if partition_by:
             out = out.partitionBy(*partition_by)
         out.parquet(f"{self.path}/{segment}")

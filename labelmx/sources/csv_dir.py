@@ -44,7 +44,7 @@ def write_csvs(lm: LabeledMatrix, path: str, *, skip_data: bool = True, sep: str
         top = [r[0] for r in lm.uns.select(F.col("path")[0]).distinct().collect()]
         for k in top:
             leaves = lm.uns.where(F.col("path")[0] == k)
-            put(leaves.select(F.array_join(F.slice("path", 2, 1000), "/").alias("path"), "value"), f"uns/{k}", header=False)
+            put(leaves.select(F.array_join(F.slice("path", F.lit(2), F.size("path")), "/").alias("path"), "value"), f"uns/{k}", header=False)
 
 
 def _vectors_in_order(lm: LabeledMatrix, axis: str) -> DataFrame:
