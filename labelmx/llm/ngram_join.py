@@ -230,7 +230,7 @@ class NgramJoin:
                 if not left:
                     break
                 pairs_left = main.agg(F.sum(F.col("others") * F.col("size"))).first()[0]
-                last = 20 * found < asked or pairs_left <= left
+                last = not found or 20 * found < asked or pairs_left <= left
                 if last:
                     strange = rows.where("label <> main").select("token", "shares", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
                     whole = rows.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), (F.col("label") == F.col("main")).alias("common"))
