@@ -206,12 +206,17 @@ def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, flo
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float], *, seed: int = 0, text: str = "text") -> DataFrame:
     """``docs`` with each row as often as its rate says: the whole part, and one more by a hash of id, text and seed."""
-    _, model, shift = mixing_rates(docs, labelled, weights, text=text)
+    model = fit_classifier(docs, labelled, text=text)
+    if not model.domains:
+        return docs
+    size, copies = fresh(docs, "n_words"), fresh(docs, "copies")
+    # written once: expressions over posteriors that are not stored would compute them at every use
+    rows = stored(_with_memberships(docs, model, size, copies, text), "memberships")
+    shift = fit_shift(rows.select(column(size).alias("n_tokens"), column(copies).alias("posteriors")), model.domains, weights)
     if not shift:
         return docs
-    copies = fresh(docs, "copies")
     draw = F.pmod(F.xxhash64(F.lit(seed), column("doc_id"), column(text)), F.lit(1 << 30)) / float(1 << 30)
-    whole = _with_memberships(docs, model, fresh(docs, "n_words"), copies, text).withColumn(copies, rate_of(column(copies), shift))
+    whole = rows.withColumn(copies, rate_of(column(copies), shift))
     number = (F.floor(copies) + (draw < column(copies) - F.floor(copies)).cast("int")).cast("int")
     repeated = whole.withColumn(copies, F.array_repeat(F.lit(0), number))
     return repeated.select(*[column(c) for c in docs.columns], F.explode(column(copies)).alias(copies)).drop(copies)
