@@ -64,17 +64,15 @@ def raw_vector(lm: LabeledMatrix, axis: str, key: str) -> DataFrame:
     return vector(nested, axis, key)
 
 
-def to_wide(lm: LabeledMatrix, layer: str | None = None, *, use_raw: bool = False, max_columns: int = 2000) -> DataFrame:
+def to_wide(lm: LabeledMatrix, layer: str | None = None, *, use_raw: bool = False) -> DataFrame:
     """Names × names table: ``name`` plus one column per variable.
 
-    Columns are plan structure, so their number is checked; beyond
-    ``max_columns`` use ``reshape.pack_dense``, which keeps rows as arrays.
+    Columns are part of the plan, so their names are collected. For axes too
+    wide for that, ``reshape.pack_dense`` keeps rows as arrays.
     """
     m = pick_matrix(lm, layer=layer, use_raw=use_raw)
     var = lm.raw.var if use_raw else lm.var
-    names = var.orderBy("ord").select("key", "name").limit(max_columns + 1).collect()
-    if len(names) > max_columns:
-        raise ValueError(f"more than {max_columns} variables: use reshape.pack_dense for array rows")
+    names = var.orderBy("ord").select("key", "name").collect()
     table = lm.obs.select("key", "ord", "name")
     if not names:
         return table.select("name")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..model import LabeledMatrix, Matrix, Raw, Table, Vectors, axis_table
 from ..plans.local import small_table
-from ..plans.ranks import ranked, whole_div
+from ..plans.ranks import ranked
 
 
 def as_matrix(value, obs: DataFrame, var: DataFrame, dtype: str | None, absent: float = 0.0) -> Matrix | None:
@@ -23,8 +23,11 @@ def as_matrix(value, obs: DataFrame, var: DataFrame, dtype: str | None, absent:
     cells = value.cells
     for axis, table in (("obs", obs), ("var", var)):
         if f"{axis}_name" in cells.columns and f"{axis}_key" not in cells.columns:
-            keyed = table.select(F.col("key").alias(f"{axis}_key"), F.col("name").alias(f"{axis}_name"))
-            cells = cells.join(keyed, f"{axis}_name")
+            # a name the axis lacks, or holds twice, fails when the cells are computed
+            keyed = table.groupBy(F.col("name").alias(f"{axis}_name")).agg(F.min("key").alias("_key"), F.count(F.lit(1)).alias("_n"))
+            wrong = F.raise_error(F.concat(F.lit(f"cells name {axis} "), F.coalesce(f"{axis}_name", F.lit("NULL")), F.lit(", which the axis does not hold exactly once")))
+            cells = cells.join(keyed, f"{axis}_name", "left")
+            cells = cells.withColumn(f"{axis}_key", F.when(F.col("_n") == 1, F.col("_key")).otherwise(wrong)).drop("_key", "_n")
     missing = {"obs_key", "var_key", "value"} - set(cells.columns)
     if missing:
         raise ValueError(f"a matrix is two-dimensional: cells lack {sorted(missing)}")
@@ -143,19 +146,15 @@ def from_compressed(
     """A matrix from a compressed triplet.
 
     ``data`` holds ``(pos, index, value)``: the stored values and their minor
-    index. ``indptr`` holds ``(major, start, end)``, end exclusive. Values meet
-    their major index on position pages of fixed size, so a very long row is
-    spread over many pages instead of one task.
+    index. ``indptr`` holds ``(major, start, end)``, end exclusive. Each range is
+    unfolded into its positions, in bounded pieces, and values meet their major
+    index on the position: a unique key, so a very long row is no hot one.
     """
-    page = 65_536
-    pages = indptr.where(F.col("end") > F.col("start")).withColumn(
-        "page", F.explode(F.sequence(whole_div(F.col("start"), page), whole_div(F.col("end") - 1, page)))
-    )
-    joined = (
-        data.withColumn("page", whole_div(F.col("pos"), page))
-        .join(pages, "page")
-        .where((F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")))
-    )
+    piece = 1 << 18
+    ranges = indptr.where(F.col("end") > F.col("start")).select("major", F.col("start").cast("bigint"), F.col("end").cast("bigint"))
+    pieces = ranges.select("major", "end", F.explode(F.sequence(F.col("start"), F.col("end") - 1, F.lit(piece))).alias("low"))
+    places = pieces.select("major", F.explode(F.sequence(F.col("low"), F.least(F.col("low") + piece, F.col("end")) - 1)).alias("pos"))
+    joined = data.withColumn("pos", F.col("pos").cast("bigint")).join(places, "pos")
     major, minor = ("obs_key", "var_key") if by_rows else ("var_key", "obs_key")
     cells = joined.select(
         F.col("major").cast("bigint").alias(major), F.col("index").cast("bigint").alias(minor), "value"

@@ -70,14 +70,24 @@ def decide(strategy, present: Mapping[str, Sequence[int]], n_inputs: int, differ
     return {k: ds[0] for k, ds in present.items() if k not in bad}
 
 
+def number_text(value: Column, kind: T.DataType) -> Column:
+    """Text form of a number or boolean in which equal values are equal.
+
+    Whole numbers are written as integers, whatever their type, so no integer
+    is rounded to a double and -0.0 is 0; NaN is ``NaN``.
+    """
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return value.cast("bigint").cast("string")
+    x = value.cast("double")
+    whole = (F.abs(x) < F.lit(float(2**63))) & (x == F.floor(x).cast("double"))
+    return F.when(whole, x.cast("bigint").cast("string")).otherwise(x.cast("string"))
+
+
 def _melt_value(df: DataFrame, col: str) -> Column:
     """Text form in which equal values are equal; numbers by value, NaN as ``NaN``."""
     kind = df.schema[col].dataType
-    if isinstance(kind, T.BooleanType):
-        return F.col(col).cast("int").cast("double").cast("string")
-    if isinstance(kind, (T.NumericType,)) and not isinstance(kind, T.DecimalType):
-        # adding zero writes -0.0 as 0.0
-        return (F.col(col).cast("double") + F.lit(0.0)).cast("string")
+    if isinstance(kind, (T.NumericType, T.BooleanType)) and not isinstance(kind, T.DecimalType):
+        return number_text(F.col(col), kind)
     return F.concat(F.lit("s"), F.col(col).cast("string"))
 
 
@@ -127,10 +137,12 @@ def differing_vectors(copies: Mapping[str, Sequence[Vectors | Table | Graph]]) -
             if len({e.width for e in els}) > 1 or len({e.absent == 0 for e in els}) > 1:
                 out.add(name)
                 continue
-            # whole vectors compare at once; adding zero removes -0.0
-            parts = [e.rows.select(F.array("key").alias("place"), F.transform("vec", lambda v: v + F.lit(0.0)).cast("string").alias("value")) for e in els]
+            # whole vectors compare at once
+            inner = lambda e: e.rows.schema["vec"].dataType.elementType
+            parts = [e.rows.select(F.array("key").alias("place"), F.transform("vec", lambda v, e=e: number_text(v, inner(e))).cast("string").alias("value")) for e in els]
         elif kinds == {Graph}:
-            parts = [e.edges.where("value <> 0").select(F.array("i_key", "j_key").alias("place"), F.col("value").cast("double").cast("string").alias("value")) for e in els]
+            text = lambda e: number_text(F.col("value"), e.edges.schema["value"].dataType)
+            parts = [e.edges.where("value <> 0").select(F.array("i_key", "j_key").alias("place"), text(e).alias("value")) for e in els]
         else:
             cols = els[0].columns
             types = [[e.rows.schema[c].dataType for c in e.columns] for e in els]

@@ -68,5 +68,7 @@ def set_names(lm: LabeledMatrix, axis: str, names: Column | DataFrame) -> Labele
     on = "key" if "key" in names.columns else "pos"
     source = table if on == "key" else lm.positions(axis, n)
     new = names.select(F.col(on).cast("bigint").alias(on), F.col("name").cast("string").alias("_name"))
+    if source.join(new, on, "left_semi").count() != n:
+        raise ValueError(f"the names do not name every row of the {axis} axis once")
     out = source.join(new, on, "left")
     return lm.replace(**{axis: out.select(*[F.col("_name").alias("name") if c == "name" else F.col(c) for c in table.columns])})

@@ -49,15 +49,25 @@ def union(*tables: DataFrame | None) -> DataFrame | None:
     return out
 
 
+def _number(value: Column) -> Column:
+    """Text of a number: whole ones as integers, so that none is rounded; null if it is no number."""
+    x = value.try_cast("double")
+    near = (F.abs(x) < F.lit(float(2**63))) & (x == F.floor(x).cast("double"))
+    return (
+        F.when(value.rlike(r"^-?\d{1,38}$"), value.try_cast("decimal(38,0)").cast("string"))
+        .when(near, x.cast("bigint").cast("string"))
+        .otherwise(x.cast("string"))
+    )
+
+
 def comparable(value: Column) -> Column:
     """Text under which equal leaves compare equal: numbers by value, NaN never."""
-    number = value.try_cast("double")
-    flat = F.when(value == "true", F.lit(1.0)).when(value == "false", F.lit(0.0)).otherwise(number)
+    flat = F.when(value == "true", F.lit("1")).when(value == "false", F.lit("0")).otherwise(_number(value))
     plain_list = value.rlike(r"^\[\s*(-?\d[\d.eE+-]*\s*(,\s*-?\d[\d.eE+-]*\s*)*)?\]$")
     return (
-        F.when(F.isnan(flat), None)
-        .when(flat.isNotNull(), flat.cast("string"))
-        .when(plain_list, F.from_json(value, "array<double>").cast("string"))
+        F.when(F.isnan(value.try_cast("double")), None)
+        .when(flat.isNotNull(), flat)
+        .when(plain_list, F.transform(F.from_json(value, "array<string>"), _number).cast("string"))
         .otherwise(value)
     )
 

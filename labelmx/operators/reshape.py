@@ -91,9 +91,17 @@ def densify(lm: LabeledMatrix, *, layer: str | None = None, width: int = BLOCK_W
     return Matrix(cells, float("nan"))
 
 
-def sparsify(m: Matrix) -> Matrix:
-    """Only non-zero cells are kept; NaN is not zero."""
-    return Matrix(m.cells.where(F.col("value") != 0), 0.0)
+def sparsify(m: Matrix, lm: LabeledMatrix | None = None) -> Matrix:
+    """Only non-zero cells are kept; NaN is not zero.
+
+    Where absent cells mean NaN and ``lm``, whose axes the cells lie on, shows
+    that some are absent, these are stored as NaN.
+    """
+    if lm is not None and m.absent != 0:
+        n_obs, n_vars = lm.shape
+        if m.cells.count() < n_obs * n_vars:
+            m = densify(lm.replace(X=m))
+    return Matrix(m.cells.where((F.col("value") != 0) | F.col("value").isNull()), 0.0)
 
 
 def blocks_of(n: int, size: int) -> list[tuple[int, int]]:
@@ -177,11 +185,12 @@ def read_as_sparse(lm: LabeledMatrix, names=("X",)) -> LabeledMatrix:
 
     for name in names:
         if name == "X":
-            lm = lm.replace(X=sparsify(lm.X))
+            lm = lm.replace(X=sparsify(lm.X, lm))
         elif name == "raw/X":
             if lm.raw is None:
                 raise ValueError("cannot convert raw/X: there is no raw")
-            lm = lm.replace(raw=Raw(sparsify(lm.raw.X), lm.raw.var, lm.raw.varm, lm.raw.var_dense))
+            held = lm.replace(var=lm.raw.var, var_dense=lm.raw.var_dense)
+            lm = lm.replace(raw=Raw(sparsify(lm.raw.X, held), lm.raw.var, lm.raw.varm, lm.raw.var_dense))
         else:
             raise NotImplementedError(f"only X and raw/X can be converted, not {name!r}")
     return lm

@@ -52,12 +52,13 @@ def by_labels(axis: DataFrame, labels: DataFrame) -> Selection:
     wanted = labels.select(F.col("name").cast("string").alias("name"), F.col("new_key").cast("bigint").alias("new_key"))
     held = axis.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     found = wanted.join(held, "name", "left")
-    missing = F.col("n").isNull()
-    bad = found.where(missing | (F.col("n") > 1)).select("name", missing.alias("missing")).limit(20).collect()
-    if any(r.missing for r in bad):
-        raise KeyError(f"names not found: {sorted({r.name for r in bad if r.missing})}")
-    if bad:
-        raise ValueError(f"names repeat on this axis: {sorted({r.name for r in bad})}")
+    missing, repeated = F.col("n").isNull(), F.col("n") > 1
+    bad = found.agg(F.count_if(missing).alias("missing"), F.count_if(repeated).alias("repeated")).first()
+    some = lambda cond: sorted({str(r.name) for r in found.where(cond).select("name").limit(20).collect()})
+    if bad.missing:
+        raise KeyError(f"{bad.missing} names not found, such as {some(missing)}")
+    if bad.repeated:
+        raise ValueError(f"{bad.repeated} names repeat on this axis, such as {some(repeated)}")
     return _gather(axis, axis.join(wanted, "name"))
 
 

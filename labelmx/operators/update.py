@@ -89,29 +89,51 @@ def assign_block(lm: LabeledMatrix, obs, var, value, *, layer: str | None = None
     return lm.replace(X=changed) if layer is None else lm.replace(layers={**lm.layers, layer: changed})
 
 
-def assign_cells(lm: LabeledMatrix, cells: DataFrame, *, layer: str | None = None) -> LabeledMatrix:
-    """Write single cells ``(obs_key, var_key, value)``; each coordinate at most once."""
+def _single_cells(lm: LabeledMatrix, cells: DataFrame, kind, order: str | None) -> DataFrame:
+    """``(obs_key, var_key, _new)``, one row per coordinate of the axes.
+
+    Of cells given more than once the last by ``order`` counts; without an order
+    they raise ``ValueError``, as does a coordinate outside the axes.
+    """
+    value = F.col("value").cast(kind)
+    # in a struct a null value can be the last one too
+    last = F.max_by(F.struct(value.alias("v")), order) if order else F.first(F.struct(value.alias("v")))
+    new = cells.groupBy("obs_key", "var_key").agg(last.getField("v").alias("_new"), F.count(F.lit(1)).alias("_n"))
+    placed = _marked(_marked(new, lm.obs, "obs_key"), lm.var, "var_key")
+    outside = F.col("_obs_key").isNull() | F.col("_var_key").isNull()
+    bad = placed.agg(F.count_if(outside).alias("outside"), F.count_if(F.col("_n") > 1).alias("repeated")).first()
+    if bad.outside:
+        raise ValueError(f"{bad.outside} cells lie outside the axes")
+    if bad.repeated and not order:
+        raise ValueError(f"{bad.repeated} cells are given more than once: name the column that orders them")
+    return new.drop("_n")
+
+
+def assign_cells(lm: LabeledMatrix, cells: DataFrame, *, layer: str | None = None, order: str | None = None) -> LabeledMatrix:
+    """Write single cells ``(obs_key, var_key, value)``.
+
+    A coordinate is given once, or its last value by ``order`` counts.
+    """
     m = lm.X if layer is None else lm.layers[layer]
-    kind = m.cells.schema["value"].dataType
-    new = cells.select("obs_key", "var_key", F.col("value").cast(kind).alias("_new"), F.lit(True).alias("_set"))
+    new = _single_cells(lm, cells, m.cells.schema["value"].dataType, order).withColumn("_set", F.lit(True))
     both = m.cells.join(new, ["obs_key", "var_key"], "full")
     value = F.when(F.col("_set"), F.col("_new")).otherwise(F.col("value"))
     changed = Matrix(both.select("obs_key", "var_key", value.alias("value")), m.absent)
     return lm.replace(X=changed) if layer is None else lm.replace(layers={**lm.layers, layer: changed})
 
 
-def update_existing_only(lm: LabeledMatrix, cells: DataFrame, *, layer: str | None = None) -> LabeledMatrix:
+def update_existing_only(lm: LabeledMatrix, cells: DataFrame, *, layer: str | None = None, order: str | None = None) -> LabeledMatrix:
     """Write cells that are already stored.
 
     A non-zero value for a cell that is not stored raises ``ValueError``; a zero
-    for such a cell changes nothing.
+    for such a cell changes nothing. Repeats are treated as in ``assign_cells``.
     """
     m = lm.X if layer is None else lm.layers[layer]
-    kind = m.cells.schema["value"].dataType
-    new = cells.select("obs_key", "var_key", F.col("value").cast(kind).alias("_new"))
-    fresh = new.where(F.col("_new") != 0).join(m.cells, ["obs_key", "var_key"], "left_anti").limit(5).collect()
-    if fresh:
-        raise ValueError(f"cells are not stored: {[(r.obs_key, r.var_key) for r in fresh]}")
+    new = _single_cells(lm, cells, m.cells.schema["value"].dataType, order)
+    fresh = new.where(F.col("_new") != 0).join(m.cells, ["obs_key", "var_key"], "left_anti")
+    some = fresh.limit(5).collect()
+    if some:
+        raise ValueError(f"{fresh.count()} cells are not stored, such as {[(r.obs_key, r.var_key) for r in some]}")
     both = m.cells.join(new, ["obs_key", "var_key"], "left")
     changed = Matrix(both.select("obs_key", "var_key", F.coalesce("_new", "value").alias("value")), m.absent)
     return lm.replace(X=changed) if layer is None else lm.replace(layers={**lm.layers, layer: changed})
@@ -158,6 +180,8 @@ def set_column(lm: LabeledMatrix, axis: str, column: str, value: Column | DataFr
         raise ValueError(f"{given} values given for {axis} axis of length {n}")
     source = table if on == "key" else lm.positions(axis, n)
     new = value.select(F.col(on).cast("bigint").alias(on), F.col("value").alias("_value"))
+    if source.join(new, on, "left_semi").count() != n:
+        raise ValueError(f"the values do not name every row of the {axis} axis once")
     out = source.join(new, on, "left").withColumn(column, F.col("_value")).drop("_value", "pos")
     return lm.replace(**{axis: out}, **_dictionaries(lm, axis, column))
 

@@ -44,6 +44,9 @@ def _problems(lm: LabeledMatrix, slot: str, key: str, el) -> DataFrame:
         if whole:
             kinds = kinds.when(F.col("n").isNull(), f"missing {col}").when(F.col("n") > 1, f"repeated {col}")
         found.append(both.select(kinds.alias("problem"), F.coalesce("n", F.lit(1)).alias("n")).where("problem IS NOT NULL"))
+    if isinstance(el, Matrix):
+        twice = el.cells.groupBy("obs_key", "var_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        found.append(twice.select(F.lit("repeated cell").alias("problem"), "n"))
     if isinstance(el, Vectors):
         odd = el.rows.where(F.size("vec") != el.width)
         found.append(odd.select(F.lit("wrong width").alias("problem"), F.lit(1).cast("bigint").alias("n")))

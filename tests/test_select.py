@@ -104,8 +104,16 @@ def test_vectors(make):
         A.pick_matrix(lm, use_raw=True)
     wide = {r["name"]: (r["a"], r["b"], r["c"]) for r in lm.to_wide().collect()}
     assert wide == {"s1": (0, 2, 3), "s2": (0, 5, 6)}
-    with pytest.raises(ValueError, match="array rows"):
-        lm.to_wide(max_columns=2)
+
+
+def test_more_columns_than_two_thousand(spark):
+    n = 2100
+    obs = small_table(spark, [(0, 0, "only")], "key bigint, ord bigint, name string")
+    var = spark.range(n).selectExpr("id AS key", "id AS ord", "concat('v', id) AS name")
+    cells = spark.range(n).selectExpr("0L AS obs_key", "id AS var_key", "CAST(id AS double) AS value").where("value > 0")
+    wide = create(cells, obs, var, dtype=None).to_wide()
+    assert wide.columns == ["name", *[f"v{i}" for i in range(n)]]
+    assert wide.first()[1:] == tuple(float(i) for i in range(n))
 
 
 def test_updates(spark, make, lm):
@@ -115,6 +123,13 @@ def test_updates(spark, make, lm):
     block = small_table(spark, [(3, 3, 9.0), (13, 13, 8.0)], "obs_key bigint, var_key bigint, value double")
     assert grid(U.assign_block(lm, None, ["a"], block)) == [[9, 2, 3], [None, 5, 6]]
     assert grid(U.assign_cells(lm, block)) == [[9, 2, 3], [4, 8, 6]]
+    twice = small_table(spark, [(3, 3, 9.0, 1), (3, 3, 7.0, 2)], "obs_key bigint, var_key bigint, value double, at int")
+    for write in (U.assign_cells, U.update_existing_only):
+        assert grid(write(lm, twice, order="at")) == [[7, 2, 3], [4, 5, 6]]
+        with pytest.raises(ValueError, match="more than once"):
+            write(lm, twice)
+        with pytest.raises(ValueError, match="outside"):
+            write(lm, small_table(spark, [(99, 3, 1.0)], "obs_key bigint, var_key bigint, value double"))
     assert grid(lm) == [[1, 2, 3], [4, 5, 6]]
     column_vector = small_table(spark, [(3, 1.5), (13, 2.5)], "key bigint, value double")
     assert grid(U.set_matrix(lm[:, "a"], column_vector)) == [[1.5], [2.5]]
