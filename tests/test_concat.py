@@ -215,3 +215,16 @@ def test_nested(spark, case):
     for strategy, result in expected.items():
         assert nested.to_dict(nested.merge(tagged, len(inputs), strategy)) == result, strategy
     assert nested.to_dict(nested.merge(tagged, len(inputs), None)) == {}
+
+
+def test_large_integers_are_not_rounded(spark):
+    from labelmx.operators.merge import differing_columns
+    from labelmx.operators.nested import comparable
+
+    one = small_table(spark, [("p", 2**53, 2, True)], "name string, big bigint, small bigint, flag boolean")
+    two = small_table(spark, [("p", 2**53 + 1, 2.0, True)], "name string, big bigint, small double, flag boolean")
+    target = one.select("name")
+    assert differing_columns([(0, one), (1, two)], target, ["big", "small", "flag"]) == {"big"}
+    texts = [str(2**53), str(2**53 + 1), "2", "2.0", "[1, 2.0]", "[1.0, 2]", "NaN", "true"]
+    got = [r[0] for r in small_table(spark, [(i, t) for i, t in enumerate(texts)], "i int, value string").sort("i").select(comparable(F.col("value"))).collect()]
+    assert got[0] != got[1] and got[2] == got[3] and got[4] == got[5] and got[6] is None and got[7] == "1"
