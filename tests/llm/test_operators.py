@@ -387,3 +387,12 @@ def test_ppm(frame, odd):
     assert ppm.train_and_score(odd).count() == 12 and ppm.train_and_score(odd.limit(0)).count() == 0
     bare = ppm.train_and_score(frame([(2, "ab"), (5, "")]).where("doc_id < 0")).count()
     assert bare == 0
+
+
+def test_ppm_keeps_rare_runs(frame, monkeypatch):
+    monkeypatch.setattr(ppm, "SHARE_BITS", 4)  # a table of 16 runs at most: nearly all are rare
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 30) + (" Größe 漢字" if i % 4 == 0 else "")) for i in range(40)]
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    got = {r.doc_id: r.score for r in ppm.train_and_score(frame(rows)).collect()}
+    assert len(train) < 40 and all(math.isclose(got[i], plain_ppm(train, t, ppm.ORDER), rel_tol=1e-9) for i, t in rows)
