@@ -267,6 +267,26 @@ def test_host_words(spark):
     assert [r.verdict for r in only] == ["allow", "allow"]
 
 
+def test_host_words_keeps_rare_words(spark, monkeypatch):
+    monkeypatch.setattr(host_words, "MIN_SHARE", 0.2)  # nearly all words, runs and tokens are rare
+    urls = ["http://rarehouse.org/goodzebra", "http://bigcasino.net/win", "http://bigwin.net/rare/zebra", "http://house.org/12/good", "http://casinozebra.org/", None] * 2
+    texts = ["the good house", "the zebra", "the big win", "rare", "the of the", None] * 2
+    pages = spark.createDataFrame([(i % 9, u, t) for i, (u, t) in enumerate(zip(urls, texts))], "page_id bigint, url string, html string")
+    got = host_words.judge(pages, rules=()).collect()
+    counts = Counter(w for t in texts if t for w in t.split())
+    plain = host_words.Segmenter(dict.fromkeys(host_words.SEEDS, 1) | counts, sum(counts.values()))
+    tokens = lambda h, p: [r[:2] + w for r in host_words.runs_of(h, p) for w in (plain.split(r[2:]) if r[2:] != "0" else "0")]
+    assert len(got) == 12 and all(r.tokens == tokens(r.host, r.path) for r in got)
+    assert {"h:rare", "h:house", "p:good", "p:zebra"} == set(next(r.tokens for r in got if r.host == "rarehouse.org")) - {"h:" + w for w in plain.split("org")}
+    bad = [any(t[:2] == "h:" and t[2:] in host_words.SEEDS for t in r.tokens) for r in got]
+    kinds = {b: Counter(t for r, x in zip(got, bad) if x is b for t in r.tokens) for b in (True, False)}
+    size = {b: sum(kinds[b].values()) + len(kinds[True] | kinds[False]) for b in kinds}
+    assert sum(bad) == 4
+    for r in got:
+        want = math.log(sum(bad) / (12 - sum(bad))) + sum(math.log((kinds[True][t] + 1) / size[True]) - math.log((kinds[False][t] + 1) / size[False]) for t in r.tokens)
+        assert math.isclose(r.score, want, rel_tol=1e-9) and r.verdict == ("block" if want > 0 else "allow")
+
+
 def test_segmentation_is_the_best_split():
     counts = {"the": 50, "river": 9, "r": 3, "iver": 1, "bank": 8, "ban": 2, "k": 1}
     s = host_words.Segmenter(counts)
