@@ -176,9 +176,9 @@ def _bands(print_: str) -> list[int]:
 def near_copies(docs: DataFrame, *, least: float = 0.75, text: str = "text") -> DataFrame:
     """``(doc_id, n_links, class_id)``: candidates share a band, links have at least that likeness.
 
-    A band's members are all verified against its member with the smallest id, so
-    a band of many copies gives as many pairs as it has members; classes are the
-    components of the links. Documents without text are alone. Rows without an id are left out.
+    Every two different texts that share a band are verified, so ``n_links`` counts
+    all links of a text to others and a band of m texts gives m (m - 1) / 2 pairs; equal
+    texts are one. Classes are the components of the links. Documents without text are alone. Rows without an id are left out.
     """
     prints = stored(fingerprint(docs, text=text).where("doc_id IS NOT NULL"), "prints")
     one = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))  # equal texts
@@ -191,8 +191,7 @@ def near_copies(docs: DataFrame, *, least: float = 0.75, text: str = "text") ->
 
     kind = prints.schema["doc_id"].dataType.simpleString()
     members = stored(one.mapInArrow(bands, f"band bigint, rep {kind}").distinct(), "bands")
-    hubs = members.groupBy("band").agg(F.min("rep").alias("hub"))
-    pairs = members.join(hubs, "band").where("rep <> hub").select("rep", "hub").distinct()
+    pairs = members.join(members.select("band", F.col("rep").alias("other")), "band").where("rep < other").select("rep", "other").distinct()
     side = lambda key, out: one.select(F.col("rep").alias(key), F.col("fingerprint").alias(out))
 
     def alike(batches):
@@ -200,10 +199,10 @@ def near_copies(docs: DataFrame, *, least: float = 0.75, text: str = "text") ->
             keep = [likeness(x, y) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(side("rep", "x"), "rep").join(side("hub", "y"), "hub").select("rep", "hub", "x", "y")
-    links = stored(both.mapInArrow(alike, f"rep {kind}, hub {kind}"), "links")
-    parts = components(links, "rep", "hub").withColumnRenamed("node", "rep")
-    counts = links.select(F.explode(F.array("rep", "hub")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
+    both = pairs.join(side("rep", "x"), "rep").join(side("other", "y"), "other").select("rep", "other", "x", "y")
+    links = stored(both.mapInArrow(alike, f"rep {kind}, other {kind}"), "links")
+    parts = components(links, "rep", "other").withColumnRenamed("node", "rep")
+    counts = links.select(F.explode(F.array("rep", "other")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     known = prints.join(one, "fingerprint").join(parts, "rep", "left").join(counts, "rep", "left")
     return known.select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", F.when(F.col("n_chars") > 0, F.col("rep")).otherwise(F.col("doc_id"))).alias("class_id"))
 

@@ -364,6 +364,25 @@ def test_near_copies(frame):
     assert got[100] == 0 and all(got[10 * i + 1] == 10 * i for i in range(6)) and got[101] == 101 and got[102] == 102
 
 
+def test_near_copies_verifies_every_pair_of_a_band(frame):
+    rng = random.Random(3)
+    text, rows = prose(rng, 200), []
+    for i in range(14):  # a chain: each differs a little more from the first
+        rows.append((i + 1, text))
+        at = len(text) - 60 * (i + 1)
+        text = text[:at] + "".join(rng.choice("qxz") for _ in range(40)) + text[at + 40 :]
+    rows += [(20 + i, prose(rng, 200)) for i in range(4)] + [(0, rows[0][1][:200] + prose(rng, 170)), (40, rows[3][1])]
+    prints = dict(zip([i for i, _ in rows], edit_embedding.fingerprints([t for _, t in rows])))
+    keys = {i: set(edit_embedding._bands(p)) for i, p in prints.items()}
+    links = [(a, b) for a in prints for b in prints if a < b and 40 not in (a, b) and keys[a] & keys[b] and edit_embedding.likeness(prints[a], prints[b]) >= 0.75]
+    want = roots(prints, [*links, (4, 40)])
+    got = {r.doc_id: r for r in edit_embedding.near_copies(frame(rows)).collect()}
+    low = min(a for a, _ in links)
+    assert any(low not in pair for pair in links) and any(want[i] == low and (low, i) not in links for i in range(low + 1, 15))
+    assert {i: r.class_id for i, r in got.items()} == want
+    assert all(got[i].n_links == sum((4 if i == 40 else i) in pair for pair in links) for i in prints)
+
+
 def plain_ppm(train, text, order):
     """Log10 probability by the rule, with plain dictionaries."""
     seen = {}
