@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import natural_key
 from ..model import Categories, Graph, LabeledMatrix, Matrix, Raw, Table, Vectors, annotation
 from ..operators.categories import strings_to_categories as make_categories
 from ..operators.reshape import densify
@@ -273,6 +274,38 @@ def stored_shape(spark: SparkSession, path: str) -> tuple[int, int]:
 # -- append ------------------------------------------------------------------------
 
 
+def _paired(stored: DataFrame, given: DataFrame, n: int, axis: str) -> DataFrame:
+    """``(new_key, key)`` of two axis tables with the same names, else ``ValueError``."""
+    names = given.select(F.col("name"), F.col("key").alias("new_key"))
+    paired = stored.select("key", "name").join(names, "name", "full")
+    check = paired.agg(
+        F.count("new_key").alias("given"),
+        F.count_if(F.col("key").isNull() | F.col("new_key").isNull()).alias("unmatched"),
+    ).first()
+    if check.given != n or check.unmatched:
+        raise ValueError(f"{axis} axes differ: stored {n}, given {check.given}, unmatched {check.unmatched}")
+    return paired.select("new_key", "key")
+
+
+def _new_categories(held: DataFrame, column: str, table: DataFrame, given: Categories | None) -> list[tuple[DataFrame, int]]:
+    """``(code, category)`` of what the dictionary ``held`` lacks, and how many: first the given dictionary's, in its order, then the column's own."""
+    top = held.agg(F.max("code")).first()[0]
+    start = 0 if top is None else top + 1
+    used = table.select(F.col(column).cast("string").alias("category")).where("category IS NOT NULL").distinct()
+    lists = [] if given is None else [(given.table.select("category", F.col("code").alias("_at")), "_at")]
+    lists.append((used.withColumn("_at", natural_key(F.col("category"))), "_at"))
+    out = []
+    for rows, order in lists:
+        for known in [held, *[x for x, _ in out]]:
+            rows = rows.join(known.select("category"), "category", "left_anti")
+        n = rows.count()
+        if n:
+            coded = ranked(rows, order, "code", n_rows=n)
+            out.append((coded.select((F.col("code") + start).cast("int").alias("code"), "category"), n))
+            start += n
+    return out
+
+
 def append(
     spark: SparkSession, path: str, new: LabeledMatrix, *, axis: str = "obs",
     stream: str | None = None, batch: int | None = None,
@@ -280,7 +313,8 @@ def append(
     """Add observations to a row-clustered bundle, or variables to a column-clustered one.
 
     The other axis must have the same size and names, else ``ValueError`` and
-    nothing changes. With ``stream`` and ``batch`` a batch that was already
+    nothing changes; so must the variables of a stored ``raw`` when observations are
+    added. Categories that the stored dictionaries lack get codes behind theirs. With ``stream`` and ``batch`` a batch that was already
     committed is skipped. Returns whether anything was added.
     """
     m = read_manifest(spark, path)
@@ -295,16 +329,14 @@ def append(
     missing_slots = [k for k, e in m["slots"].items() if e["kind"] == "matrix" and not k.startswith("raw/") and not (k == "X" and new.X is not None or k.startswith("layers/") and k[7:] in new.layers)]
     if missing_slots:
         raise ValueError(f"the appended matrix lacks {missing_slots}")
-    names = new.axis(other).select(F.col("name"), F.col("key").alias("new_key"))
-    paired = stored_other.select("key", "name").join(names, "name", "full")
-    check = paired.agg(
-        F.count("new_key").alias("given"),
-        F.count_if(F.col("key").isNull() | F.col("new_key").isNull()).alias("unmatched"),
-    ).first()
-    if check.given != held["n"] or check.unmatched:
-        raise ValueError(f"{other} axes differ: stored {held['n']}, given {check.given}, unmatched {check.unmatched}")
+    pair = _paired(stored_other, new.axis(other), held["n"], other)
+    raw_pair, raw_same = None, False
+    if axis == "obs" and "raw/X" in m["slots"]:  # raw shares the observations; its variables are its own
+        if new.raw is None or new.raw.X is None:
+            raise ValueError("the appended matrix lacks raw/X")
+        raw_var = _load(spark, path, m["axes"]["raw/var"])
+        raw_pair, raw_same = _paired(raw_var, new.raw.var, raw_var.count(), "raw/var"), new.raw.var.sameSemantics(raw_var)
     same_keys = new.axis(other).sameSemantics(stored_other)
-    pair = paired.select("new_key", "key")
 
     w = _Writer(path, "zstd")
     shift = m["axes"][axis]["max_key"] + 1
@@ -324,7 +356,7 @@ def append(
         part = w.table(df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields]), slot)
         return {**entry, "segments": entry["segments"] + part["segments"]}
 
-    def cells(x: Matrix) -> DataFrame:
+    def cells(x: Matrix, pair: DataFrame = pair, same_keys: bool = same_keys) -> DataFrame:
         df = x.cells.withColumn(f"{axis}_key", F.col(f"{axis}_key") + move)
         if not same_keys:
             df = df.withColumnRenamed(f"{other}_key", "new_key").join(pair, "new_key").withColumnRenamed("key", f"{other}_key")
@@ -332,14 +364,16 @@ def append(
 
     slots = dict(m["slots"])
     for name, entry in m["slots"].items():
-        if entry["kind"] == "matrix" and not name.startswith("raw/"):
-            given = new.X if name == "X" else new.layers[name[7:]]
+        if entry["kind"] == "matrix" and (raw_pair is not None or not name.startswith("raw/")):
+            given = new.raw.X if name == "raw/X" else new.X if name == "X" else new.layers[name[7:]]
             if (given.absent == 0) != (entry["absent"] == 0):
                 raise ValueError(f"{name} is stored {'sparse' if entry['absent'] == 0 else 'dense'}: the formats differ")
     for name, entry in m["slots"].items():
         slot, key = _slot_of(name)
         if entry["kind"] == "matrix" and not name.startswith("raw/"):
             slots[name] = grown(entry, cells(new.X if name == "X" else new.layers[key]), name)
+        elif name == "raw/X" and raw_pair is not None:
+            slots[name] = grown(entry, cells(new.raw.X, raw_pair, raw_same), name)
         elif slot == f"{axis}m":
             el = getattr(new, slot).get(key)
             if el is None:
@@ -350,8 +384,23 @@ def append(
             slots[name] = grown(entry, edges.withColumn("i_key", F.col("i_key") + move).withColumn("j_key", F.col("j_key") + move), name)
     grown_axis = grown(m["axes"][axis], table, axis)
     axes = {**m["axes"], axis: {**grown_axis, "n": m["axes"][axis]["n"] + low.n, "max_key": low.k1 + move}}
+    categories, added = {**m["categories"]}, []
+    for col, e in m["categories"].get(axis, {}).items():
+        mine = _load(spark, path, m["dictionaries"]).where((F.col("axis") == axis) & (F.col("column") == col) & (F.col("kind") == "category"))
+        given = getattr(new, f"{axis}_categories").get(col)
+        for found, n in _new_categories(mine.select("code", F.col("text").alias("category")), col, table, given):
+            tag = (F.lit(axis).alias("axis"), F.lit(col).alias("column"), "code")
+            added.append(found.select(*tag, F.lit("category").alias("kind"), F.col("category").alias("text")))
+            if e["colors"] and given is not None and given.colors is not None:
+                colors = given.table.join(given.colors, "code").select("category", "color")
+                added.append(found.join(colors, "category").select(*tag, F.lit("color").alias("kind"), F.col("color").alias("text")))
+            e = {**e, "size": None if e["size"] is None else e["size"] + n}
+        categories[axis] = {**categories[axis], col: e}
+    extra = {"categories": categories}
+    if added:
+        extra["dictionaries"] = grown(m["dictionaries"], reduce(DataFrame.unionByName, added), "dictionaries")
     batches = dict(m["batches"])
     if batch is not None:
         batches[stream or ""] = batch
-    _commit(spark, path, {**m, "commit": m["commit"] + 1, "axes": axes, "slots": slots, "batches": batches})
+    _commit(spark, path, {**m, **extra, "commit": m["commit"] + 1, "axes": axes, "slots": slots, "batches": batches})
     return True

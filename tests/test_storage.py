@@ -11,6 +11,7 @@ from labelmx.operators import categories as C
 from labelmx.operators import names as N
 from labelmx.operators import nested
 from labelmx.operators import reshape as R
+from labelmx.model import Raw
 from labelmx.operators.update import materialize, snapshot_raw
 from labelmx.plans.local import small_table
 from labelmx.sources import bundle, text
@@ -174,6 +175,26 @@ def test_append(spark, make, tmp_path):
     assert bundle.stored_shape(spark, path) == (3, 2)
 
 
+def test_append_grows_categories_and_raw(spark, make, tmp_path):
+    path = str(tmp_path / "a")
+    kinds = F.create_map(*[F.lit(x) for x in "aubucbduea"])  # a, b and d are u, c is b, e is a
+    kind = lambda lm: lm.replace(obs=lm.obs.withColumn("kind", kinds[F.col("name")]))
+    frozen = make([[7, 0, 1], [0, 8, 0]], ["a", "b"], ["x", "y", "z"], sparse=True)
+    bundle.write_bundle(kind(make([[1, 0], [0, 2]], ["a", "b"], ["x", "y"], sparse=True)).replace(raw=Raw(frozen.X, frozen.var)), path)
+    more = kind(make([[5, 6], [0, 1], [1, 1]], ["c", "d", "e"], ["x", "y"], sparse=True))
+    with pytest.raises(ValueError, match="raw"):
+        bundle.append(spark, path, more)
+    late = make([[3, 4, 0], [0, 0, 9], [0, 0, 0]], ["c", "d", "e"], ["z", "y", "x"], sparse=True)  # same names in another order
+    assert bundle.append(spark, path, more.replace(raw=Raw(late.X, late.var)))
+    got = bundle.read_bundle(spark, path)
+    cats = got.obs_categories["kind"]
+    assert sorted(map(tuple, cats.table.collect())) == [(0, "u"), (1, "a"), (2, "b")] and cats.size == 3
+    assert [r.kind for r in C.encode_categories(got.obs, "kind", cats).orderBy("ord").collect()] == [0, 0, 2, 0, 1]
+    place = lambda t, k: t.select(F.col("key").alias(k), F.col("name").alias(k[:3]))
+    cells = got.raw.X.cells.join(place(got.obs, "obs_key"), "obs_key").join(place(got.raw.var, "var_key"), "var_key").where("value <> 0")
+    assert {(r.obs, r["var"], r.value) for r in cells.collect()} == {("a", "x", 7), ("a", "z", 1), ("b", "y", 8), ("c", "z", 3), ("c", "y", 4), ("d", "x", 9)}
+
+
 def test_csv_directory(spark, full, tmp_path):
     path = str(tmp_path / "out.csv")
     with pytest.warns(UserWarning, match="sparse"):
