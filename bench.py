@@ -38,20 +38,27 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or HEADLINE
-    seconds = {}
+    seconds, failed = {}, {}
     for name in names:
         taken = []
-        for _ in range(runs + 1):
-            start = time.perf_counter()
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            taken.append(time.perf_counter() - start)
+        try:
+            for _ in range(runs + 1):
+                start = time.perf_counter()
+                QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+                taken.append(time.perf_counter() - start)
+        except Exception as error:  # the other queries still give their figures
+            failed[name] = str(error).partition("\n")[0][:300]
+            print(f"{name}: failed, {failed[name]}", file=sys.stderr)
+            continue
         seconds[name] = round(statistics.median(taken[1:]), 3)
         print(f"{name}: {seconds[name]} s", file=sys.stderr)
     spark.stop()
     print(json.dumps({
         "metric": "total_query_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": Path(sf_dir).name.removeprefix("sf"),
-    }))
+    } | ({"failed": failed} if failed else {})))
+    if failed:
+        sys.exit(1)
 
 
 if __name__ == "__main__":

@@ -14,11 +14,11 @@ _SCHEMAS: dict[str, StructType] = {}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table; its schema is read from the files once per name."""
+    """A given table; its schema is read from the files once per path."""
     path = f"{sf}/{name}.parquet"
-    if name not in _SCHEMAS:
-        _SCHEMAS[name] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[name]).parquet(path)
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def orders_by_part(spark: SparkSession, sf: str) -> LabeledMatrix:
@@ -124,7 +124,8 @@ def shops(spark: SparkSession, sf: str, *, graph: bool = False) -> list[LabeledM
             kinds = kinds.withColumn("last", F.col("n_parts") + 1)
         var = axis_table(kinds, name="p_name", order="p_name")
         members = obs.select(F.col("key").alias("obs_key"))
-        cells = bought.join(members, "obs_key", "left_semi")
+        # names that this shop leaves out have no variable, so their purchases stay out too
+        cells = bought.join(members, "obs_key", "left_semi").join(kinds.select(F.col("p_name").alias("var_name")), "var_name", "left_semi")
         layers = {"lines": cells.select("obs_key", "var_name", F.col("lines").alias("value"))} if i < 2 else {}
         lm = create(cells.select("obs_key", "var_name", "value"), obs, var, layers=layers, dtype=None).replace(var_dense=True)
         if graph:

@@ -11,7 +11,7 @@ from labelmx.plans.durable import cut, stored
 from labelmx.plans.local import small_table
 from labelmx.plans.ranks import ranked, running_total
 
-from conftest import grid
+from helpers import grid
 
 
 def test_rank_over_many_buckets(spark):

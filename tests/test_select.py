@@ -10,7 +10,7 @@ from labelmx.operators import validate as V
 from labelmx.operators.categories import set_palette
 from labelmx.plans.local import small_table
 
-from conftest import column, grid, names
+from helpers import column, grid, names
 
 
 @pytest.fixture

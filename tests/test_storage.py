@@ -18,7 +18,7 @@ from labelmx.sources import bundle, text
 from labelmx.sources.csv_dir import write_csvs
 from labelmx.streaming import append_stream, chunk_stream
 
-from conftest import column, grid, names
+from helpers import column, grid, names
 
 
 def test_dictionaries(spark, make):
