@@ -46,7 +46,7 @@ def results(spark):
         df = QUERIES[name](spark, str(TABLES))
         return df.columns, df.collect()
 
-    with ThreadPoolExecutor(6) as pool:
+    with ThreadPoolExecutor(2) as pool:
         yield {name: pool.submit(run, name) for name in sorted(ORACLES)}
 
 
