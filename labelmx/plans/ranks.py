@@ -1,44 +1,26 @@
 """Order-preserving ranks and running totals without a one-task global sort.
 
-The order column is cut into range buckets whose bounds are literals, so a
-bucket is a pure function of the row and survives recomputation after executor
-loss. Each bucket is numbered on its own and shifted by the totals of the
-buckets before it; the totals table holds at most ``MAX_BUCKETS`` rows per group.
+The rows are dealt by one range exchange on their order, sorted inside each
+part and written with the part's number and their place in it. What is written
+stays as it is, whatever is lost later, so the number of a row is the rows in
+the parts before its own plus its place: a sum over one small row per part.
 """
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-ROWS_PER_BUCKET = 250_000
-MAX_BUCKETS = 4096
-_SAMPLES_PER_BUCKET = 24
 
+from .durable import stored
 
-def _bounds(df: DataFrame, order: str, rows_per_bucket: int, n_rows: int | None):
-    """Ascending split points, about one bucket per ``rows_per_bucket`` rows."""
-    integral = isinstance(df.schema[order].dataType, T.IntegralType)
-    n = df.count() if n_rows is None else n_rows
-    n_buckets = min(MAX_BUCKETS, math.ceil(n / rows_per_bucket))
-    if n_buckets <= 1:
-        return []
-    if integral:
-        cuts = [i / n_buckets for i in range(1, n_buckets)]
-        found = df.agg(F.percentile_approx(order, cuts, 20 * n_buckets)).first()[0]
-        return sorted(set(found or []))
-    # Other types: a hash sample of known expected size only places the bounds,
-    # no row is dropped from the result.
-    every = max(1, n // (n_buckets * _SAMPLES_PER_BUCKET))
-    salted = F.pmod(F.xxhash64(order), F.lit(every)) == 0
-    sample = sorted(r[0] for r in df.where(salted).select(order).collect() if r[0] is not None)
-    step = max(1, len(sample) // n_buckets)
-    return sorted(set(sample[step::step]))
+#: Up to so many rows, one task sorts them all.
+ROWS_PER_BUCKET = 250_000
+#: Parts of an exchange at most; larger parts sort with spilling.
+MAX_PARTS = 20_000
+_PART, _AT = "_part", "_at_part"
 
 
 def whole_div(value: Column, size: int) -> Column:
@@ -46,14 +28,33 @@ def whole_div(value: Column, size: int) -> Column:
     return F.call_function("div", value, F.lit(size))
 
 
-def _bucket_of(order: str, kind: str, bounds: Sequence) -> Column:
-    """Number of bounds not above the value, found in two short scans."""
-    # the optimizer folds the parsed text into one array literal
-    listed = lambda values: F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>")
-    width = max(1, math.isqrt(len(bounds)))
-    skip = F.size(F.filter(listed(bounds[width - 1 :: width]), lambda b: b <= F.col(order))) * width
-    near = F.slice(listed(bounds), skip + 1, F.lit(width))
-    return skip + F.size(F.filter(near, lambda b: b <= F.col(order)))
+def in_parts(df: DataFrame, *order: Column | str, parts: int | None = None) -> DataFrame:
+    """``df`` in range parts along ``order``, written with ``_part`` and the place ``_at_part`` of each row in it."""
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    dealt = df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)
+    number = F.monotonically_increasing_id()
+    return stored(dealt.sortWithinPartitions(*keys).select(
+        *[F.col(f"`{c}`") for c in df.columns], F.shiftright(number, 33).cast("int").alias(_PART),
+        number.bitwiseAND(F.lit((1 << 33) - 1)).alias(_AT),
+    ), "ordered")
+
+
+def _before() -> Window:
+    return Window.partitionBy(F.lit(0)).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def numbered(df: DataFrame, *order: Column | str, out: str = "pos", parts: int | None = None) -> DataFrame:
+    """Add ``out``: the 0-based rank of each row along ``order``, ties in any order; one exchange."""
+    table = in_parts(df, *order, parts=parts)
+    counts = table.groupBy(_PART).agg(F.count(F.lit(1)).alias("_n"))
+    shift = counts.select(_PART, F.coalesce(F.sum("_n").over(_before()), F.lit(0)).alias("_shift"))
+    # one row per part of an exchange
+    return table.join(F.broadcast(shift), _PART).withColumn(out, F.col(_AT) + F.col("_shift")).drop(_PART, _AT, "_shift")
+
+
+def _parts(n: int, rows_per_bucket: int | None) -> int:
+    """How many parts ``n`` rows need; one, if a task may sort them all."""
+    return min(MAX_PARTS, math.ceil(n / (rows_per_bucket or ROWS_PER_BUCKET)))
 
 
 def running_total(
@@ -68,32 +69,25 @@ def running_total(
 ) -> DataFrame:
     """Add ``out``: the inclusive running sum of ``value`` along ``order`` per ``by``.
 
-    A group holding most rows is spread over all buckets, so no task sees more
-    than about one bucket of it. ``order`` must be unique inside a group.
+    A group holding most rows is spread over many parts, so no task has to sort
+    it whole. ``order`` must be unique inside a group.
     """
     by = list(by)
-    bounds = _bounds(df, order, rows_per_bucket or ROWS_PER_BUCKET, n_rows)
-    if not bounds:
-        # at most one bucket of rows in total
-        w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-        w = w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = _parts(df.count() if n_rows is None else n_rows, rows_per_bucket)
+    group = by or [F.lit(0)]
+    if parts <= 1:
+        w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(out, F.sum(value).over(w))
-    kind = df.schema[order].dataType.simpleString()
-    t = df.withColumn("_bucket", _bucket_of(order, kind, bounds)).withColumn("_amount", value)
-    totals = t.groupBy(*by, "_bucket").agg(F.sum("_amount").alias("_total"))
-    before = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = before.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shift = totals.select(*by, "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_shift"))
-    if not by:
-        shift = F.broadcast(shift)  # at most MAX_BUCKETS rows
-    inside = (
-        Window.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return (
-        t.join(shift, [*by, "_bucket"])
-        .withColumn(out, F.sum("_amount").over(inside) + F.col("_shift"))
-        .drop("_bucket", "_amount", "_shift")
-    )
+    table = in_parts(df.withColumn("_amount", value), *by, order, parts=parts)
+    totals = table.groupBy(*by, _PART).agg(F.sum("_amount").alias("_total"))
+    before = Window.partitionBy(*group).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    # only the first group of a part can have begun in an earlier one: at most one row per part
+    shift = totals.withColumn("_shift", F.sum("_total").over(before)).where("_shift IS NOT NULL")
+    shift = shift.select("_shift", F.col(_PART).alias("_in"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)])
+    inside = Window.partitionBy(*by, _PART).orderBy(_AT).rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(_PART) == F.col("_in"), *[F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]]
+    moved = table.join(F.broadcast(shift), same, "left").drop("_in", *[f"_by{i}" for i in range(len(by))])
+    return moved.withColumn(out, F.sum("_amount").over(inside) + F.coalesce("_shift", F.lit(0))).drop(_PART, _AT, "_amount", "_shift")
 
 
 def ranked(
@@ -106,10 +100,16 @@ def ranked(
     rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Add ``out``: the 0-based rank of each row along ``order`` (per ``by``)."""
-    numbered = running_total(
-        df, order, F.lit(1).cast("bigint"), out, by, n_rows=n_rows, rows_per_bucket=rows_per_bucket
-    )
-    return numbered.withColumn(out, F.col(out) - 1)
+    one = F.lit(1).cast("bigint")
+    if by:
+        total = running_total(df, order, one, out, by, n_rows=n_rows, rows_per_bucket=rows_per_bucket)
+        return total.withColumn(out, F.col(out) - 1)
+    n = df.count() if n_rows is None else n_rows
+    parts = _parts(n, rows_per_bucket)
+    if parts > 1:
+        return numbered(df, order, out=out, parts=parts)
+    total = running_total(df, order, one, out, n_rows=n, rows_per_bucket=rows_per_bucket)
+    return total.withColumn(out, F.col(out) - 1)
 
 
 def sort_text(*cols: Column) -> Column:

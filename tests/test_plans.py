@@ -9,7 +9,7 @@ from labelmx.operators.update import constant_cells
 from labelmx.plans.blocks import key_blocks, spread
 from labelmx.plans.durable import cut, stored
 from labelmx.plans.local import small_table
-from labelmx.plans.ranks import ranked, running_total
+from labelmx.plans.ranks import numbered, ranked, running_total
 
 from helpers import grid
 
@@ -41,6 +41,25 @@ def test_running_total_of_a_hot_group(spark):
     assert len(out) == len(rows)
 
 
+def test_number_along_several_columns(spark):
+    """Equal first columns are cut between parts; ranks are whole and need no sort of all rows in a task."""
+    rng = random.Random(4)
+    rows = sorted({(rng.choice([5, 5, 5, rng.randrange(9)]), rng.randrange(10**6), "x") for _ in range(900)}, key=lambda r: (-r[0], r[1]))
+    df = small_table(spark, rng.sample(rows, len(rows)), "a bigint, b bigint, t string")
+    for parts in (1, 7, None):
+        out = numbered(df, F.desc("a"), F.asc("b"), out="n", parts=parts)
+        assert out.columns == ["a", "b", "t", "n"]
+        assert [tuple(r) for r in out.orderBy("n").collect()] == [(*r, i) for i, r in enumerate(rows)]
+    assert numbered(df.limit(0), "a").count() == 0
+
+
+def test_ranks_with_null_groups(spark):
+    rows = [(g, i) for i, g in enumerate([None, "a", None, "b", "a", None] * 9)]
+    df = small_table(spark, rows, "g string, o bigint")
+    got = {(r.g, r.o): r.pos for r in ranked(df, "o", "pos", ["g"], rows_per_bucket=5).collect()}
+    assert got == {(g, o): sum(1 for h, p in rows if h == g and p < o) for g, o in rows}
+
+
 def check_unique(before, after, join="-"):
     """First occurrences stay, all names differ, and each later one has the smallest number then free."""
     assert len(set(after)) == len(before) == len(after)
