@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from ..session import tune
 
+#: A batch that Spark sends to Python ends at so many bytes (a longer row is a batch of its own).
+BATCH_BYTES = 4 << 20
+
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Session settings of the corpus operators: rows go to Python in small batches, as texts may be long."""
+    """Session settings of the corpus operators: rows go to Python in batches of few bytes, as texts may be long."""
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
