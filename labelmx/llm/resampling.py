@@ -181,7 +181,7 @@ def distinct_lines(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``(line, n)``: every distinct line that holds a word, A-Z lower-cased, and how often it occurs."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     lines = docs.select(F.explode(F.split(F.translate(column(text).cast("string"), upper, upper.lower()), "\n", -1)).alias("line"))
-    return lines.where(F.col("line").rlike(r"[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]")).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+    return lines.where(F.col("line").rlike(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]")).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
 def bucket_counts(docs: DataFrame, *, text: str = "text") -> np.ndarray:
