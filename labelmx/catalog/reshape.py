@@ -62,7 +62,7 @@ SELECT obs_name, var_name, value FROM wide WHERE value <> 0""")
 def sparsify(spark, sf):
     """Dense cells without their zeros."""
     lm = customers_by_brand(spark, sf)
-    return named_cells(lm, R.sparsify(R.densify(lm)))
+    return named_cells(lm, R.sparsify(R.densify(lm), lm))
 
 
 @query("read_as_sparse", """-- uses: cust

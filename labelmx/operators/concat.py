@@ -26,7 +26,7 @@ from ..plans.local import small_table
 from ..plans.ranks import ranked
 from . import nested
 from .merge import all_keys, attach_columns, decide, differing_columns, differing_vectors, merge_columns, merge_outer_suffix, shared_keys
-from .reshape import densify, transpose
+from .reshape import sparsify, transpose
 from .select import raw_matrix
 
 
@@ -209,9 +209,7 @@ def stack_matrices(
     for i, (lm, m) in enumerate(zip(inputs, matrices)):
         if m is None:
             continue
-        cells = m.cells
-        if sparse and not m.sparse:
-            cells = densify(lm.replace(X=m)).cells.where(F.col("value") != 0)
+        cells = (sparsify(m, lm) if sparse and not m.sparse else m).cells
         parts.append(cells.select(F.lit(i).alias("ds"), (F.col("obs_key") + shifts[i].key).alias("obs_key"), "var_key", "value"))
     cells = to.apply(_union(parts), "var_key")
     rows = stacked_rows(inputs, shifts)

@@ -11,7 +11,7 @@ from ..functions.arrays import inflate
 from ..functions.text import draw
 from ..model import LabeledMatrix, Matrix
 from ..plans.blocks import BLOCK_WIDTH, key_blocks, spread
-from ..plans.ranks import ranked, whole_div
+from ..plans.ranks import ROWS_PER_BUCKET, numbered, ranked, whole_div
 from .access import pick_matrix
 from .select import by_positions
 
@@ -91,17 +91,48 @@ def densify(lm: LabeledMatrix, *, layer: str | None = None, width: int = BLOCK_W
     return Matrix(cells, float("nan"))
 
 
+WORD = 64
+
+
+def gaps(lm: LabeledMatrix, m: Matrix, *, width: int = BLOCK_WIDTH) -> DataFrame:
+    """``(obs_key, var_key)`` of the cells on ``lm``'s axes that ``m`` does not store.
+
+    Stored cells only leave a bit each: presence is kept in words of 64 bits per
+    (row, word), and the words of a block meet its key array. Where they are all
+    set nothing is unfolded, else just the missing keys are.
+    """
+    n_vars = lm.var.count()
+    place = lm.positions("var", n_vars).select(F.col("key").alias("var_key"), "pos")
+    held = m.cells.select("obs_key", "var_key").join(place, "var_key")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("pos", F.lit(WORD)).cast("int"))
+    word = F.pmod(whole_div(F.col("pos"), WORD), F.lit(width // WORD)).cast("int")
+    words = held.groupBy("obs_key", whole_div(F.col("pos"), width).alias("block"), word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    present = words.groupBy("obs_key", "block").agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"), F.sum(F.bit_count("bits")).alias("n")
+    )
+    blocks = key_blocks(lm.positions("var", n_vars), pos="pos", width=width)
+    grid = spread(lm.obs.select(F.col("key").alias("obs_key")), blocks, n_vars, width=width)
+    open_ = grid.join(present, ["obs_key", "block"], "left").where(F.coalesce("n", F.lit(0)) < F.size("keys"))
+    listed = F.transform(F.sequence(F.lit(0), F.lit(width // WORD - 1)), lambda w: F.coalesce(F.try_element_at("words", w), F.lit(0)))
+    absent = lambda k, i: F.getbit(F.get("_bits", (i / WORD).cast("int")), F.pmod(i, F.lit(WORD))) == 0
+    missing = open_.withColumn("_bits", listed).withColumn("_missing", F.filter("keys", absent))
+    return missing.select("obs_key", F.explode("_missing").alias("var_key"))
+
+
 def sparsify(m: Matrix, lm: LabeledMatrix | None = None) -> Matrix:
-    """Only non-zero cells are kept; NaN is not zero.
+    """Only non-zero cells are kept; NaN and NULL are not zero.
 
-    Where absent cells mean NaN and ``lm``, whose axes the cells lie on, shows
-    that some are absent, these are stored as NaN.
+    Where absent cells mean NaN, those on the axes of ``lm`` are stored as NaN.
+    Without ``lm`` nothing says which cells are absent, so such a matrix stays
+    as it is and loses none.
     """
-    if lm is not None and m.absent != 0:
-        n_obs, n_vars = lm.shape
-        if m.cells.count() < n_obs * n_vars:
-            m = densify(lm.replace(X=m))
-    return Matrix(m.cells.where((F.col("value") != 0) | F.col("value").isNull()), 0.0)
+    if m.absent != 0 and lm is None:
+        return m
+    kept = m.cells.where((F.col("value") != 0) | F.col("value").isNull())
+    if m.absent != 0:
+        kind = m.cells.schema["value"].dataType
+        kept = kept.unionByName(gaps(lm, m).withColumn("value", F.lit(m.absent).cast(kind)))
+    return Matrix(kept, 0.0)
 
 
 def blocks_of(n: int, size: int) -> list[tuple[int, int]]:
@@ -149,6 +180,24 @@ def map_chunks(
     return tiles.groupBy("chunk", "block").applyInPandas(one, schema)
 
 
+def _drawn_keys(lm: LabeledMatrix, k: int, seed: int) -> DataFrame:
+    """``(key, new_key)`` of the ``k`` rows whose hashes of key and seed come first.
+
+    Up to ``ROWS_PER_BUCKET`` of them come from each task's own first ``k``;
+    more are numbered in range parts, by the same order.
+    """
+    hashed = F.concat_ws(":", F.md5(F.concat_ws(":", F.col("key").cast("string"), F.lit(str(seed)))), F.col("key"))
+    drawn = lm.obs.select("key", hashed.alias("_draw"))
+    if k > ROWS_PER_BUCKET:
+        return numbered(drawn, "_draw", out="new_key").where(F.col("new_key") < k).select("key", "new_key")
+    return ranked(drawn.orderBy("_draw").limit(k), "_draw", "new_key", n_rows=k).select("key", "new_key")
+
+
+def _drawn_positions(lm: LabeledMatrix, k: int, n: int, seed: int) -> DataFrame:
+    ids = lm.spark.range(k)
+    return ids.select((draw(seed, F.col("id")) % F.lit(max(n, 1))).alias("pos"), F.col("id").alias("new_key"))
+
+
 def sample_positions(lm: LabeledMatrix, select: int = 1000, *, replace: bool = True, seed: int = 0) -> DataFrame:
     """Random row positions ``(pos, new_key)``, capped at ``n_obs`` rows.
 
@@ -158,10 +207,8 @@ def sample_positions(lm: LabeledMatrix, select: int = 1000, *, replace: bool = T
     n = lm.obs.count()
     k = min(select, n)
     if replace:
-        ids = lm.spark.range(k)
-        return ids.select((draw(seed, F.col("id")) % F.lit(max(n, 1))).alias("pos"), F.col("id").alias("new_key"))
-    drawn = lm.positions("obs", n).select("pos", F.concat_ws(":", F.md5(F.concat_ws(":", F.col("key").cast("string"), F.lit(str(seed)))), F.col("key")).alias("_draw"))
-    return ranked(drawn, "_draw", "new_key", n_rows=n).where(F.col("new_key") < k).select("pos", "new_key")
+        return _drawn_positions(lm, k, n, seed)
+    return lm.positions("obs", n).join(_drawn_keys(lm, k, seed), "key").select("pos", "new_key")
 
 
 def take_rows(lm: LabeledMatrix, positions: DataFrame, *, layer: str | None = None) -> LabeledMatrix:
@@ -175,8 +222,14 @@ def take_rows(lm: LabeledMatrix, positions: DataFrame, *, layer: str | None = No
 
 
 def sample_rows(lm: LabeledMatrix, select: int = 1000, *, replace: bool = True, seed: int = 0, layer: str | None = None) -> LabeledMatrix:
-    """Random rows as a dense matrix."""
-    return take_rows(lm, sample_positions(lm, select, replace=replace, seed=seed), layer=layer)
+    """Random rows as a dense matrix; without replacement no row needs a position."""
+    from .select import apply, by_keys
+
+    n = lm.obs.count()
+    if replace:
+        return take_rows(lm, _drawn_positions(lm, min(select, n), n, seed), layer=layer)
+    sub = apply(lm, "obs", by_keys(lm.obs, _drawn_keys(lm, min(select, n), seed)))
+    return sub.replace(X=densify(sub, layer=layer), layers={})
 
 
 def read_as_sparse(lm: LabeledMatrix, names=("X",)) -> LabeledMatrix:

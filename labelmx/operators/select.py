@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import Categories, Graph, LabeledMatrix, Matrix, Raw, Table, Vectors, is_text
+from ..plans.durable import new_path, stored
 from ..plans.local import small_table
-from ..plans.ranks import ranked
+from ..plans.ranks import numbered, ranked
 
 
 @dataclass(frozen=True)
@@ -72,6 +73,11 @@ def by_positions(placed: DataFrame, positions: DataFrame, n: int) -> Selection:
     return _gather(placed.drop("pos"), placed.join(wanted, "pos"))
 
 
+def by_keys(axis: DataFrame, picked: DataFrame) -> Selection:
+    """Rows of ``picked(key, new_key)``, in the order of the new keys; repeats allowed."""
+    return _gather(axis, axis.join(picked, "key"))
+
+
 def by_mask(lm: LabeledMatrix, axis: str, mask: DataFrame) -> Selection:
     """Rows whose ``keep`` is true in ``mask(pos, keep)`` or ``mask(key, keep)``."""
     table = lm.axis(axis)
@@ -237,11 +243,65 @@ def subset_by_value(lm: LabeledMatrix, axis: str, name: str, cond: Callable[[Col
     return apply(lm, axis, Selection(lm.axis(axis).join(vec.where(cond(F.col("value"))), "key", "left_semi")))
 
 
+class _Pieces:
+    """Elements written once, partitioned by the piece that each row belongs to."""
+
+    def __init__(self, lm: LabeledMatrix, column: str, axis: str):
+        table = lm.axis(axis)
+        self.codes = numbered(table.select(F.col(column).alias("value")).distinct(), "value", out="_piece")
+        named = self.codes.withColumnRenamed("value", "_value")
+        held = table.join(named, F.col(column).eqNullSafe(F.col("_value")))
+        self.member = stored(held.select("key", "_piece"), "pieces")
+
+    def lay(self, df: DataFrame, *cols: str) -> Callable[[int], DataFrame]:
+        """Write rows of ``df`` whose ``cols`` all lie in one piece; gives the reader of a piece."""
+        laid = df
+        for c in cols:
+            laid = laid.join(self.member.withColumnRenamed("key", c), [c, *(["_piece"] if "_piece" in laid.columns else [])])
+        path = new_path(df.sparkSession, "pieces")
+        # a piece with most rows is written by many tasks
+        laid.hint("rebalance", F.col("_piece")).write.partitionBy("_piece").parquet(path)
+        back = df.sparkSession.read.schema(laid.schema).parquet(path)
+        return lambda code: back.where(F.col("_piece") == code).select(*[F.col(f"`{c}`") for c in df.columns])
+
+    def element(self, el):
+        if isinstance(el, Graph):
+            read = self.lay(el.edges, "i_key", "j_key")
+            return lambda code: Graph(read(code))
+        read = self.lay(el.rows, "key")
+        return lambda code: Vectors(read(code), el.width, el.absent) if isinstance(el, Vectors) else Table(read(code))
+
+    def matrix(self, m: Matrix | None, axis: str):
+        if m is None:
+            return lambda code: None
+        read = self.lay(m.cells, f"{axis}_key")
+        return lambda code: Matrix(read(code), m.absent)
+
+
 def split_by(lm: LabeledMatrix, column: str, axis: str = "obs") -> Iterator[tuple]:
-    """One subset per value of an annotation column, built when asked for."""
-    values = lm.axis(axis).select(column).distinct().orderBy(column)
-    for (value,) in values.toLocalIterator():
-        yield value, apply(lm, axis, Selection(lm.axis(axis).where(F.col(column).eqNullSafe(value))))
+    """One subset per value of an annotation column, in the order of the values.
+
+    Each element is read once and written partitioned by value, however many
+    values there are; a subset reads its own partitions only.
+    """
+    pieces = _Pieces(lm, column, axis)
+    table = pieces.lay(lm.axis(axis), "key")
+    X, layers = pieces.matrix(lm.X, axis), {k: pieces.matrix(m, axis) for k, m in lm.layers.items()}
+    vectors = {k: pieces.element(el) for k, el in getattr(lm, f"{axis}m").items()}
+    graphs = {k: pieces.element(el) for k, el in getattr(lm, f"{axis}p").items()}
+    raw = pieces.matrix(lm.raw.X, "obs") if axis == "obs" and lm.raw is not None else None
+    cats = getattr(lm, f"{axis}_categories")
+    for value, code in pieces.codes.select("value", "_piece").orderBy("_piece").toLocalIterator():
+        mine = table(code)
+        changes = {
+            axis: mine, f"{axis}_dense": False, "X": X(code), "layers": {k: read(code) for k, read in layers.items()},
+            f"{axis}m": {k: read(code) for k, read in vectors.items()}, f"{axis}p": {k: read(code) for k, read in graphs.items()},
+        }
+        if cats:
+            changes[f"{axis}_categories"] = {c: prune(d, mine, c) for c, d in cats.items()}
+        if raw is not None:
+            changes["raw"] = Raw(raw(code), lm.raw.var, lm.raw.varm, lm.raw.var_dense)
+        yield value, lm.replace(**changes)
 
 
 # -- raw ---------------------------------------------------------------------------

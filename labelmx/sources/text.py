@@ -2,8 +2,7 @@
 
 A path is one file or a directory of part files in name order. The driver looks
 at the first lines only, to decide about headers and names; all lines are parsed
-by the executors. A line's place is its file, its split's offset and its number
-within the task, which is the same on every read.
+by the executors and numbered without an exchange.
 """
 
 from __future__ import annotations
@@ -17,48 +16,48 @@ from pyspark.sql import functions as F
 from ..functions.text import unquote
 from ..model import LabeledMatrix, Matrix, axis_table
 from ..operators.reshape import densify
+from ..plans.durable import stored
 from ..plans.local import small_table
-from ..plans.ranks import ranked, sort_text, whole_div
+from ..plans.ranks import ranked, whole_div
 
 
 @dataclass(frozen=True)
 class Lines:
-    """Non-empty lines ``(path, start, line, value)`` and the first non-empty file."""
+    """Non-empty lines ``(at, value)``, numbered from 0 in file order, and the first non-empty file."""
 
     df: DataFrame
     first: str
 
-    @property
-    def _in_first_split(self):
-        return F.col("path").endswith(re.sub(r"^[a-z0-9]+:/*", "/", self.first)) & (F.col("start") == 0)
-
     def after(self, n: int) -> DataFrame:
-        """All but the first ``n`` lines; only the first split is numbered for it."""
-        head = self.df.where(self._in_first_split)
-        row = F.row_number().over(Window.partitionBy("path").orderBy("line"))
-        tail = head.withColumn("_row", row).where(F.col("_row") > n).drop("_row")
-        return tail.unionByName(self.df.where(~self._in_first_split))
-
-
-def place():
-    """Sortable text of a line's place."""
-    return F.concat(F.col("path"), F.lit("\0"), sort_text(F.col("start"), F.col("line")))
+        """All but the first ``n`` lines, numbered from 0."""
+        # the value depends on the number too: casts of it are never tried on the lines before
+        return self.df.where(F.col("at") >= n).select((F.col("at") - n).alias("at"), F.when(F.col("at") >= n, F.col("value")).alias("value"))
 
 
 def open_lines(spark: SparkSession, path: str) -> Lines:
-    """Lines of a file or directory; ``.gz`` and ``.bz2`` are decompressed by suffix."""
+    """Lines of a file or directory; ``.gz`` and ``.bz2`` are decompressed by suffix.
+
+    Lines are written once as they are read, with their split and their place in
+    it, so that every later plan sees the same splits and a compressed file is
+    unpacked once and then parsed in parallel. A line's number is the lines of the
+    splits before its own plus its place: one small row per split is broadcast,
+    the lines themselves are never exchanged.
+    """
     raw = spark.read.text(path)
     files = sorted(raw.inputFiles())
     first = next((f for f in files if not spark.read.text(f).where("value <> ''").isEmpty()), None)
     if first is None:
         raise ValueError(f"no data in {path}")
-    lines = raw.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.monotonically_increasing_id().alias("line"),
-        "value",
-    )
-    return Lines(lines.where(F.col("value") != ""), first)
+    read = stored(raw.select(
+        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"), "value",
+    ).where(F.col("value") != "").withColumn("line", F.monotonically_increasing_id()), "lines")
+    splits = read.groupBy("file", "path", "start").agg(F.min("line").alias("low"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("path", "start").rowsBetween(Window.unboundedPreceding, -1)
+    # as many rows as the input has splits: a few bytes for every 128 MB
+    shift = stored(splits.select("file", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("low")).alias("shift")), "splits")
+    numbered = read.join(F.broadcast(shift), ["file", "start"]).select((F.col("line") + F.col("shift")).alias("at"), "value")
+    return Lines(numbered, first)
 
 
 def _is_float(token: str) -> bool:
@@ -137,8 +136,7 @@ def read_text(
     if len(names) != width:
         raise ValueError(f"{len(names)} column names for {width} columns")
 
-    placed = ranked(lines.after(skipped).select("value", place().alias("_at")), "_at", "key")
-    parts = placed.select("key", _split(F.col("value"), delimiter).alias("t"))
+    parts = lines.after(skipped).select(F.col("at").alias("key"), _split(F.col("value"), delimiter).alias("t"))
     skip = int(named)
     size = F.size("t") - skip
     checked = F.when(size == width, F.slice("t", skip + 1, width)).otherwise(
@@ -161,7 +159,7 @@ def read_csv(
 
 
 def umi_matrix(rows: DataFrame, order: str = "at", dtype: str = "float", *, dense: bool = False) -> LabeledMatrix:
-    """Counts ``(gene, cell, count, <order>)`` as cells × genes.
+    """Counts ``(gene, cell, count, <order>)`` as cells × genes; ``order`` is a number.
 
     Of repeated pairs the last one counts; pairs without a row are 0. Cells and
     genes are in first-seen order.
@@ -186,7 +184,7 @@ def read_umi_counts(spark: SparkSession, path: str, dtype: str = "float", *, den
     """A tab-separated ``gene, cell, count`` table (often gzipped); its first line is a header."""
     t = F.split("value", "\t")
     rows = open_lines(spark, path).after(1).select(
-        t[0].alias("gene"), t[1].alias("cell"), F.trim(t[2]).cast("bigint").alias("count"), place().alias("at")
+        t[0].alias("gene"), t[1].alias("cell"), F.trim(t[2]).cast("bigint").alias("count"), "at"
     )
     return umi_matrix(rows, "at", dtype, dense=dense)
 
@@ -213,7 +211,7 @@ def read_mtx(spark: SparkSession, path: str, dtype: str = "float") -> LabeledMat
         value = F.lit(1.0) if field == "pattern" else t[2].cast("double")
         cells = body.select((t[0].cast("bigint") - 1).alias("obs_key"), (t[1].cast("bigint") - 1).alias("var_key"), value.alias("value"))
     elif symmetry == "general":
-        placed = ranked(body.select("value", place().alias("_at")), "_at", "pos")
+        placed = ranked(body, "at", "pos")  # blank lines inside the body leave gaps
         cells = placed.select((F.col("pos") % shape[0]).alias("obs_key"), whole_div(F.col("pos"), shape[0]).alias("var_key"), F.trim("value").cast("double").alias("value"))
         cells = cells.where("value <> 0")
     else:
