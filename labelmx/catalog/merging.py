@@ -5,13 +5,16 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Graph, Vectors
+from ..model import Graph, Vectors, annotation
 from ..operators import nested
 from ..operators.concat import concat
-from ..operators.merge import differing_vectors
+from ..operators.by_values import ByValues
+from ..operators.compare import differing_vectors
 from ..plans.local import small_table
 from .registry import query
 from .tables import shops, table
@@ -98,6 +101,38 @@ def merge_alt_axis(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
+def _close(element: str, copies: list) -> bool:
+    """Several copies, nowhere more than 1 apart."""
+    flat = [c.flatten() if pa.types.is_list(c.type) else c for c in copies]
+    near = lambda a, b: pc.all(pc.less_equal(pc.abs(pc.subtract(pc.cast(a, "double"), pc.cast(b, "double"))), 1.0)).as_py()
+    return len(flat) > 1 and all(near(flat[0], c) for c in flat[1:])
+
+
+def _highest(element: str, copies: list):
+    if not pa.types.is_list(copies[0].type):
+        return pc.max_element_wise(*copies)
+    return pa.ListArray.from_arrays(copies[0].offsets, pc.max_element_wise(*[c.flatten() for c in copies]))
+
+
+@query("merge_by_values", f"""-- uses: shop_var
+WITH p AS (SELECT p_name AS name, CAST(max(p_retailprice) AS DOUBLE) AS hi, CAST(min(p_retailprice) AS DOUBLE) AS lo, CAST(count(*) AS DOUBLE) AS n, CAST(max(p_size) AS DOUBLE) AS size
+  FROM part GROUP BY 1 HAVING p_name IN {_KEPT})
+SELECT 'n_parts' AS element, name, n AS first, n AS last FROM p UNION ALL SELECT 'max_size', name, size, size FROM p
+UNION ALL SELECT 'price', name, lo, hi FROM p UNION ALL SELECT 'count', name, n + 1, n + 1 FROM p UNION ALL SELECT 'self', name, n, n FROM p""")
+def merge_by_values(spark, sf):
+    """A caller's rule on values: copies that are nowhere more than 1 apart give their highest values."""
+    out = concat(_profiles(spark, sf, shops(spark, sf)), merge=ByValues(_close, _highest))
+    names = out.var.select("key", "name")
+    both = lambda v: [v.cast("double").alias("first"), v.cast("double").alias("last")]
+    parts = [out.var.select(F.lit(c).alias("element"), "name", *both(F.col(c))) for c in annotation(out.var)]
+    parts += [
+        v.rows.join(names, "key").select(F.lit(k).alias("element"), "name", F.col("vec")[0].alias("first"), F.element_at("vec", -1).alias("last"))
+        for k, v in out.varm.items()
+    ]
+    parts += [g.edges.join(names, g.edges.i_key == names.key).select(F.lit(k).alias("element"), "name", *both(F.col("value"))) for k, g in out.varp.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("element_equal", """SELECT 'changed' AS element, bool_or(list_max(embedding) > 0.3) AS differs FROM embeddings
 UNION ALL SELECT 'narrow', bool_or(len(embedding) > 8) FROM embeddings
 UNION ALL SELECT 'nan', bool_or(len(embedding) <> 64) FROM embeddings UNION ALL SELECT 'same', bool_or(len(embedding) <> 64) FROM embeddings""")

@@ -25,7 +25,9 @@ from ..plans.durable import stored
 from ..plans.local import small_table
 from ..plans.ranks import ranked
 from . import nested
-from .merge import all_keys, attach_columns, decide, differing_columns, differing_vectors, merge_columns, merge_outer_suffix, shared_keys
+from .by_values import ByValues, merged_element
+from .compare import differing_vectors
+from .merge import all_keys, attach_columns, decide, merge_columns, merge_outer_suffix, shared_keys
 from .reshape import sparsify, transpose
 from .select import raw_matrix
 
@@ -311,6 +313,9 @@ def merge_aligned(maps: Sequence[Mapping], to: Alignment, strategy) -> dict:
     """Vectors or graphs of the aligned axis, kept as a whole by the strategy."""
     present = {k: [i for i, m in enumerate(maps) if k in m] for k in all_keys(maps)}
     moved = lambda k, i: _aligned(maps[i][k], i, to)
+    if isinstance(strategy, ByValues):
+        merged = {k: merged_element(strategy, k, [moved(k, i) for i in at]) for k, at in present.items()}
+        return {k: el for k, el in merged.items() if el is not None}
     chosen = decide(
         strategy, present, len(maps),
         lambda ks: differing_vectors({k: [moved(k, i) for i in present[k]] for k in ks}),
@@ -360,7 +365,8 @@ def concat(
     """Stack labeled matrices along ``axis`` and align the other one.
 
     ``merge`` / ``uns_merge`` are ``None``, ``same``, ``unique``, ``first``,
-    ``only`` or a callable (see ``merge.decide`` and ``merge_uns``).
+    ``only`` or a callable (see ``merge.decide`` and ``merge_uns``); ``merge`` may
+    also be a ``ByValues``, which sees the values of the copies.
     """
     if isinstance(lms, Mapping):
         if keys is not None:

@@ -2,7 +2,8 @@
 
 Each element present in several inputs is aligned to the merged names and then
 kept or dropped as a whole by a strategy. Annotation columns are compared with
-NaN/null unequal; vectors, tables and graphs with NaN equal to NaN.
+NaN/null unequal; vectors, tables and graphs with NaN equal to NaN. A ``ByValues``
+strategy looks at the values instead and may give values of its own.
 """
 
 from __future__ import annotations
@@ -10,12 +11,12 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..model import Graph, Table, Vectors
 from ..plans.ranks import ranked, sort_text
+from .by_values import ByValues, merged_columns
+from .compare import differing_columns
 
 
 def shared_keys(mappings: Sequence[Mapping | Sequence[str]]) -> list[str]:
@@ -70,97 +71,6 @@ def decide(strategy, present: Mapping[str, Sequence[int]], n_inputs: int, differ
     return {k: ds[0] for k, ds in present.items() if k not in bad}
 
 
-def number_text(value: Column, kind: T.DataType) -> Column:
-    """Text form of a number or boolean in which equal values are equal.
-
-    Whole numbers are written as integers, whatever their type, so no integer
-    is rounded to a double and -0.0 is 0; NaN is ``NaN``.
-    """
-    if isinstance(kind, (T.IntegralType, T.BooleanType)):
-        return value.cast("bigint").cast("string")
-    x = value.cast("double")
-    whole = (F.abs(x) < F.lit(float(2**63))) & (x == F.floor(x).cast("double"))
-    return F.when(whole, x.cast("bigint").cast("string")).otherwise(x.cast("string"))
-
-
-def _melt_value(df: DataFrame, col: str) -> Column:
-    """Text form in which equal values are equal; numbers by value, NaN as ``NaN``."""
-    kind = df.schema[col].dataType
-    if isinstance(kind, (T.NumericType, T.BooleanType)) and not isinstance(kind, T.DecimalType):
-        return number_text(F.col(col), kind)
-    return F.concat(F.lit("s"), F.col(col).cast("string"))
-
-
-def differing_columns(tables: Sequence[tuple[int, DataFrame]], target: DataFrame, cols: Sequence[str]) -> set[str]:
-    """Annotation columns whose copies differ after alignment to ``target(name)``.
-
-    All tables are melted to ``(ds, column, name, value)`` and compared in one
-    grouping; a missing name or a null in any copy makes the column differ.
-    """
-    melted, per_col = [], dict.fromkeys(cols, 0)
-    for ds, t in tables:
-        held = [c for c in cols if c in t.columns]
-        if not held:
-            continue
-        for c in held:
-            per_col[c] += 1
-        values = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _melt_value(t, c).alias("value")) for c in held]))
-        melted.append(t.select("name", values.alias("m")).select("name", "m.column", "m.value"))
-    n_copies = F.create_map(*[F.lit(x) for c in cols for x in (c, per_col[c])])
-    aligned = target.select("name").join(_union(melted), "name")
-    groups = aligned.groupBy("column", "name").agg(
-        F.count_if((F.col("value").isNotNull()) & (F.col("value") != "NaN")).alias("n"),
-        (F.min("value") == F.max("value")).alias("equal"),
-    )
-    good = F.coalesce(F.col("equal"), F.lit(False)) & (F.col("n") == n_copies[F.col("column")])
-    verdict = groups.groupBy("column").agg(F.count_if(good).alias("n_good"))
-    n_names = target.count()
-    fine = {r.column for r in verdict.collect() if r.n_good == n_names}
-    return set() if n_names == 0 else set(cols) - fine
-
-
-def differing_vectors(copies: Mapping[str, Sequence[Vectors | Table | Graph]]) -> set[str]:
-    """Aligned vectors, tables or graphs whose copies differ; NaN equals NaN.
-
-    Every element becomes ``(element, place, value)`` rows; a place must hold the
-    same value in all copies. Rows that hold only zeros of a sparse graph are
-    left out, as they equal an absent edge.
-    """
-    rows, n_copies, out = [], {}, set()
-    for name, els in copies.items():
-        n_copies[name] = len(els)
-        kinds = {type(e) for e in els}
-        if len(kinds) > 1:
-            out.add(name)
-            continue
-        if kinds == {Vectors}:
-            if len({e.width for e in els}) > 1 or len({e.absent == 0 for e in els}) > 1:
-                out.add(name)
-                continue
-            # whole vectors compare at once
-            inner = lambda e: e.rows.schema["vec"].dataType.elementType
-            parts = [e.rows.select(F.array("key").alias("place"), F.transform("vec", lambda v, e=e: number_text(v, inner(e))).cast("string").alias("value")) for e in els]
-        elif kinds == {Graph}:
-            text = lambda e: number_text(F.col("value"), e.edges.schema["value"].dataType)
-            parts = [e.edges.where("value <> 0").select(F.array("i_key", "j_key").alias("place"), text(e).alias("value")) for e in els]
-        else:
-            cols = els[0].columns
-            types = [[e.rows.schema[c].dataType for c in e.columns] for e in els]
-            if any(e.columns != cols for e in els) or any(t != types[0] for t in types):
-                out.add(name)
-                continue
-            parts = [e.rows.select(F.array("key").alias("place"), F.to_json(F.struct(*cols)).alias("value")) for e in els]
-        rows.append(_union(parts).withColumn("element", F.lit(name)))
-    if rows:
-        groups = _union(rows).groupBy("element", "place").agg(
-            F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
-        )
-        expected = F.create_map(*[F.lit(x) for k, n in n_copies.items() for x in (k, n)])
-        odd = groups.where((F.col("lo") != F.col("hi")) | (F.col("n") != expected[F.col("element")]))
-        out |= {r.element for r in odd.select("element").distinct().collect()}
-    return out
-
-
 def merge_columns(tables: Sequence[DataFrame], target: DataFrame, strategy, columns: Sequence[Sequence[str]]) -> DataFrame:
     """Annotation of the aligned axis: ``target(key, ord, name)`` plus the kept columns.
 
@@ -170,6 +80,8 @@ def merge_columns(tables: Sequence[DataFrame], target: DataFrame, strategy, colu
     names = all_keys(columns)
     present = {c: [i for i, cs in enumerate(columns) if c in cs] for c in names}
     numbered = list(enumerate(tables))
+    if isinstance(strategy, ByValues):
+        return merged_columns(strategy, numbered, target, present)
     chosen = decide(strategy, present, len(tables), lambda cs: differing_columns(numbered, target, cs))
     return attach_columns(tables, target, [(i, c, c) for c, i in chosen.items()])
 

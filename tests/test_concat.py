@@ -218,7 +218,7 @@ def test_nested(spark, case):
 
 
 def test_large_integers_are_not_rounded(spark):
-    from labelmx.operators.merge import differing_columns
+    from labelmx.operators.compare import differing_columns
     from labelmx.operators.nested import comparable
 
     one = small_table(spark, [("p", 2**53, 2, True)], "name string, big bigint, small bigint, flag boolean")
