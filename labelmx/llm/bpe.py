@@ -22,6 +22,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterable
+from hashlib import sha256
 from typing import NamedTuple
 
 import numpy as np
@@ -36,7 +37,9 @@ _SPACES = b" \t\n\x0b\x0c\r"
 _ASCII_CUT = re.compile("[ \\t-\\r]*[^ \\t-\\r]+|[ \\t-\\r]+").findall
 _SEPARATOR = re.compile("[\\x1c-\\x1f]").search
 _KEEP_CHARS = 64
-_KEEP_ENTRIES = 300_000
+#: Fragments that a task keeps may take this much memory, by a rough count; then it starts anew.
+KEEP_BYTES = 32 << 20
+_ENTRY_BYTES = 200  # of objects and table, beside characters and ids
 
 
 # Fixed value: the pre-tokenizer pattern of byte-level vocabularies.
@@ -138,6 +141,7 @@ class Encoder:
         simple = "\\u0000-\\u0008\\u000e-\\u001b\\u0021-\\u0084"
         self.simple = cuts is not None and cuts.count("(?=") == cuts.count(simple) and all(f"\\x{y:02x}" in cuts for y in _SPACES)
         self.kept: dict[str, bytes] = {}
+        self.size = 0
 
     def split(self, text: str) -> list[str]:
         return _ASCII_CUT(text) if self.simple and text.isascii() and not _SEPARATOR(text) else self.cut(text)
@@ -158,8 +162,11 @@ class Encoder:
         for f in new:
             if len(f) > _KEEP_CHARS:
                 del kept[f]
-        if len(kept) > _KEEP_ENTRIES:
+            else:
+                self.size += _ENTRY_BYTES + len(f) + len(kept[f])
+        if self.size > KEEP_BYTES:
             kept.clear()
+            self.size = 0
         return ids
 
 
@@ -216,10 +223,32 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, *, ids: str = "ids", out: st
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every document, encoded and decoded again."""
-    vocabulary = load_vocabulary(path)
-    both = decode(encode(docs.select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
-    return both.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every document, encoded and decoded again.
+
+    One pass per task: neither ids nor decoded texts leave it, and it holds those
+    of one document at a time.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(load_vocabulary(path)))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    schema = T.StructType([
+        rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()),
+        T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
+    ])
+
+    def run(batches):
+        encoder = Encoder(*shared.value)
+        tokens = [t or b"" for t in shared.value[0]]
+        decimal = [str(i) for i in range(len(tokens))]
+
+        def digest(text):
+            ids = encoder.encode(text).tolist()
+            listed = sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest()
+            back = b"".join(map(tokens.__getitem__, ids)).decode("utf-8", "replace")
+            return len(ids), listed, sha256(back.encode()).hexdigest()
+
+        for b in batches:
+            done = [digest(t.as_py()) for t in b.column(1)]
+            columns = [pa.array([d[i] for d in done], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
