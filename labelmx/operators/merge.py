@@ -95,12 +95,21 @@ def attach_columns(tables: Sequence[DataFrame], target: DataFrame, picks: Sequen
     return out.select(*target.columns, *[new for _, _, new in picks])
 
 
-def merge_outer_suffix(tables: Sequence[DataFrame], target: DataFrame, keys: Sequence[str], columns: Sequence[Sequence[str]], strategy="unique", sep: str = "-") -> DataFrame:
-    """Columns kept by the strategy keep their name, all others appear once per input as ``col-key``."""
+def merge_outer_suffix(
+    tables: Sequence[DataFrame], target: DataFrame, keys: Sequence[str], columns: Sequence[Sequence[str]], strategy="unique",
+    sep: str = "-", *, inputs: Sequence[int] | None = None,
+) -> DataFrame:
+    """Columns kept by the strategy keep their name, all others appear once per input as ``col-key``.
+
+    Kept columns come first; the others follow column by column, or input by
+    input in the order of ``inputs``.
+    """
     names = all_keys(columns)
     present = {c: [i for i, cs in enumerate(columns) if c in cs] for c in names}
     numbered = list(enumerate(tables))
     chosen = decide(strategy, present, len(tables), lambda cs: differing_columns(numbered, target, cs))
-    picks = [(chosen[c], c, c) for c in names if c in chosen]
-    picks += [(i, c, f"{c}{sep}{keys[i]}") for c in names if c not in chosen for i in present[c]]
+    single = [(c, i) for c in names if c not in chosen for i in present[c]]
+    if inputs is not None:
+        single.sort(key=lambda pick: inputs.index(pick[1]))
+    picks = [(chosen[c], c, c) for c in names if c in chosen] + [(i, c, f"{c}{sep}{keys[i]}") for c, i in single]
     return attach_columns(tables, target, picks)

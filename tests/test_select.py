@@ -76,34 +76,40 @@ def test_value_predicate_counts_absent(make):
 
 
 def test_palette(spark, make):
-    lm = make(None, list("12345"), ["g"], obs_cols={"cat1": ["a", "a", "b", "c", "d"]})
-    cats = Categories(small_table(spark, list(enumerate("abcd")), "code int, category string"))
-    lm = lm.replace(obs_categories={"cat1": cats})
-    kept = set_palette(lm, "obs", "cat1", ["red", "green", "blue", "grey"])[["1", "2"]].obs_categories["cat1"]
-    assert [r.category for r in kept.table.collect()] == ["a"] and [r.color for r in kept.colors.collect()] == ["red"]
-    assert set_palette(lm, "obs", "cat1", ["red", "green", "blue"])[["1", "2"]].obs_categories["cat1"].colors is None
+    lines = ["u3", "u1", "u3", "u7", "u1"]
+    lm = make(None, [f"stop{i}" for i in range(5)], ["g"], obs_cols={"line": lines})
+    cats = Categories(small_table(spark, [(0, "u1"), (1, "u3"), (2, "u7")], "code int, category string"))
+    lm = lm.replace(obs_categories={"line": cats})
+    ridden = set_palette(lm, "obs", "line", ["#080", "#c00", "#00f"])[["stop0", "stop3"]].obs_categories["line"]
+    assert [r.category for r in ridden.table.orderBy("code").collect()] == ["u3", "u7"]
+    assert [r.color for r in ridden.colors.orderBy("code").collect()] == ["#c00", "#00f"]
+    # fewer colours than categories cannot be realigned
+    assert set_palette(lm, "obs", "line", ["#080", "#c00"])[["stop0"]].obs_categories["line"].colors is None
 
 
 def test_vectors(make):
-    lm = make([[0, 2, 3], [0, 5, 6]], ["s1", "s2"], ["a", "b", "c"], sparse=True, obs_cols={"n": [7, 8], "a": [1, 2]})
+    sold = [[4, 0, 0, 10], [0, 0, 6, 2], [0, 8, 0, 0]]
+    days, goods = ["mon", "tue", "wed"], ["tea", "rice", "salt", "oil"]
+    lm = make(sold, days, goods, sparse=True, obs_cols={"staff": [3, 5, 2], "oil": [0, 1, 0]})
     full = U.snapshot_raw(lm, lm)
     half = full.replace(X=Matrix(lm.X.cells.withColumn("value", F.col("value") / 2)))
     values = lambda df: [r.value for r in df.orderBy("ord").collect()]
-    assert values(half.obs_vector("b")) == [1.0, 2.5]
-    assert values(half.obs_vector("n")) == [7, 8]
-    assert values(half.var_vector("s2")) == [0, 2.5, 3]
-    assert values(A.raw_vector(half, "obs", "b")) == [2, 5]
-    assert values(A.raw_vector(half, "obs", "a")) == [0, 0]
+    for j, good in enumerate(goods[:3]):
+        assert values(half.obs_vector(good)) == [r[j] / 2 for r in sold]
+        assert values(A.raw_vector(half, "obs", good)) == [r[j] for r in sold]
+    assert values(half.obs_vector("staff")) == [3, 5, 2]
+    assert values(half.var_vector("tue")) == [v / 2 for v in sold[1]]
+    assert values(A.raw_vector(half, "obs", "oil")) == [10, 2, 0]
     with pytest.raises(ValueError, match="both"):
-        lm.obs_vector("a")
+        lm.obs_vector("oil")
     with pytest.raises(KeyError):
-        lm.obs_vector("nothing")
+        lm.obs_vector("flour")
     with pytest.raises(ValueError):
         A.pick_matrix(half, layer="x", use_raw=True)
     with pytest.raises(ValueError):
         A.pick_matrix(lm, use_raw=True)
-    wide = {r["name"]: (r["a"], r["b"], r["c"]) for r in lm.to_wide().collect()}
-    assert wide == {"s1": (0, 2, 3), "s2": (0, 5, 6)}
+    wide = {r["name"]: [r[g] for g in goods] for r in lm.to_wide().collect()}
+    assert wide == dict(zip(days, sold))
 
 
 def test_more_columns_than_two_thousand(spark):

@@ -22,15 +22,18 @@ from helpers import column, grid, names
 
 
 def test_dictionaries(spark, make):
-    lm = make(None, list("abcde"), ["v"], obs_cols={"k": ["a", "a", None, "b", "b"], "id": list("vwxyz"), "n": [1, 2, 3, 4, 5]})
+    shade = ["red", None, "teal", "red", "teal", "red", "grey"]
+    lm = make(None, [f"car{i}" for i in range(7)], ["v"], obs_cols={"shade": shade, "plate": [f"K-{i}" for i in range(7)], "doors": [2, 4] * 3 + [4]})
     out = C.strings_to_categories(lm)
-    assert list(out.obs_categories) == ["k"]
-    assert [r.category for r in out.obs_categories["k"].table.orderBy("code").collect()] == ["a", "b"]
-    coded = C.encode_categories(lm.obs, "k", out.obs_categories["k"])
-    assert [r.k for r in coded.orderBy("ord").collect()] == [0, 0, -1, 1, 1]
-    assert [r.k for r in C.decode_categories(coded, "k", out.obs_categories["k"]).orderBy("ord").collect()] == ["a", "a", None, "b", "b"]
-    short = Categories(small_table(spark, [(0, "a")], "code int, category string"))
-    assert C.decode_categories(coded, "k", short).schema["k"].dataType.simpleString() == "int"
+    assert list(out.obs_categories) == ["shade"]  # plates never repeat, doors are no text
+    known = out.obs_categories["shade"]
+    order = [r.category for r in known.table.orderBy("code").collect()]
+    assert order == sorted(set(shade) - {None})
+    coded = C.encode_categories(lm.obs, "shade", known)
+    assert [r.shade for r in coded.orderBy("ord").collect()] == [order.index(x) if x else -1 for x in shade]
+    assert [r.shade for r in C.decode_categories(coded, "shade", known).orderBy("ord").collect()] == shade
+    short = Categories(small_table(spark, [(0, "grey"), (1, "red")], "code int, category string"))
+    assert C.decode_categories(coded, "shade", short).schema["shade"].dataType.simpleString() == "int"
 
 
 def test_natural_order(spark):
@@ -40,20 +43,19 @@ def test_natural_order(spark):
 
 
 def test_rename(spark, make):
-    lm = make(None, list("uvwxyz"), ["g"], obs_cols={"cat": list("aabbab")})
-    lm = C.strings_to_categories(lm).replace(uns=nested.from_dict(spark, {
-        "tool": {"params": {"groupby": "cat"}, "rec": {"a": [1, 2], "b": [3, 4]}, "other": {"a": 1}}, "x": {"rec": {"a": 1, "b": 2}},
-    }))
-    out = C.rename_categories(lm, "obs", "cat", ["c", "d"])
-    assert column(out, "obs", "cat") == list("ccddcd")
-    assert nested.to_dict(out.uns) == {
-        "tool": {"params": {"groupby": "cat"}, "rec": {"c": [1, 2], "d": [3, 4]}, "other": {"a": 1}}, "x": {"rec": {"a": 1, "b": 2}},
-    }
-    for bad in ({"a": "c"}, ["only one"]):
+    lm = make(None, [f"w{i}" for i in range(5)], ["g"], obs_cols={"wine": ["dry", "sweet", "dry", "dry", "sweet"]})
+    notes = {"score": {"params": {"groupby": "wine"}, "mean": {"dry": [6.5, 7], "sweet": [4]}, "half": {"dry": 1}}, "free": {"mean": {"dry": 0, "sweet": 0}}}
+    lm = C.strings_to_categories(lm).replace(uns=nested.from_dict(spark, notes))
+    out = C.rename_categories(lm, "obs", "wine", ["brut", "doux"])
+    assert column(out, "obs", "wine") == ["brut", "doux", "brut", "brut", "doux"]
+    # fields named by all categories follow, beside parameters that name the column; others stay
+    notes["score"]["mean"] = {"brut": [6.5, 7], "doux": [4]}
+    assert nested.to_dict(out.uns) == notes
+    for bad in ({"dry": "brut"}, ["one of two"]):
         with pytest.raises(ValueError):
-            C.rename_categories(lm, "obs", "cat", bad)
+            C.rename_categories(lm, "obs", "wine", bad)
     with pytest.raises(ValueError):
-        C.rename_categories(lm, "obs", "nothing", ["c", "d"])
+        C.rename_categories(lm, "obs", "beer", ["brut", "doux"])
 
 
 def put(tmp_path, name, content):
@@ -61,13 +63,22 @@ def put(tmp_path, name, content):
     return str(tmp_path / name)
 
 
+GAUGES = [[2.5, -1.0], [0.0, 7.0], [4.0, 1e3]]
+
+
+def gauge_text(sep, first=None, quote=""):
+    """Lines of ``GAUGES``, with a name in front of each if given."""
+    lead = first or [None] * len(GAUGES)
+    return "".join(sep.join([*([f"{quote}{n}{quote}"] if n else []), *map(str, r)]) + "\n" for n, r in zip(lead, GAUGES))
+
+
 TEXTS = [  # content, delimiter, names asked for, obs names, var names
-    (",c1,c2\nr1,1.0,0.0\nr2,3.0,0.0\nr3,5.0,6.0", ",", None, ["r1", "r2", "r3"], ["c1", "c2"]),
-    ("# A comment\n# more\n# c1 c2\nr1\t1.0\t0.0\nr2\t3.0\t0.0\n\nr3\t5.0\t6.0\n", "\t", None, ["r1", "r2", "r3"], ["c1", "c2"]),
-    ("1.0 0.0\n3.0   0.0\n 5.0 6.0\n", None, None, ["0", "1", "2"], ["0", "1"]),
-    ("10 20\n7 1.0 0.0\n8 3.0 0.0\n9 5.0 6.0\n", None, None, ["7", "8", "9"], ["10", "20"]),
-    ('"c1","c2"\n1.0,0.0\n3.0,0.0\n5.0,6.0\n', ",", None, ["0", "1", "2"], ["c1", "c2"]),
-    ('n,c1,c2\n"1",1.0,0.0\n"2",3.0,0.0\n"3",5.0,6.0\n', ",", True, ["1", "2", "3"], ["c1", "c2"]),
+    ("well;level;flow\n" + gauge_text(";", ["w1", "w2", "w3"]), ";", None, ["w1", "w2", "w3"], ["level", "flow"]),
+    ("# gauges of May\n# level flow\n" + gauge_text("\t", ["w1", "w2", "w3"]).replace("w3", "\nw3"), "\t", None, ["w1", "w2", "w3"], ["level", "flow"]),
+    (gauge_text("    ").replace("\n", "  \n"), None, None, ["0", "1", "2"], ["0", "1"]),
+    ("1995 1996\n" + gauge_text(" ", ["31", "32", "33"]), None, None, ["31", "32", "33"], ["1995", "1996"]),
+    ('"level","flow"\n' + gauge_text(","), ",", None, ["0", "1", "2"], ["level", "flow"]),
+    ("well,level,flow\n" + gauge_text(",", ["5", "6", "7"], '"'), ",", True, ["5", "6", "7"], ["level", "flow"]),
 ]
 
 
@@ -76,7 +87,7 @@ def test_text(spark, tmp_path, case):
     content, delimiter, asked, obs, var = TEXTS[case]
     lm = text.read_text(spark, put(tmp_path, "m.txt", content), delimiter, asked)
     assert (names(lm, "obs"), names(lm, "var")) == (obs, var)
-    assert grid(lm) == [[1, 0], [3, 0], [5, 6]]
+    assert grid(lm) == GAUGES
 
 
 def test_text_in_many_splits(spark, tmp_path):
