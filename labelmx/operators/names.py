@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,16 @@ from ..model import LabeledMatrix
 from ..plans.ranks import ranked, running_total, whole_div
 
 
+def taken_suffixes(table: DataFrame, join: str) -> DataFrame:
+    """``(name, _t)``: numbers that names in use already put behind a repeated name and ``join``."""
+    pattern = f"(?s)^(.*){re.escape(join)}([1-9][0-9]{{0,17}})$"
+    repeated = table.groupBy("name").agg(F.count(F.lit(1)).alias("n")).select("name", "n")
+    hits = repeated.where(F.col("name").rlike(pattern)).select(
+        F.regexp_extract("name", pattern, 1).alias("base"), F.regexp_extract("name", pattern, 2).cast("bigint").alias("_t")
+    )
+    return hits.withColumnRenamed("base", "name").join(repeated.where("n > 1").select("name"), "name", "left_semi")
+
+
 def unique_names(table: DataFrame, join: str = "-", *, rows_per_bucket: int | None = None) -> DataFrame:
     """Axis table with repeated names made unique.
 
@@ -25,15 +36,7 @@ def unique_names(table: DataFrame, join: str = "-", *, rows_per_bucket: int | No
     rpb = {"rows_per_bucket": rows_per_bucket}
     numbered = ranked(table, "ord", "_i", ["name"], **rpb)
 
-    pattern = f"(?s)^(.*){re.escape(join)}([1-9][0-9]{{0,17}})$"
-    repeated = table.groupBy("name").agg(F.count(F.lit(1)).alias("n")).select("name", "n")
-    taken = repeated.select(
-        F.regexp_extract("name", pattern, 1).alias("base"),
-        F.regexp_extract("name", pattern, 2).alias("_t"),
-        (F.col("name").rlike(pattern)).alias("_hit"),
-    ).where("_hit")
-    taken = taken.select(F.col("base").alias("name"), F.col("_t").cast("bigint").alias("_t"))
-    taken = taken.join(repeated.where("n > 1").select("name"), "name", "left_semi")
+    taken = taken_suffixes(table, join)
     # free numbers below the j-th taken one: t - j; equal ones are summed first
     skips = (
         ranked(taken, "_t", "_j", ["name"], **rpb)
@@ -54,6 +57,11 @@ def unique_names(table: DataFrame, join: str = "-", *, rows_per_bucket: int | No
 
 
 def make_names_unique(lm: LabeledMatrix, axis: str, join: str = "-") -> LabeledMatrix:
+    """Repeated names get a number; a warning tells if names in use look like numbered ones."""
+    like = taken_suffixes(lm.axis(axis), join).limit(5).collect()
+    if like:
+        shown = ", ".join(sorted(f"{r.name}{join}{r._t}" for r in like))
+        warnings.warn(f"{axis} already holds names that look numbered, such as {shown}; the new ones may be mistaken for them", UserWarning, stacklevel=2)
     return lm.replace(**{axis: unique_names(lm.axis(axis), join)})
 
 

@@ -193,13 +193,15 @@ def drop_column(lm: LabeledMatrix, axis: str, column: str) -> LabeledMatrix:
 
 
 def replace_annotation(lm: LabeledMatrix, axis: str, rows: DataFrame) -> LabeledMatrix:
-    """Replace the whole annotation by ``(pos, name, columns…)`` rows, matched by position."""
+    """Replace the whole annotation by ``(pos, name, columns…)`` rows, one for every position."""
     n, given = lm.axis(axis).count(), rows.count()
     table = lm.positions(axis, n).select("key", "ord", "pos")
     if n != given:
         raise ValueError(f"{given} rows given for {axis} axis of length {n}")
     cols = [c for c in rows.columns if c not in ("pos", "name")]
     new = rows.withColumn("pos", F.col("pos").cast("bigint")).withColumn("name", F.col("name").cast("string"))
+    if table.join(new, "pos", "left_semi").count() != n:  # as many rows as positions: one that is met by none is replaced by a repeat
+        raise ValueError(f"the rows do not give every position of the {axis} axis once")
     out = table.join(new, "pos", "left").select("key", "ord", "name", *cols)
     return lm.replace(**{axis: out, f"{axis}_categories": {}})
 
