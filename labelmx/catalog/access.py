@@ -74,3 +74,10 @@ PIVOT (SELECT obs_name AS name, var_name, value FROM wide) ON var_name IN ('Bran
 def to_wide(spark, sf):
     """Customers by brands as a wide table."""
     return customers_by_brand(spark, sf).to_wide()
+
+
+@query("to_wide_columns", """-- uses: wide
+PIVOT (SELECT obs_name AS name, var_name, value FROM wide) ON var_name IN ('Brand#7', 'Brand#21', 'Brand#3') USING max(value) GROUP BY name""")
+def to_wide_columns(spark, sf):
+    """Three brands in the caller's order; no name is collected."""
+    return customers_by_brand(spark, sf).to_wide(columns=["Brand#7", "Brand#21", "Brand#3"], width=2)

@@ -7,13 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import LabeledMatrix, Table, Vectors
+from ..model import LabeledMatrix, SparseVectors, Table, Vectors
 from ..operators.concat import align, concat, concatenate
 from ..operators.merge import key_order
 from ..operators.reshape import densify
 from ..operators.update import snapshot_raw
 from .registry import query
-from .tables import embedded, named_cells, orders_by_part, shops
+from .tables import embedded, named_cells, orders_by_part, purchases, shops
 
 _SHARED = "(SELECT name FROM shop_var GROUP BY 1 HAVING count(*) = 3)"
 
@@ -166,6 +166,38 @@ def concat_vector_tables(spark, sf):
     return out.obs.select("key", "name").join(out.obsm["t"].rows, "key").select("name", "balance", "nation")
 
 
+def _with_baskets(spark, sf):
+    """Shops whose customers have what they bought by part number: a million wide, 500 wide, and without."""
+    a, b, c = shops(spark, sf)
+    bought = purchases(spark, sf).groupBy(F.col("o_custkey").alias("key"), F.col("l_partkey").cast("bigint").alias("index"))
+    bought = bought.agg(F.sum("l_quantity").cast("double").alias("value"))
+    basket = lambda lm, n: {"basket": SparseVectors(bought.where(F.col("index") < n).join(lm.obs.select("key"), "key", "left_semi"), n)}
+    return a.replace(obsm=basket(a, 1_000_000)), b.replace(obsm=basket(b, 500)), c
+
+
+_BASKET = """SELECT o.ds, c_name AS name, CAST(l_partkey AS BIGINT) AS index, CAST(sum(l_quantity) AS DOUBLE) AS value
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN shop_obs o ON o_custkey = c_custkey GROUP BY 1, 2, 3"""
+
+
+@query("concat_sparse_vectors", f"""-- uses: shop_obs
+SELECT name, index, value, CAST(1000000 AS INTEGER) AS width FROM ({_BASKET}) WHERE ds = 0 OR ds = 1 AND index < 500""")
+def concat_sparse_vectors(spark, sf):
+    """Vectors of a million entries stacked without arrays; an input without the element adds no entry."""
+    return _named_entries(concat(list(_with_baskets(spark, sf)), join="outer"), "basket")
+
+
+@query("concat_sparse_vectors_inner", f"""-- uses: shop_obs
+SELECT name, index, value, CAST(500 AS INTEGER) AS width FROM ({_BASKET}) WHERE ds < 2 AND index < 500""")
+def concat_sparse_vectors_inner(spark, sf):
+    """Cut to the narrowest input."""
+    return _named_entries(concat(list(_with_baskets(spark, sf))[:2]), "basket")
+
+
+def _named_entries(lm, k):
+    el = lm.obsm[k]
+    return lm.obs.select("key", "name").join(el.rows, "key").select("name", "index", "value", F.lit(el.width).alias("width"))
+
+
 @query("block_diagonal", """-- uses: shop_obs, trade
 SELECT a.c_name AS i_name, b.c_name AS j_name, value FROM trade JOIN shop_obs a ON i = a.c_custkey JOIN shop_obs b ON j = b.c_custkey WHERE a.ds = b.ds""")
 def block_diagonal(spark, sf):

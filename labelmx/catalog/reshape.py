@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..model import SparseVectors
 from ..operators import reshape as R
 from ..operators.build import assemble_vectors, flatten_vectors
 from .registry import query
@@ -148,3 +149,16 @@ _FLAT = ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS X_emb{i}" for i in range(1
 def flatten(spark, sf):
     """A 64-wide vector element as 64 columns."""
     return flatten_vectors(embedded(spark, sf), "obs")
+
+
+_SIZES = ", ".join(f"coalesce(sum(l_quantity) FILTER (p_size = {i}), 0)::DOUBLE AS size{i}" for i in range(1, 51))
+
+
+@query("flatten_sparse_vectors", f"""SELECT c_name AS name, {_SIZES} FROM customer LEFT JOIN orders ON o_custkey = c_custkey
+LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY c_custkey, c_name""")
+def flatten_sparse(spark, sf):
+    """Entries by part size as 50 columns, 0 where there is none."""
+    lm = customers_by_brand(spark, sf)
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    sizes = lines.groupBy(F.col("o_custkey").alias("key"), (F.col("p_size") - 1).cast("bigint").alias("index")).agg(F.sum("l_quantity").cast("double").alias("value"))
+    return flatten_vectors(lm.replace(obsm={"size": SparseVectors(sizes, 50)}), "obs")

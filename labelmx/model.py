@@ -52,6 +52,18 @@ class Vectors:
     absent: float = NAN
 
 
+@dataclass(frozen=True)
+class SparseVectors:
+    """One numeric vector per key of an axis, entries only: rows ``(key, index, value)``.
+
+    ``index`` is 0 … ``width``-1; an entry without a row is 0. No array is ever
+    built, so ``width`` may be in the millions.
+    """
+
+    rows: DataFrame
+    width: int
+
+
 @dataclass(frozen=True)
 class Table:
     """One typed row per key of an axis: ``(key, columns…)``."""
@@ -98,8 +110,8 @@ class LabeledMatrix:
     var: DataFrame
     X: Matrix | None = None
     layers: Mapping[str, Matrix] = field(default_factory=dict)
-    obsm: Mapping[str, Vectors | Table] = field(default_factory=dict)
-    varm: Mapping[str, Vectors | Table] = field(default_factory=dict)
+    obsm: Mapping[str, Vectors | SparseVectors | Table] = field(default_factory=dict)
+    varm: Mapping[str, Vectors | SparseVectors | Table] = field(default_factory=dict)
     obsp: Mapping[str, Graph] = field(default_factory=dict)
     varp: Mapping[str, Graph] = field(default_factory=dict)
     uns: DataFrame | None = None  # (path ARRAY<STRING>, value STRING), see operators.nested

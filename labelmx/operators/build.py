@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import LabeledMatrix, Matrix, Raw, Table, Vectors, axis_table
+from ..functions.arrays import inflate
+from ..model import LabeledMatrix, Matrix, Raw, SparseVectors, Table, Vectors, axis_table
 from ..plans.local import small_table
 from ..plans.ranks import ranked
 
@@ -181,12 +182,29 @@ def assemble_vectors(lm: LabeledMatrix, axis: str, key: str, cols: Sequence[str]
     )
 
 
+def to_sparse_vectors(el: Vectors) -> SparseVectors:
+    """Entries of dense vectors; zeros are left out, NaN stays."""
+    entries = el.rows.select("key", F.posexplode("vec").alias("index", "value"))
+    return SparseVectors(entries.where("value <> 0").select("key", F.col("index").cast("bigint"), "value"), el.width)
+
+
+def to_vectors(el: SparseVectors, keys: DataFrame) -> Vectors:
+    """Dense vectors of ``keys(key)``; an array per row, so for widths that a row can hold."""
+    item = F.struct(F.col("index").cast("int").alias("off"), F.col("value").cast("double").alias("value"))
+    packed = el.rows.groupBy("key").agg(F.sort_array(F.collect_list(item)).alias("packed"))
+    rows = keys.select("key").join(packed, "key", "left")
+    held = F.coalesce("packed", F.array().cast("array<struct<off:int,value:double>>"))
+    return Vectors(rows.select("key", inflate(held, F.lit(el.width), 0.0).alias("vec")), el.width, 0.0)
+
+
 def flatten_vectors(lm: LabeledMatrix, axis: str) -> DataFrame:
     """Axis names with every vector element as columns ``key1 … keyN``."""
     from ..functions.arrays import flatten_columns
 
     out = lm.axis(axis).select("key", "name")
     for k, el in getattr(lm, f"{axis}m").items():
+        if isinstance(el, SparseVectors):
+            el = to_vectors(el, out)
         if isinstance(el, Vectors):
             part = el.rows.select("key", *flatten_columns(k, F.col("vec"), el.width))
         else:

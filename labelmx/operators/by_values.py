@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import Graph, Table, Vectors
+from ..model import Graph, SparseVectors, Table, Vectors
 from ..plans.durable import stored
 from .compare import joined_columns
 
@@ -103,8 +103,12 @@ def merged_element(rule: ByValues, name: str, els: Sequence[Vectors | Table | Gr
     first = els[0]
     if len({type(e) for e in els}) > 1:
         return None
-    if isinstance(first, Graph):
-        on, parts = ["i_key", "j_key"], [e.edges.select("i_key", "j_key", F.col("value").alias(f"_{i}")) for i, e in enumerate(els)]
+    if isinstance(first, SparseVectors) and len({e.width for e in els}) > 1:
+        return None
+    if isinstance(first, (Graph, SparseVectors)):
+        on = ["i_key", "j_key"] if isinstance(first, Graph) else ["key", "index"]
+        entries = lambda e: e.edges if isinstance(e, Graph) else e.rows
+        parts = [entries(e).select(*on, F.col("value").alias(f"_{i}")) for i, e in enumerate(els)]
         rows = reduce(DataFrame.union, [p.select(*on) for p in parts]).distinct()
     else:
         on = ["key"]
@@ -120,6 +124,8 @@ def merged_element(rule: ByValues, name: str, els: Sequence[Vectors | Table | Gr
     out = _valued(rule, rows, on, places, {name: "_out"})
     if isinstance(first, Graph):
         return Graph(out.where("_out IS NOT NULL").withColumnRenamed("_out", "value"))
+    if isinstance(first, SparseVectors):
+        return SparseVectors(out.where("_out IS NOT NULL").withColumnRenamed("_out", "value"), first.width)
     if isinstance(first, Vectors):
         return Vectors(out.withColumnRenamed("_out", "vec"), first.width, first.absent)
     return Table(out.select("key", "_out.*"))

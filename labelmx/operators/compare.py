@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import Graph, Table, Vectors
+from ..model import Graph, SparseVectors, Table, Vectors
 
 _WHOLE = (T.IntegralType, T.BooleanType)
 _REAL = (T.FloatType, T.DoubleType)
@@ -101,6 +101,8 @@ def _with_value(el) -> tuple[DataFrame, list[str], list[str]]:
     """Rows of an element, its key columns and its value columns."""
     if isinstance(el, Graph):
         return el.edges.where("value <> 0 OR value IS NULL"), ["i_key", "j_key"], ["value"]  # a zero equals an absent edge
+    if isinstance(el, SparseVectors):
+        return el.rows.where("value <> 0 OR value IS NULL"), ["key", "index"], ["value"]
     return el.rows, ["key"], ["vec"] if isinstance(el, Vectors) else el.columns
 
 
@@ -108,6 +110,8 @@ def _comparable(els: Sequence[Vectors | Table | Graph]) -> bool:
     """Copies of one kind and shape; others differ without a look at their rows."""
     if len({type(e) for e in els}) > 1:
         return False
+    if isinstance(els[0], SparseVectors):
+        return len({e.width for e in els}) == 1
     if isinstance(els[0], Vectors):
         return len({e.width for e in els}) == 1 and len({e.absent == 0 for e in els}) == 1
     if isinstance(els[0], Table):

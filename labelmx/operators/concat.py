@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import fit
 from ..functions.text import suffixed
-from ..model import Categories, Graph, LabeledMatrix, Matrix, Raw, Table, Vectors, annotation
+from ..model import Categories, Graph, LabeledMatrix, Matrix, Raw, SparseVectors, Table, Vectors, annotation
 from ..plans.blocks import key_blocks, spread
 from ..plans.durable import stored
 from ..plans.local import small_table
 from ..plans.ranks import ranked
 from . import nested
+from .build import to_sparse_vectors
 from .by_values import ByValues, merged_element
 from .compare import differing_vectors
 from .merge import all_keys, attach_columns, decide, merge_columns, merge_outer_suffix, shared_keys
@@ -246,11 +247,29 @@ def stack_annotation(tables: Sequence[DataFrame], shifts: Sequence[Shift], keys:
     return out.select("key", "ord", "name", *[c for c in keep if c != label], *([label] if label else []))
 
 
+def _stack_sparse(inputs: Sequence[LabeledMatrix], els: Sequence, shifts: Sequence[Shift], width: int, fill_value: float | None) -> SparseVectors:
+    """Entries of sparse and dense vectors side by side, cut to ``width``.
+
+    Without a fill value other than 0 nothing is added for what an input lacks; with
+    one, its rows get an entry at each place beyond the input's own width.
+    """
+    parts = []
+    for lm, e, s in zip(inputs, els, shifts):
+        own = 0 if e is None else min(e.width, width)
+        if e is not None:
+            rows = (e if isinstance(e, SparseVectors) else to_sparse_vectors(e)).rows
+            parts.append(rows.where(F.col("index") < own).select((F.col("key") + s.key).alias("key"), F.col("index").cast("bigint"), F.col("value").cast("double").alias("value")))
+        if fill_value and own < width:
+            lacking = F.explode(F.sequence(F.lit(own).cast("bigint"), F.lit(width - 1).cast("bigint")))
+            parts.append(lm.obs.select((F.col("key") + s.key).alias("key"), lacking.alias("index"), F.lit(float(fill_value)).alias("value")))
+    return SparseVectors(_union(parts), width)
+
+
 def stack_vectors(inputs: Sequence[LabeledMatrix], shifts: Sequence[Shift], join: str, fill_value: float | None) -> dict:
     """Vectors and tables of the stacked axis.
 
     Inner keeps shared elements at the smallest width, outer all elements padded
-    to the largest. An input without a table contributes rows of nulls.
+    to the largest. Sparse vectors anywhere make the element sparse. An input without a table contributes rows of nulls.
     """
     maps = [lm.obsm for lm in inputs]
     out = {}
@@ -269,6 +288,9 @@ def stack_vectors(inputs: Sequence[LabeledMatrix], shifts: Sequence[Shift], join
             rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
             out[k] = Table(rows.select("key", *cols))
             continue
+        if any(isinstance(e, SparseVectors) for e in held):
+            out[k] = _stack_sparse(inputs, els, shifts, (min if join == "inner" else max)(e.width for e in held), fill_value)
+            continue
         width = (min if join == "inner" else max)(e.width for e in held)
         absent = 0.0 if any(e.absent == 0 for e in held) else math.nan
         fill = absent if fill_value is None else float(fill_value)
@@ -301,6 +323,8 @@ def _aligned(el, ds: int, to: Alignment):
     tag = lambda df: df.withColumn("ds", F.lit(ds))
     if isinstance(el, Graph):
         return Graph(to.apply(to.apply(tag(el.edges), "i_key"), "j_key").drop("ds"))
+    if isinstance(el, SparseVectors):
+        return SparseVectors(to.apply(tag(el.rows), "key").drop("ds"), el.width)
     rows = to.target.select("key").join(to.apply(tag(el.rows), "key").drop("ds"), "key", "left")
     if isinstance(el, Table):
         return Table(rows.select("key", *el.columns))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import Categories, Graph, LabeledMatrix, Matrix, Raw, Table, Vectors, is_text
+from ..model import Categories, Graph, LabeledMatrix, Matrix, Raw, SparseVectors, Table, Vectors, is_text
 from ..plans.durable import new_path, stored
 from ..plans.local import small_table
 from ..plans.ranks import numbered, ranked
@@ -187,6 +187,8 @@ def follow(df: DataFrame, col: str, sel: Selection) -> DataFrame:
 def _element(el, sel: Selection):
     if isinstance(el, Vectors):
         return Vectors(follow(el.rows, "key", sel), el.width, el.absent)
+    if isinstance(el, SparseVectors):
+        return SparseVectors(follow(el.rows, "key", sel), el.width)
     if isinstance(el, Table):
         return Table(follow(el.rows, "key", sel))
     return Graph(follow(follow(el.edges, "i_key", sel), "j_key", sel))
@@ -269,6 +271,8 @@ class _Pieces:
             read = self.lay(el.edges, "i_key", "j_key")
             return lambda code: Graph(read(code))
         read = self.lay(el.rows, "key")
+        if isinstance(el, SparseVectors):
+            return lambda code: SparseVectors(read(code), el.width)
         return lambda code: Vectors(read(code), el.width, el.absent) if isinstance(el, Vectors) else Table(read(code))
 
     def matrix(self, m: Matrix | None, axis: str):

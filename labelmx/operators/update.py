@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Graph, LabeledMatrix, Matrix, Raw, Table, Vectors
+from ..model import Graph, LabeledMatrix, Matrix, Raw, SparseVectors, Table, Vectors
 from ..plans.blocks import key_blocks, spread
 from ..plans.durable import cut, new_path
 from .build import as_matrix
@@ -139,7 +139,7 @@ def update_existing_only(lm: LabeledMatrix, cells: DataFrame, *, layer: str | No
     return lm.replace(X=changed) if layer is None else lm.replace(layers={**lm.layers, layer: changed})
 
 
-_SLOTS = {"layers": Matrix, "obsm": (Vectors, Table), "varm": (Vectors, Table), "obsp": Graph, "varp": Graph}
+_SLOTS = {"layers": Matrix, "obsm": (Vectors, SparseVectors, Table), "varm": (Vectors, SparseVectors, Table), "obsp": Graph, "varp": Graph}
 
 
 def set_element(lm: LabeledMatrix, slot: str, key: str, el) -> LabeledMatrix:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Graph, LabeledMatrix, Matrix, Table, Vectors
+from ..model import Graph, LabeledMatrix, Matrix, SparseVectors, Table, Vectors
 from ..plans.local import small_table
 
 _REPORT = "slot string, element string, problem string, n bigint"
@@ -47,6 +47,11 @@ def _problems(lm: LabeledMatrix, slot: str, key: str, el) -> DataFrame:
     if isinstance(el, Matrix):
         twice = el.cells.groupBy("obs_key", "var_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         found.append(twice.select(F.lit("repeated cell").alias("problem"), "n"))
+    if isinstance(el, SparseVectors):
+        twice = el.rows.groupBy("key", "index").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        found.append(twice.select(F.lit("repeated entry").alias("problem"), "n"))
+        odd = el.rows.where((F.col("index") < 0) | (F.col("index") >= el.width) | F.col("index").isNull())
+        found.append(odd.select(F.lit("index out of range").alias("problem"), F.lit(1).cast("bigint").alias("n")))
     if isinstance(el, Vectors):
         odd = el.rows.where(F.size("vec") != el.width)
         found.append(odd.select(F.lit("wrong width").alias("problem"), F.lit(1).cast("bigint").alias("n")))
@@ -94,6 +99,8 @@ def element_stats(lm: LabeledMatrix) -> DataFrame:
         elif isinstance(el, Vectors):
             nz = F.size(F.filter("vec", lambda v: v != 0)).cast("bigint")
             agg = el.rows.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(nz), F.lit(0)).alias("n_nonzero"))
+        elif isinstance(el, SparseVectors):
+            agg = el.rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("value") != 0).alias("n_nonzero"))
         else:
             agg = el.rows.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(None).cast("bigint").alias("n_nonzero"))
         parts.append(agg.select(F.lit(slot).alias("slot"), F.lit(key).alias("element"), "n_rows", "n_nonzero"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import natural_key
-from ..model import Categories, Graph, LabeledMatrix, Matrix, Raw, Table, Vectors, annotation
+from ..model import Categories, Graph, LabeledMatrix, Matrix, Raw, SparseVectors, Table, Vectors, annotation
 from ..operators.categories import strings_to_categories as make_categories
 from ..operators.reshape import densify
 from ..plans.local import small_table
@@ -58,6 +58,9 @@ def _next_commit(spark: SparkSession, path: str) -> int:
 
 
 def _commit(spark: SparkSession, path: str, manifest: dict) -> None:
+    """Make a manifest current; refused if its number was taken since it was read."""
+    if _next_commit(spark, path) != manifest["commit"]:
+        raise RuntimeError(f"another writer has changed {path} meanwhile: nothing was added")
     body = json.dumps(manifest)
     small_table(spark, [(manifest["commit"], body)], "commit bigint, body string").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
@@ -140,6 +143,9 @@ def _matrix_entry(w: _Writer, m: Matrix, slot: str, layout: str, block, places)
 def _element_entry(w: _Writer, el, slot: str) -> dict:
     if isinstance(el, Vectors):
         return {**w.table(el.rows, slot), "kind": "vectors", "width": el.width, "absent": _encode_nan(el.absent)}
+    if isinstance(el, SparseVectors):
+        entries = el.rows.repartitionByRange("key", "index").sortWithinPartitions("key", "index")
+        return {**w.table(entries, slot), "kind": "sparse_vectors", "width": el.width}
     if isinstance(el, Table):
         return {**w.table(el.rows, slot), "kind": "table"}
     if isinstance(el, Graph):
@@ -154,6 +160,8 @@ def _element(spark, path, entry):
         return Matrix(df.select("obs_key", "var_key", "value"), float(entry["absent"]))
     if kind == "vectors":
         return Vectors(df, entry["width"], float(entry["absent"]))
+    if kind == "sparse_vectors":
+        return SparseVectors(df, entry["width"])
     return Table(df) if kind == "table" else Graph(df)
 
 
@@ -184,13 +192,16 @@ def write_bundle(
             raise NotImplementedError(f"only X and raw/X can be stored densely, not {name!r}")
         if name == "raw/X" and lm.raw is None:
             raise ValueError("cannot store raw/X: there is no raw")
-    for axis in ("obs", "var"):
-        _check_columns(lm.axis(axis), axis)
+    tables = {"obs": lm.obs, "var": lm.var, **{f"{s}[{k!r}]": el.rows for s in ("obsm", "varm") for k, el in getattr(lm, s).items() if isinstance(el, Table)}}
+    if lm.raw is not None:
+        tables |= {"raw.var": lm.raw.var, **{f"raw.varm[{k!r}]": el.rows for k, el in lm.raw.varm.items() if isinstance(el, Table)}}
+    for told, table in tables.items():
+        _check_columns(table, told)
     if strings_to_categories:
         lm = make_categories(lm)
     spark, w = lm.spark, _Writer(path, compression, compression_level)
     layout = "blocks" if chunks else layout
-    manifest = {"version": FORMAT_VERSION, "commit": _next_commit(spark, path), "layout": layout, "batches": {}, "axes": {}, "slots": {}, "categories": {}}
+    manifest = {"version": FORMAT_VERSION, "commit": _next_commit(spark, path), "layout": layout, "compression": compression, "level": compression_level, "batches": {}, "axes": {}, "slots": {}, "categories": {}}
 
     places, dictionaries = {}, []
     for axis in ("obs", "var"):
@@ -338,7 +349,7 @@ def append(
         raw_pair, raw_same = _paired(raw_var, new.raw.var, raw_var.count(), "raw/var"), new.raw.var.sameSemantics(raw_var)
     same_keys = new.axis(other).sameSemantics(stored_other)
 
-    w = _Writer(path, "zstd")
+    w = _Writer(path, m.get("compression", "zstd"), m.get("level"))
     shift = m["axes"][axis]["max_key"] + 1
     low = new.axis(axis).agg(F.min("key").alias("k0"), F.count(F.lit(1)).alias("n"), F.max("key").alias("k1")).first()
     if low.n == 0:
@@ -378,6 +389,8 @@ def append(
             el = getattr(new, slot).get(key)
             if el is None:
                 raise ValueError(f"the appended matrix lacks {name}")
+            if getattr(el, "width", None) != entry.get("width"):
+                raise ValueError(f"{name} has other widths: stored {entry.get('width')}, given {getattr(el, 'width', None)}")
             slots[name] = grown(entry, el.rows.withColumn("key", F.col("key") + move), name)
         elif slot == f"{axis}p" and key in getattr(new, slot):
             edges = getattr(new, slot)[key].edges
