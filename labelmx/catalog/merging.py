@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import Graph, Vectors, annotation
+from ..model import Graph, Table, Vectors, annotation
 from ..operators import nested
 from ..operators.concat import concat
 from ..operators.by_values import ByValues
@@ -191,3 +191,41 @@ _nested("first", "TRUE", "TRUE")
 _nested("unique", "u.pure AND u.equal", "f.equal")
 _nested("same", "u.pure AND u.equal AND u.n_ds = all_ds", "f.equal AND u.n_ds = all_ds AND f.n_ds = all_ds")
 _nested("only", "u.n_ds = 1", "f.n_ds = 1")
+
+
+def _noted_shops(spark, sf):
+    """Shops with tables among their metadata: regions everywhere, nations in two, own segment counts, an array with NaN."""
+    plain = lambda name, key, col: Table(table(spark, sf, name).select(F.col(key).cast("bigint").alias("key"), F.col(col).alias("name")))
+    out = []
+    for i, lm in enumerate(shops(spark, sf)):
+        ref = {"regions": plain("region", "r_regionkey", "r_name")}
+        if i:
+            ref["nations"] = plain("nation", "n_nationkey", "n_name")
+        by_segment = lm.obs.groupBy(F.col("c_mktsegment").alias("name")).agg(F.count(F.lit(1)).alias("key"))
+        notes, tables = nested.split_tables(spark, {"ref": ref, "own": {"segments": Table(by_segment)}, "scale": [1, math.nan, 2.0 if i else 2]})
+        out.append(lm.replace(uns=notes, uns_tables=tables))
+    return out
+
+
+def _metadata(lm):
+    """Every leaf of the metadata: ``(path, key, name)``."""
+    parts = [lm.uns.select(F.array_join("path", "/").alias("path"), F.lit(None).cast("bigint").alias("key"), F.col("value").alias("name"))]
+    parts += [el.rows.select(F.lit("/".join(at)).alias("path"), "key", "name") for at, el in lm.uns_tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_REGIONS = """SELECT 'ref/regions' AS path, CAST(r_regionkey AS BIGINT) AS key, r_name AS name FROM region
+UNION ALL SELECT 'scale', NULL, '[1, NaN, 2]'"""
+_NATIONS = " UNION ALL SELECT 'ref/nations', CAST(n_nationkey AS BIGINT), n_name FROM nation"
+
+
+def _with_tables(strategy: str, sql: str):
+    @query(f"merge_uns_tables_{strategy}", f"-- uses: shop_obs\n{sql}")
+    def run(spark, sf):
+        """Tables and arrays among the metadata merged path by path."""
+        return _metadata(concat(_noted_shops(spark, sf), uns_merge=strategy))
+
+
+_with_tables("same", _REGIONS)
+_with_tables("unique", _REGIONS + _NATIONS)
+_with_tables("first", _REGIONS + _NATIONS + " UNION ALL SELECT 'own/segments', count(*), c_mktsegment FROM shop_obs WHERE ds = 0 GROUP BY 3")

@@ -26,7 +26,7 @@ def _events(spark, sf, files: int = 4):
 
 def _matrix(batch, var) -> LabeledMatrix:
     cells = batch.select(F.col("event_id").alias("obs_key"), F.col("event_type").alias("var_name"), "value")
-    return create(cells, axis_table(batch.select("event_id", "user_id"), key="event_id"), var, dtype=None)
+    return create(cells, axis_table(batch.select("event_id", "user_id"), key="event_id"), var, dtype=None, check=False)
 
 
 @query("append_stream", "SELECT CAST(event_id AS VARCHAR) AS obs_name, user_id, event_type AS var_name, value FROM events")

@@ -1,4 +1,7 @@
-"""Labeled matrices built from the given tables."""
+"""Labeled matrices built from the given tables.
+
+Cells come from the tables that the axes are made of, so keys are not checked again here.
+"""
 
 from __future__ import annotations
 
@@ -29,7 +32,7 @@ def orders_by_part(spark: SparkSession, sf: str) -> LabeledMatrix:
     layer = lambda c: cells.select("obs_key", "var_key", F.col(c).alias("value"))
     return create(
         layer("value"), axis_table(table(spark, sf, "orders"), key="o_orderkey"), axis_table(table(spark, sf, "part"), key="p_partkey"),
-        layers={"price": layer("price"), "lines": layer("lines")}, dtype=None,
+        layers={"price": layer("price"), "lines": layer("lines")}, dtype=None, check=False,
     )
 
 
@@ -53,7 +56,7 @@ def customers_by_brand(spark: SparkSession, sf: str, *, graph: bool = False) ->
     lm = create(
         bought.select("obs_key", "var_name", "value"),
         axis_table(table(spark, sf, "customer"), key="c_custkey", name="c_name"), brand_axis(spark, sf),
-        layers={"lines": bought.select("obs_key", "var_name", F.col("lines").alias("value"))}, dtype=None,
+        layers={"lines": bought.select("obs_key", "var_name", F.col("lines").alias("value"))}, dtype=None, check=False,
     ).replace(var_dense=True)
     return lm.replace(obsp={"trade": trade_graph(spark, sf)}) if graph else lm
 
@@ -76,7 +79,7 @@ def users_by_event(spark: SparkSession, sf: str) -> LabeledMatrix:
         cells.select("obs_key", "var_name", "value"),
         axis_table(events.select("user_id").distinct(), key="user_id"),
         axis_table(events.select("event_type").distinct(), name="event_type", order="event_type"),
-        layers={"n": cells.select("obs_key", "var_name", F.col("n").alias("value"))}, dtype=None,
+        layers={"n": cells.select("obs_key", "var_name", F.col("n").alias("value"))}, dtype=None, check=False,
     )
 
 
@@ -95,7 +98,7 @@ def documents_by_lang(spark: SparkSession, sf: str) -> LabeledMatrix:
     obs = axis_table(docs.join(table(spark, sf, "labels"), "doc_id", "left"), key="doc_id")
     var = axis_table(docs.select("lang").distinct(), name="lang", order="lang")
     cells = docs.select(F.col("doc_id").alias("obs_key"), F.col("lang").alias("var_name"), F.lit(1.0).alias("value"))
-    return create(cells, obs, var, dtype=None)
+    return create(cells, obs, var, dtype=None, check=False)
 
 
 SEGMENTS = (("BUILDING", "HOUSEHOLD"), ("MACHINERY",), None)
@@ -127,7 +130,7 @@ def shops(spark: SparkSession, sf: str, *, graph: bool = False) -> list[LabeledM
         # names that this shop leaves out have no variable, so their purchases stay out too
         cells = bought.join(members, "obs_key", "left_semi").join(kinds.select(F.col("p_name").alias("var_name")), "var_name", "left_semi")
         layers = {"lines": cells.select("obs_key", "var_name", F.col("lines").alias("value"))} if i < 2 else {}
-        lm = create(cells.select("obs_key", "var_name", "value"), obs, var, layers=layers, dtype=None).replace(var_dense=True)
+        lm = create(cells.select("obs_key", "var_name", "value"), obs, var, layers=layers, dtype=None, check=False).replace(var_dense=True)
         if graph:
             keys = lambda c: members.withColumnRenamed("obs_key", c)
             mine = trade.join(keys("i_key"), "i_key", "left_semi").join(keys("j_key"), "j_key", "left_semi")

@@ -115,6 +115,7 @@ class LabeledMatrix:
     obsp: Mapping[str, Graph] = field(default_factory=dict)
     varp: Mapping[str, Graph] = field(default_factory=dict)
     uns: DataFrame | None = None  # (path ARRAY<STRING>, value STRING), see operators.nested
+    uns_tables: Mapping[tuple[str, ...], Table | Graph] = field(default_factory=dict)  # metadata that is a table or a sparse matrix, by path
     raw: Raw | None = None
     obs_categories: Mapping[str, Categories] = field(default_factory=dict)
     var_categories: Mapping[str, Categories] = field(default_factory=dict)

@@ -13,6 +13,8 @@ from ..functions.arrays import inflate
 from ..model import LabeledMatrix, Matrix, Raw, SparseVectors, Table, Vectors, axis_table
 from ..plans.local import small_table
 from ..plans.ranks import ranked
+from .nested import split_tables
+from .validate import check_keys
 
 
 def as_matrix(value, obs: DataFrame, var: DataFrame, dtype: str | None, absent: float = 0.0) -> Matrix | None:
@@ -47,17 +49,22 @@ def create(
     varm: Mapping | None = None,
     obsp: Mapping | None = None,
     varp: Mapping | None = None,
-    uns: DataFrame | None = None,
+    uns: DataFrame | Mapping | None = None,
     raw: Raw | None = None,
     shape: tuple[int, int] | None = None,
     dtype: str | None = "float",
     absent: float = 0.0,
+    check: bool = True,
 ) -> LabeledMatrix:
     """Align a matrix with its annotation tables.
 
+    Keys that an axis lacks raise ``ValueError`` with counts. That reads the elements'
+    keys once, in one job; ``check=False`` leaves it out for cells that were made from the axes.
+
     ``obs`` and ``var`` are axis tables (see ``axis_table``). Cells are cast to
     ``dtype`` (``float`` unless given, ``None`` keeps theirs). With no matrix, a
-    ``shape`` gives numbered axes.
+    ``shape`` gives numbered axes. ``uns`` is a path table or a mapping, whose leaves
+    may be a ``Table`` or a ``Graph``.
     """
     rest = (obs, var, layers, obsm, varm, obsp, varp, uns, raw)
     if isinstance(X, LabeledMatrix):
@@ -74,9 +81,13 @@ def create(
         var = var if var is not None else numbered(shape[1])
     if obs is None or var is None:
         raise ValueError("give obs and var axis tables, or a shape")
-    return LabeledMatrix(
+    uns_tables: dict = {}
+    if isinstance(uns, Mapping):
+        uns, uns_tables = split_tables(obs.sparkSession, uns)
+    lm = LabeledMatrix(
         obs=obs,
         var=var,
+        uns_tables=uns_tables,
         X=as_matrix(X, obs, var, dtype, absent),
         layers={k: as_matrix(v, obs, var, None) for k, v in (layers or {}).items()},
         obsm=dict(obsm or {}),
@@ -88,6 +99,10 @@ def create(
         obs_dense=shape is not None,
         var_dense=shape is not None,
     )
+    if check:
+        came = {("X", "X"): X, **{("layers", k): v for k, v in (layers or {}).items()}}
+        check_keys(lm, {at: v.cells if isinstance(v, Matrix) else v for at, v in came.items() if v is not None})
+    return lm
 
 
 def _common_numeric(df: DataFrame, cols: Sequence[str]) -> str:
@@ -160,7 +175,7 @@ def from_compressed(
     cells = joined.select(
         F.col("major").cast("bigint").alias(major), F.col("index").cast("bigint").alias(minor), "value"
     )
-    return create(None, shape=shape, dtype=None).replace(
+    return create(None, shape=shape, dtype=None, check=False).replace(
         X=as_matrix(cells.select("obs_key", "var_key", "value"), None, None, dtype)
     )
 

@@ -346,15 +346,18 @@ def merge_aligned(maps: Sequence[Mapping], to: Alignment, strategy) -> dict:
     return {k: moved(k, i) for k, i in chosen.items()}
 
 
-def merge_uns(inputs: Sequence[LabeledMatrix], strategy) -> DataFrame | None:
-    """Nested metadata of all inputs merged path by path."""
+def merge_uns(inputs: Sequence[LabeledMatrix], strategy) -> tuple[DataFrame | None, dict]:
+    """Nested metadata of all inputs merged path by path, and the tables among it."""
     held = [(i, lm.uns) for i, lm in enumerate(inputs) if lm.uns is not None]
-    if strategy is None or not held:
-        return None
-    tagged = _union([u.select(F.lit(i).alias("ds"), "path", "value") for i, u in held])
-    if callable(strategy):
-        return strategy(tagged, len(inputs))
-    return nested.merge(tagged, len(inputs), strategy)
+    tables = [(i, lm.uns_tables) for i, lm in enumerate(inputs) if lm.uns_tables]
+    if strategy is None or not (held or tables):
+        return None, {}
+    parts = [u.select(F.lit(i).alias("ds"), "path", "value") for i, u in held]
+    if tables:
+        parts.append(nested.placeholders(inputs[0].spark, tables, differing_vectors))
+    tagged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    merged = strategy(tagged, len(inputs)) if callable(strategy) else nested.merge(tagged, len(inputs), strategy)
+    return nested.chosen_tables(merged.select("path", "value"), tables) if tables else (merged, {})
 
 
 def _shared_dictionaries(inputs: Sequence[LabeledMatrix], columns: Sequence[str]) -> dict[str, Categories]:
@@ -373,7 +376,7 @@ def _stacked_raw(lms: Sequence[LabeledMatrix], axis: str, options: Mapping) -> R
     """Raw of all inputs stacked like the matrices above it; None, with a warning, if an input lacks it."""
     without = [i for i, lm in enumerate(lms) if lm.raw is None]
     if not without:
-        plain = lambda lm: raw_matrix(lm).replace(obs=lm.obs.select("key", "ord", "name"), obsm={}, uns=None, obs_categories={})
+        plain = lambda lm: raw_matrix(lm).replace(obs=lm.obs.select("key", "ord", "name"), obsm={}, uns=None, uns_tables={}, obs_categories={})
         below = concat([plain(lm) for lm in lms], axis=axis, **options)
         return Raw(below.X, below.var, below.varm, below.var_dense)
     if len(without) < len(lms):
@@ -434,6 +437,7 @@ def concat(
     if label is not None:
         codes = small_table(lms[0].spark, list(enumerate(keys)), "code int, category string")
         dictionaries[label] = Categories(codes, size=len(keys))
+    uns, uns_tables = merge_uns(lms, uns_merge)
     return LabeledMatrix(
         obs=obs,
         var=merge_columns([lm.var for lm in lms], to.target, merge, [annotation(lm.var) for lm in lms]),
@@ -443,7 +447,7 @@ def concat(
         varm=merge_aligned([lm.varm for lm in lms], to, merge),
         obsp=block_diagonal(lms, shifts, join) if pairwise else {},
         varp=merge_aligned([lm.varp for lm in lms], to, merge),
-        uns=merge_uns(lms, uns_merge),
+        uns=uns, uns_tables=uns_tables,
         raw=raw,
         obs_categories=dictionaries,
         obs_dense=all(lm.obs_dense for lm in lms),

@@ -1,18 +1,21 @@
 """Nested metadata as a path table ``(path ARRAY<STRING>, value STRING)``.
 
 ``value`` is the JSON text of a leaf. ``merge`` combines many such tables path
-by path, without ever holding one mapping in one place.
+by path, without ever holding one mapping in one place. A leaf that is a table or
+a sparse matrix stays a DataFrame: it takes part as a row that names its input
+(``placeholders``), and ``chosen_tables`` gives back those that won.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import Graph, Table
 from ..plans.local import small_table
 
 SCHEMA = "path array<string>, value string"
@@ -23,6 +26,10 @@ def from_dict(spark: SparkSession, tree: Mapping) -> DataFrame:
     """Path table of a nested mapping; ``None`` leaves are skipped."""
     def leaves(node, path):
         for k, v in node.items():
+            if isinstance(v, (Table, Graph, DataFrame)):
+                raise TypeError(f"{'/'.join((*path, str(k)))} is a table: use split_tables")
+            if hasattr(v, "tolist"):  # arrays and their scalars
+                v = v.tolist()
             if isinstance(v, Mapping):
                 yield from leaves(v, (*path, str(k)))
             elif v is not None:
@@ -30,6 +37,50 @@ def from_dict(spark: SparkSession, tree: Mapping) -> DataFrame:
     return small_table(spark, list(leaves(tree, ())), SCHEMA)
 
 
+def split_tables(spark: SparkSession, tree: Mapping) -> tuple[DataFrame, dict[tuple[str, ...], Table | Graph]]:
+    """Path table of the plain leaves, and the leaves that are a ``Table`` or a ``Graph``, by path."""
+    tables: dict[tuple[str, ...], Table | Graph] = {}
+
+    def plain(node, path):
+        out = {}
+        for k, v in node.items():
+            at = (*path, str(k))
+            if isinstance(v, (Table, Graph)):
+                tables[at] = v
+            else:
+                out[str(k)] = plain(v, at) if isinstance(v, Mapping) else v
+        return out
+
+    return from_dict(spark, plain(tree, ())), tables
+
+
+def placeholders(spark: SparkSession, held: Sequence[tuple[int, Mapping]], differing: Callable) -> DataFrame:
+    """``(ds, path, value, cmp)``: a leaf for each input's tables; ``cmp`` is shared where all copies are equal.
+
+    ``differing`` takes the copies by path and tells, in one job, which of them differ.
+    """
+    copies: dict = {}
+    for ds, tables in held:
+        for path, el in tables.items():
+            copies.setdefault(json.dumps(path), []).append((ds, el))
+    odd = differing({p: [el for _, el in at] for p, at in copies.items() if len(at) > 1})
+    rows = [(ds, json.loads(path), _place(ds), f"table {ds if path in odd else ''}") for path, at in copies.items() for ds, _ in at]
+    return small_table(spark, rows, "ds int, path array<string>, value string, cmp string")
+
+
+def _place(ds: int) -> str:
+    """Text of a leaf that stands for a table of input ``ds``; objects are never leaves otherwise."""
+    return json.dumps({"table of input": ds})
+
+
+def chosen_tables(merged: DataFrame, held: Sequence[tuple[int, Mapping]]) -> tuple[DataFrame, dict]:
+    """The plain leaves of a merged path table, and the tables it chose by path."""
+    places = {_place(ds): tables for ds, tables in held}
+    is_place = F.col("value").isin(list(places))
+    won = merged.where(is_place).collect()  # at most one row per table
+    return merged.where(~is_place), {tuple(r.path): places[r.value][tuple(r.path)] for r in won}
+
+
 def to_dict(table: DataFrame | None) -> dict:
     """Nested mapping of a path table (small metadata, read to the driver)."""
     out: dict = {}
@@ -60,14 +111,21 @@ def _number(value: Column) -> Column:
     )
 
 
+def _flat(value: Column) -> Column:
+    return F.when(value == "true", F.lit("1")).when(value == "false", F.lit("0")).otherwise(_number(value))
+
+
 def comparable(value: Column) -> Column:
-    """Text under which equal leaves compare equal: numbers by value, NaN never."""
-    flat = F.when(value == "true", F.lit("1")).when(value == "false", F.lit("0")).otherwise(_number(value))
-    plain_list = value.rlike(r"^\[\s*(-?\d[\d.eE+-]*\s*(,\s*-?\d[\d.eE+-]*\s*)*)?\]$")
+    """Text under which equal leaves compare equal: numbers by value, NaN only inside arrays."""
+    flat = _flat(value)
+    # arrays of numbers, of any depth: each number by its value, brackets and commas as they are
+    numbers = value.rlike(r"^\[[\[\]\s,\d.eE+-]*([\[\s,]-?(NaN|Infinity|null|true|false)[\[\]\s,\d.eE+-]*)*\]$")
+    token = lambda t: F.coalesce(_flat(t), t)
+    pieces = F.split(F.regexp_replace(value, r"\s+", ""), r"(?<=[\[\],])|(?=[\[\],])")
     return (
         F.when(F.isnan(value.try_cast("double")), None)
         .when(flat.isNotNull(), flat)
-        .when(plain_list, F.transform(F.from_json(value, "array<string>"), _number).cast("string"))
+        .when(numbers, F.array_join(F.transform(pieces, token), ""))
         .otherwise(value)
     )
 
@@ -113,7 +171,10 @@ def merge(tagged: DataFrame, n_inputs: int, strategy: str | None, *, copies: int
         return tagged.select("path", "value").where(F.lit(False))
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown merge strategy {strategy!r}")
-    leaves = tagged.select("ds", "path", "value", comparable(F.col("value")).alias("cmp"))
+    cmp = comparable(F.col("value"))
+    if "cmp" in tagged.columns:  # placeholders bring their own
+        cmp = F.coalesce("cmp", cmp)
+    leaves = tagged.select("ds", "path", "value", cmp.alias("cmp"))
     verdicts = _verdicts(leaves, n_inputs, strategy)
     own = leaves.join(verdicts.withColumnRenamed("node", "path"), "path")
     # A mapping that meets a leaf of another input is decided at that path for all

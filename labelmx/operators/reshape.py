@@ -25,7 +25,7 @@ def transpose(lm: LabeledMatrix) -> LabeledMatrix:
 
     return LabeledMatrix(
         obs=lm.var, var=lm.obs, X=swap(lm.X), layers={k: swap(m) for k, m in lm.layers.items()},
-        obsm=lm.varm, varm=lm.obsm, obsp=lm.varp, varp=lm.obsp, uns=lm.uns,
+        obsm=lm.varm, varm=lm.obsm, obsp=lm.varp, varp=lm.obsp, uns=lm.uns, uns_tables=lm.uns_tables,
         obs_categories=lm.var_categories, var_categories=lm.obs_categories,
         obs_dense=lm.var_dense, var_dense=lm.obs_dense,
     )

@@ -317,7 +317,7 @@ def raw_matrix(lm: LabeledMatrix) -> LabeledMatrix:
         raise ValueError("this labeled matrix has no raw")
     r = lm.raw
     return LabeledMatrix(
-        lm.obs, r.var, r.X, obsm=lm.obsm, varm=r.varm, uns=lm.uns,
+        lm.obs, r.var, r.X, obsm=lm.obsm, varm=r.varm, uns=lm.uns, uns_tables=lm.uns_tables,
         obs_categories=lm.obs_categories, obs_dense=lm.obs_dense, var_dense=r.var_dense,
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -61,6 +62,36 @@ def _problems(lm: LabeledMatrix, slot: str, key: str, el) -> DataFrame:
     )
 
 
+def unknown_keys(lm: LabeledMatrix, given: Mapping[tuple[str, str], DataFrame] | None = None) -> DataFrame:
+    """``(slot, element, problem, n)``: how many distinct keys of each element its axes lack.
+
+    ``given`` has cells as they came, by slot and name: only their own key columns are looked at.
+
+    Keys collapse map-side before they meet the axis, so cells are read once and
+    only distinct keys move.
+    """
+    found = [small_table(lm.spark, [], _REPORT)]
+    for slot, name, el in elements(lm):
+        own = (given or {}).get((slot, name))
+        for table, col, axis in _key_columns(slot, el):
+            if own is not None:
+                if col not in own.columns:
+                    continue  # given by name, which is looked up when the cells are computed
+                table = own
+            lost = table.select(F.col(col).alias("key")).distinct().join(lm.axis(axis).select("key"), "key", "left_anti")
+            counted = lost.agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+            found.append(counted.select(F.lit(slot).alias("slot"), F.lit(name).alias("element"), F.lit(f"unknown {col}").alias("problem"), "n"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def check_keys(lm: LabeledMatrix, given: Mapping[tuple[str, str], DataFrame] | None = None) -> None:
+    """Raise ``ValueError`` with counts if an element holds keys that its axis lacks; one job for all elements."""
+    bad = unknown_keys(lm, given).collect()  # at most two rows per element
+    if bad:
+        told = "; ".join(f"{r.slot}[{r.element!r}]: {r.n} {r.problem}" for r in bad)
+        raise ValueError(f"keys that the axes lack: {told}")
+
+
 def validate_alignment(lm: LabeledMatrix) -> DataFrame:
     """Every element's misaligned keys: ``(slot, element, problem, n)``; empty when aligned."""
     reports = [_problems(lm, *e) for e in elements(lm)]

@@ -231,6 +231,8 @@ def write_bundle(
                 manifest["slots"][f"{slot}/{k}"] = _element_entry(w, el, f"{slot}/{k}")
     if lm.uns is not None:
         manifest["uns"] = w.table(lm.uns, "uns")
+    for at, el in lm.uns_tables.items():
+        manifest["slots"][f"uns_tables/{json.dumps(at)}"] = _element_entry(w, el, f"uns_tables/{uuid.uuid5(uuid.NAMESPACE_OID, json.dumps(at)).hex}")
     if lm.raw is not None:
         r = lm.raw
         var = r.var if r.var_dense else ranked(r.var, "ord", "_p").withColumn("ord", F.col("_p")).drop("_p")
@@ -249,7 +251,7 @@ def read_bundle(spark: SparkSession, path: str) -> LabeledMatrix:
     """Open a stored labeled matrix. Only the manifest is read here; every element
     is a lazy scan, so untouched elements, columns and row groups are never read."""
     m = read_manifest(spark, path)
-    groups: dict[str, dict] = {s: {} for s in ("layers", "obsm", "varm", "obsp", "varp", "raw/varm")}
+    groups: dict[str, dict] = {s: {} for s in ("layers", "obsm", "varm", "obsp", "varp", "raw/varm", "uns_tables")}
     single = {}
     for name, entry in m["slots"].items():
         slot, key = _slot_of(name)
@@ -271,6 +273,7 @@ def read_bundle(spark: SparkSession, path: str) -> LabeledMatrix:
         obs=_load(spark, path, m["axes"]["obs"]), var=_load(spark, path, m["axes"]["var"]), X=single.get("X"),
         layers=groups["layers"], obsm=groups["obsm"], varm=groups["varm"], obsp=groups["obsp"], varp=groups["varp"],
         uns=_load(spark, path, m["uns"]) if "uns" in m else None, raw=raw,
+        uns_tables={tuple(json.loads(k)): el for k, el in groups["uns_tables"].items()},
         obs_categories=cats["obs"], var_categories=cats["var"],
         obs_dense=m["axes"]["obs"]["dense"], var_dense=m["axes"]["var"]["dense"],
     )

@@ -38,6 +38,11 @@ def write_csvs(lm: LabeledMatrix, path: str, *, skip_data: bool = True, sep: str
             put(_vectors_in_order(lm, axis), f"{axis}m")
     if not skip_data:
         x_lines(lm, sep).orderBy("ord").select("value").write.mode("overwrite").text(f"{path}/X.csv")
+    for at, el in lm.uns_tables.items():
+        if isinstance(el, Graph):
+            graphs_in_uns = {**(graphs_in_uns or {}), "/".join(at): el}
+        else:
+            put(el.rows.orderBy("key").drop("key"), "/".join(("uns", *at)))
     if graphs_in_uns:
         warnings.warn("sparse metadata entries are not written", UserWarning, stacklevel=2)
     if lm.uns is not None:
