@@ -3,14 +3,14 @@
 A walk reads a text's characters: at step j it writes the current character and,
 by a random bit shared by all documents for (j, character), moves on or stays.
 Texts a small edit distance apart soon walk in step again, so edit distance
-becomes Hamming distance between the written sequences. A walk takes 2n steps
-over n code points, enough to pass all of them on average.
+becomes Hamming distance between the written sequences. A walk takes 3n + 16 steps
+over n code points: it passes all of them but with a chance below 1 in 10,000.
 
 The fingerprint keeps the characters written at ``SAMPLES`` steps: those with the
-smallest shared hashes among the first 2n, so texts of nearly equal length
+smallest shared hashes among the first 3n + 16, so texts of nearly equal length
 sample nearly the same steps. It is n in hex, then a byte per sample. The likeness of two
-fingerprints is the share of all their sampled steps that both sampled with equal
-characters. Bands of samples, drawn as by random bits, are the join keys of
+fingerprints is the share of all sampled steps at which either still read its text
+that both sampled with equal characters. Bands of samples, drawn as by random bits, are the join keys of
 :func:`near_copies`, which verifies candidates by their likeness.
 
 Defined cases: a null text counts as empty; the empty text's fingerprint is
@@ -36,11 +36,16 @@ from .components import components
 from .shingles import mix
 
 SAMPLES = 128
-BANDS, BAND_SAMPLES = 16, 6
+BANDS, BAND_SAMPLES, BAND_CHOICE = 16, 6, 24
 _STEPS_PER_TABLE = 64
 _BATCH_CHARS = 4_000_000
 
 
+def _steps(n):
+    """Steps of a walk over n code points."""
+    return np.where(np.asarray(n) > 0, 3 * np.asarray(n) + 16, 0)
+
+
 def _step_hashes(steps: int) -> np.ndarray:
     return mix(np.arange(steps, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
@@ -83,7 +88,7 @@ def walk(texts: list[str]) -> list[bytes]:
     lengths = np.array([len(symbols[i]) for i in order], np.int64)
     data = np.concatenate([np.append(symbols[i], np.uint8(0)) for i in order]) if order else np.zeros(0, np.uint8)
     place = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype(np.int64) if order else np.zeros(0, np.int64)
-    samples = [_sampled(2 * int(n)) for n in lengths]
+    samples = [_sampled(int(n)) for n in _steps(lengths)]
     sizes = [len(s) for s in samples]
     steps = np.concatenate(samples) if samples else np.zeros(0, np.int64)
     lanes = np.repeat(np.arange(len(order)), sizes)
@@ -91,8 +96,9 @@ def walk(texts: list[str]) -> list[bytes]:
     wanted, first = np.unique(steps[by_step], return_index=True)
     ends = np.append(first[1:], len(steps))
     out = np.zeros(len(steps), np.uint8)
-    # lanes still walking at step j are those with 2n > j, a prefix of the order
-    walking = np.searchsorted(-2 * lengths, -np.arange(0, 2 * int(lengths[0]) if len(lengths) else 0), side="left")
+    # lanes still walking at step j are those with more than j steps, a prefix of the order
+    ahead = _steps(lengths)
+    walking = np.searchsorted(-ahead, -np.arange(0, int(ahead[0]) if len(ahead) else 0), side="left")
     done = 0
     for j in range(len(walking)):
         if j % _STEPS_PER_TABLE == 0:
@@ -125,15 +131,17 @@ def fingerprints(texts: list[str | None]) -> list[str]:
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of the sampled steps of either fingerprint that both sampled with equal characters."""
+    """Share of the steps at which either wrote a character that both sampled with equal characters."""
     if a == b:
         return 1.0
     (n, x), (m, y) = ((int(p[0], 16), np.frombuffer(bytes.fromhex(p[1]), np.uint8)) for p in (a.split("-"), b.split("-")))
     if not n or not m:
         return 0.0
-    s, t = _sampled(2 * n), _sampled(2 * m)
-    both, i, j = np.intersect1d(s, t, assume_unique=True, return_indices=True)
-    return float((x[i] == y[j]).sum()) / (len(s) + len(t) - len(both))
+    s, t = _sampled(int(_steps(n))), _sampled(int(_steps(m)))
+    _, i, j = np.intersect1d(s, t, assume_unique=True, return_indices=True)
+    both = (x[i] > 0) & (y[j] > 0)
+    either = int((x > 0).sum()) + int((y > 0).sum()) - int(both.sum())
+    return float((both & (x[i] == y[j])).sum()) / either if either else 0.0
 
 
 def fingerprint(docs: DataFrame, *, text: str = "text") -> DataFrame:
@@ -152,22 +160,24 @@ def fingerprint(docs: DataFrame, *, text: str = "text") -> DataFrame:
 def _bands(print_: str) -> list[int]:
     """Keys of a fingerprint: hashes of the characters at drawn steps, with the length's magnitude.
 
-    Bands draw from the steps every text of at least half the length has sampled
-    too, so that texts of nearly equal length draw the same ones.
+    All texts of a magnitude draw from the same ``BAND_CHOICE`` steps, those of smallest
+    hash among the steps of the shortest: a longer text has sampled these too, as it
+    keeps smallest hashes. A band with a step that a text did not sample gives no key.
     """
     n = int(print_.split("-")[0], 16)
     x = np.frombuffer(bytes.fromhex(print_.split("-")[1]), np.uint8)
     if not n:
         return []
-    steps = _sampled(2 * n)
+    base = {int(s): i for i, s in enumerate(_sampled(int(_steps(n))))}
     out = []
     for scale in (n.bit_length() - 1, n.bit_length()):  # texts near a power of two meet in one of both
         low = 1 << max(0, scale - 1)
-        base = {int(s): i for i, s in enumerate(steps)}
-        drawn = _sampled(2 * low)
+        drawn = _sampled(int(_steps(low)))[:BAND_CHOICE]
         for band in range(BANDS):
-            picked = [int(drawn[(band * BAND_SAMPLES + k) % len(drawn)]) for k in range(BAND_SAMPLES)]
-            got = [int(x[base[p]]) if p in base else -1 for p in picked]
+            by_band = np.argsort(mix(np.arange(len(drawn), dtype=np.uint64) + np.uint64(1000 * (band + 1))))
+            got = [int(x[base[p]]) if (p := int(drawn[k])) in base else -1 for k in by_band[:BAND_SAMPLES]]
+            if -1 in got:
+                continue
             key = hashlib.blake2b(repr((scale, band, got)).encode(), digest_size=8).digest()
             out.append(int.from_bytes(key, "big", signed=True))
     return out

@@ -349,10 +349,35 @@ def test_walk_is_the_plain_walk():
     text = "Größe und Maß, a walk of some length " * 4
     symbols = list(edit_embedding._symbols(text)) + [0]
     place, written = 0, []
-    for j in range(2 * len(text)):
+    steps = 3 * len(text) + 16
+    for j in range(steps):
         written.append(symbols[place])
         place += int(edit_embedding._moves(j // 64)[j % 64][symbols[place]])
-    assert edit_embedding.walk(["", text, "short"])[1] == bytes(written[j] for j in edit_embedding._sampled(2 * len(text)))
+    assert edit_embedding.walk(["", text, "short"])[1] == bytes(written[j] for j in edit_embedding._sampled(steps))
+    assert place == len(text)
+
+
+def test_walks_reach_the_end():
+    rng = random.Random(31)
+    texts = [prose(rng, rng.randrange(1, 60))[: rng.randrange(1, 200)] for _ in range(300)]
+    changed = [t[:-1] + ("#" if t[-1] != "#" else "%") for t in texts]
+    pairs = list(zip(edit_embedding.fingerprints(texts), edit_embedding.fingerprints(changed)))
+    short = [(a, b) for a, b in pairs if 3 * int(a.split("-")[0], 16) + 16 <= edit_embedding.SAMPLES]
+    assert len(short) > 20 and all(a != b for a, b in short)
+    assert edit_embedding.likeness(*edit_embedding.fingerprints(["a", "b"])) == 0.0
+
+
+def test_bands_meet_near_texts_and_part_others():
+    rng = random.Random(32)
+    texts = [prose(rng, rng.choice([4, 30, 200, 900])) for _ in range(200)]
+    near = [t[: (at := rng.randrange(len(t)))] + "q" + t[at + 1 :] for t in texts]
+    prints, others = edit_embedding.fingerprints(texts), edit_embedding.fingerprints(near)
+    keys = [set(edit_embedding._bands(p)) for p in prints]
+    alike = [i for i in range(200) if edit_embedding.likeness(prints[i], others[i]) >= 0.75]
+    met = [i for i in alike if keys[i] & set(edit_embedding._bands(others[i]))]
+    assert len(alike) > 120 and len(met) >= 0.9 * len(alike)
+    apart = [(i, j) for i in range(200) for j in range(i) if edit_embedding.likeness(prints[i], prints[j]) < 0.75]
+    assert sum(bool(keys[i] & keys[j]) for i, j in apart) < 0.05 * len(apart)
 
 
 def test_near_copies(frame):
