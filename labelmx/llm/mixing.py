@@ -10,10 +10,14 @@ after any number of them
 
     r_d = max(0, 1 - sum_k p_dk * shift_k)
 
-and the whole state is one number per domain. A step is one pass that sums as
-many numbers as there are pairs of domains; it is scaled by the inverse of
-``sum n_d * p_d p_d'`` over the documents with r > 0 and halved until it brings
-the totals nearer, so it needs no step size of its own.
+and the whole state is one number per domain. Of all rates of least distance those
+nearest to 1 are wanted: ``CLOSENESS`` weighs the distance to 1 against the squares,
+so little that totals are right to about as many digits, and makes the problem convex
+in the shift with one solution, also where targets cannot be met. At it the shift is
+the rest that stays, divided by the weight. A step is one pass that sums as many
+numbers as there are pairs of domains; it is scaled by the inverse of
+``sum n_d * p_d p_d'`` over the documents with r > 0 and, if it goes too far, replaced
+by the longest of ``SHORTER`` shorter ones that does not, all tried in one pass.
 
 Defined cases: null, empty and blank texts have no words, posteriors equal to
 the priors, and no influence; labels that are null, repeated or without a
@@ -41,7 +45,9 @@ from .base import column, fresh
 BUCKETS = 4096
 SMOOTHING = 0.1
 MAX_LABELLED = 50_000
-MAX_STEPS = 50
+MAX_STEPS = 200
+CLOSENESS = 1e-9
+SHORTER = 20  # step lengths 1/3, 1/9, …
 _SPACE = " \t\n\x0b\f\r"
 
 
@@ -118,7 +124,7 @@ def _solve(m: list[list[float]], b: list[float]) -> list[float]:
     for c in range(n):
         left = [r for r in range(n) if r not in used]
         p = max(left, key=lambda r: abs(rows[r][c]), default=None)
-        if p is None or abs(rows[p][c]) <= 1e-12 * scale:
+        if p is None or abs(rows[p][c]) <= 1e-15 * scale:
             continue
         used.append(p)
         rows[p] = [x / rows[p][c] for x in rows[p]]
@@ -141,49 +147,63 @@ def rate_of(posteriors: Column, shift: Sequence[float]) -> Column:
 
 
 def fit_shift(profile: DataFrame, domains: tuple[str, ...], weights: Mapping[str, float], *, total: float | None = None, tolerance: float = 1e-9) -> list[float]:
-    """The shift whose rates bring ``profile(n_tokens, posteriors)`` to the targets.
+    """The shift whose rates bring ``profile(n_tokens, posteriors)`` nearest to the targets.
 
     Targets are ``weights`` (any positive scale) times ``total`` tokens (the
-    input's own total unless given). Stops when the expected totals are within
-    ``tolerance`` of the targets, or no step comes nearer.
+    input's own total unless given). Stops when the slope of the problem is within
+    ``tolerance`` of the targets: then no rate can change to bring the totals nearer.
     """
     k = len(domains)
     if not k:
         return []
     p = [F.get("posteriors", F.lit(i)) for i in range(k)]
     ends = [(i, j) for i in range(k) for j in range(i, k)]
-
-    def totals(shift):
-        rated = profile.select(rate_of(F.col("posteriors"), shift).alias("r"), F.col("n_tokens").cast("double").alias("n"), "posteriors")
-        active = F.when(F.col("r") > 0, F.col("n")).otherwise(0.0)
-        row = rated.agg(F.sum("n"), *[F.sum(F.col("r") * F.col("n") * x) for x in p], *[F.sum(active * p[i] * p[j]) for i, j in ends]).first()
+    n = F.col("n_tokens").cast("double")
+    rated = lambda shift: rate_of(F.col("posteriors"), shift)
+
+    def passed(shift):
+        """Token total, expected totals, and ``sum n p p'`` over the documents with a rate above 0."""
+        active = F.when(F.col("r") > 0, n).otherwise(0.0)
+        rows = profile.select(rated(shift).alias("r"), "n_tokens", "posteriors")
+        row = rows.agg(F.sum(n), *[F.sum(F.col("r") * n * x) for x in p], *[F.sum(active * p[i] * p[j]) for i, j in ends]).first()
         m = dict(zip(ends, row[1 + k :]))
         return row[0], list(row[1 : 1 + k]), [[m[min(i, j), max(i, j)] for j in range(k)] for i in range(k)]
 
     shift = [0.0] * k
-    n, sums, m = totals(shift)
-    if not n:
+    size, sums, m = passed(shift)
+    if not size:
         return []
     given = sum(max(0.0, weights.get(d, 0.0)) for d in domains)
     if given <= 0:
         raise ValueError(f"no positive target weight for any of {domains}")
-    want = [max(0.0, weights.get(d, 0.0)) / given * (n if total is None else total) for d in domains]
-    size = math.sqrt(sum(x * x for x in want))
-    far_of = lambda sums: math.sqrt(sum((x - y) ** 2 for x, y in zip(sums, want))) / size
-    far = far_of(sums)
+    want = [max(0.0, weights.get(d, 0.0)) / given * (size if total is None else total) for d in domains]
+    close = CLOSENESS * sum(m[i][i] for i in range(k))
+    slope_of = lambda shift, sums: [t - x + close * s for t, x, s in zip(want, sums, shift)]
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+    along = lambda v, w: sum(a * b for a, b in zip(v, w))
+    moved = lambda step, a: [s + a * x for s, x in zip(shift, step)]
+    slope = slope_of(shift, sums)
     for _ in range(MAX_STEPS):
-        if far <= tolerance:
+        if norm(slope) <= tolerance * norm(want):
             break
-        step = _solve(m, [x - y for x, y in zip(sums, want)])
-        for _ in range(12):
-            tried = [a + b for a, b in zip(shift, step)]
-            _, new_sums, new_m = totals(tried)
-            if far_of(new_sums) < far * (1 - 1e-6):
+        step = _solve([[m[i][j] + (close if i == j else 0.0) for j in range(k)] for i in range(k)], [-x for x in slope])
+        down = along(slope, step)
+        if down >= 0:
+            break  # only rounding is left
+        _, sums, next_m = passed(moved(step, 1.0))
+        if along(slope_of(moved(step, 1.0), sums), step) > -0.1 * down:
+            # too far: the slope along the step only rises, so the longest that keeps it low is safe
+            lengths = [3.0 ** -(i + 1) for i in range(SHORTER)]
+            tried = profile.agg(*[F.sum(rated(moved(step, a)) * n * x) for a in lengths for x in p]).first()
+            safe = [a for i, a in enumerate(lengths) if along(slope_of(moved(step, a), tried[i * k : i * k + k]), step) <= -0.1 * down]
+            if not safe:
                 break
-            step = [x / 2 for x in step]
-        else:
-            break
-        shift, sums, m, far = tried, new_sums, new_m, far_of(new_sums)
+            step = [safe[0] * x for x in step]
+            _, sums, next_m = passed(moved(step, 1.0))
+        before, shift, m = norm(slope), moved(step, 1.0), next_m
+        slope = slope_of(shift, sums)
+        if before <= 1e-6 * norm(want) and norm(slope) > before / 2:
+            break  # as near as doubles get
     return shift
 
 

@@ -194,7 +194,38 @@ def test_mixing_meets_what_it_can(spark):
     rows = spark.createDataFrame([(10, [0.9, 0.1]), (20, [0.8, 0.2]), (5, [0.6, 0.4])], "n_tokens bigint, posteriors array<double>")
     shift = mixing.fit_shift(rows, ("a", "b"), {"a": 0.0, "b": 1.0})
     rated = rows.withColumn("r", mixing.rate_of(F.col("posteriors"), shift)).collect()
-    assert all(x.r >= 0 for x in rated)
+    assert np.allclose([x.r for x in rated], [0, 0, 35 * 0.4 / (5 * 0.52)], atol=1e-4)
+
+
+def plain_rates(a, want):
+    """Nonnegative least squares by coordinate descent on a dense matrix."""
+    r = np.ones(a.shape[1])
+    rest = a @ r - want
+    square = (a * a).sum(axis=0)
+    for _ in range(20_000):
+        before = r.copy()
+        for d in range(len(r)):
+            new = max(0.0, r[d] - a[:, d] @ rest / square[d])
+            rest += a[:, d] * (new - r[d])
+            r[d] = new
+        if abs(before - r).max() < 1e-12:
+            break
+    return r
+
+
+@pytest.mark.parametrize("seed, k, target", [(1, 2, (0, 1)), (3, 3, (0, 0, 1)), (4, 3, (0.5, 0.5, 0)), (5, 4, (1, 0, 0, 0)), (6, 3, (0.4, 0.3, 0.3)), (7, 4, (0, 0.7, 0.3, 0))])
+def test_mixing_is_least_squares(spark, seed, k, target):
+    """Rates against a plain solver, most targets out of reach: equal totals, none lower in distance."""
+    rng = np.random.default_rng(seed)
+    n, p = rng.integers(1, 60, 25), rng.dirichlet(np.full(k, 3.0), 25)
+    rows = spark.createDataFrame([(int(x), [float(v) for v in y]) for x, y in zip(n, p)], "n_tokens bigint, posteriors array<double>").coalesce(1).persist()
+    names = tuple("abcd"[:k])
+    shift = mixing.fit_shift(rows, names, dict(zip(names, target)))
+    got = np.maximum(0, 1 - p @ np.array(shift))
+    a, want = (n[:, None] * p).T, np.array(target) * n.sum()
+    best = a @ plain_rates(a, want)
+    assert np.allclose(a @ got, best, atol=1e-4 * n.sum())
+    assert np.linalg.norm(a @ got - want) <= np.linalg.norm(best - want) + 1e-5 * n.sum()
 
 
 def test_bpe(frame, odd):
