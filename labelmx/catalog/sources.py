@@ -107,9 +107,10 @@ def _text_of(lm, sep: str, *, header: str | None, names: bool):
     return small_table(lm.spark, [(-1, header)], "at bigint, value string").unionByName(lines)
 
 
-def _write_lines(lines, stem: str, **options) -> str:
+def _write_lines(lines, stem: str, *order: str, **options) -> str:
+    """Write ``value`` along ``at``; lines that share it are dealt by ``order``, or one task would sort them all."""
     path = new_path(lines.sparkSession, stem)
-    lines.orderBy("at").select("value").write.options(**options).text(path)
+    lines.orderBy("at", *order).select("value").write.options(**options).text(path)
     return path
 
 
@@ -159,9 +160,10 @@ def read_mtx(spark, sf):
     place = lambda axis: lm.positions(axis).select(F.col("key").alias(f"{axis}_key"), F.col("pos").alias(f"{axis}_pos"))
     cells = lm.X.cells.join(place("obs"), "obs_key").join(place("var"), "var_key")
     n_obs, n_vars = lm.shape
-    body = cells.select(F.lit(1).cast("bigint").alias("at"), F.concat_ws(" ", F.col("obs_pos") + 1, F.col("var_pos") + 1, "value").alias("value"))
+    body = cells.select(F.lit(1).cast("bigint").alias("at"), F.concat_ws(" ", F.col("obs_pos") + 1, F.col("var_pos") + 1, "value").alias("value"), "obs_pos", "var_pos")
     head = [(-2, "%%MatrixMarket matrix coordinate real general"), (-1, "% orders by parts"), (0, f"{n_obs} {n_vars} {cells.count()}")]
-    path = _write_lines(small_table(spark, head, "at bigint, value string").unionByName(body), "mtx")
+    lines = small_table(spark, head, "at bigint, value string").unionByName(body, allowMissingColumns=True)
+    path = _write_lines(lines, "mtx", "obs_pos", "var_pos")
     return named_cells(T.read_mtx(spark, path, dtype="double"))
 
 

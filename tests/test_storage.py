@@ -11,6 +11,7 @@ from labelmx.operators import categories as C
 from labelmx.operators import names as N
 from labelmx.operators import nested
 from labelmx.operators import reshape as R
+from labelmx.catalog.sources import _write_lines
 from labelmx.model import Raw
 from labelmx.operators.update import materialize, snapshot_raw
 from labelmx.plans.local import small_table
@@ -301,3 +302,19 @@ def test_many_blocks_make_few_files(spark, make, tmp_path):
     stored = spark.read.parquet(f"{path}/{entry['segments'][0]}")
     assert {(r.row_block, r.col_block): r.value for r in stored.collect()} == {(i, j): float(30 * i + j + 1) for i in range(30) for j in range(30)}
     assert grid(bundle.read_bundle(spark, path)) == grid(lm)
+
+
+def test_lines_of_one_place_are_dealt(spark):
+    """The body of a file in any order is sorted by many tasks, behind its head."""
+    body = spark.range(5000).select(F.lit(1).cast("bigint").alias("at"), F.col("id").cast("string").alias("value"), "id")
+    lines = small_table(spark, [(-1, "head")], "at bigint, value string").unionByName(body, allowMissingColumns=True)
+    with_setting = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = _write_lines(lines, "dealt", "id")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", with_setting)
+    read = spark.read.text(path)
+    counts = [r["count"] for r in read.groupBy(F.input_file_name()).count().collect()]
+    assert len(counts) == 2 and max(counts) < 4000 and sum(counts) == 5001
+    assert read.orderBy(F.input_file_name(), F.monotonically_increasing_id()).first().value == "head"
