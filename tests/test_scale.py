@@ -3,10 +3,11 @@ import math
 
 from pyspark.sql import functions as F
 
-from labelmx import Graph, Matrix, Vectors
+from labelmx import Graph, Matrix, Vectors, tune
 from labelmx.operators import reshape as R
 from labelmx.operators import select as S
 from labelmx.plans.local import small_table
+from labelmx.session import PART_BYTES
 from labelmx.sources import text
 
 from helpers import column, grid, names
@@ -100,3 +101,18 @@ def test_lines_are_never_exchanged(spark, tmp_path):
     assert names(lm, "obs") == [f"r{p}_{i}" for p in range(3) for i in range(5)]
     assert column(lm, "obs", "ord") == list(range(15))
     assert grid(lm) == [[float(i), float(p)] for p in range(3) for i in range(5)]
+
+
+def test_parts_of_an_exchange_are_small(spark):
+    """Small parts are joined up to a few MB only, so hash tables over them do not grow with the input."""
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    had = spark.conf.getAll.get(size)
+    try:
+        spark.conf.unset(size)
+        tune(spark)
+        assert int(spark.conf.get(size)) == PART_BYTES
+        spark.conf.set(size, "1m")
+        tune(spark)
+        assert spark.conf.get(size) == "1m"  # what the session names stays
+    finally:
+        spark.conf.set(size, had) if had else spark.conf.unset(size)
