@@ -173,6 +173,18 @@ def reindex(lm: LabeledMatrix, axis: str, names: DataFrame, *, fill_value: float
 # -- matrices ----------------------------------------------------------------------
 
 
+def _shifted(parts: Sequence[tuple[int, DataFrame]], shifts: Sequence[Shift], *cols: str) -> DataFrame:
+    """The parts of inputs, tagged with ``ds``, with their key columns shifted.
+
+    The shifts come from a table. As literals they would give each part a filter of its own
+    (not null after the addition), and parts made from one table could not share its exchanges.
+    """
+    tagged = _union([df.withColumn("ds", F.lit(i)) for i, df in parts])
+    by = small_table(tagged.sparkSession, [(i, shifts[i].key) for i, _ in parts], "ds int, _shift bigint")
+    moved = [(F.col(c) + F.col("_shift")).alias(c) if c in cols else F.col(c) for c in tagged.columns]
+    return tagged.join(F.broadcast(by), "ds").select(*moved)
+
+
 def _filled(cells: DataFrame, rows: DataFrame, gaps: Sequence[DataFrame], fill: float, absent: float) -> DataFrame:
     """Add the cells that alignment introduces, unless they equal the absent value.
 
@@ -212,8 +224,8 @@ def stack_matrices(
         if m is None:
             continue
         cells = (sparsify(m, lm) if sparse and not m.sparse else m).cells
-        parts.append(cells.select(F.lit(i).alias("ds"), (F.col("obs_key") + shifts[i].key).alias("obs_key"), "var_key", "value"))
-    cells = to.apply(_union(parts), "var_key")
+        parts.append((i, cells.select("obs_key", "var_key", "value")))
+    cells = to.apply(_shifted(parts, shifts, "obs_key"), "var_key")
     rows = stacked_rows(inputs, shifts)
     if same_value(fill, absent):
         return Matrix(cells.select("obs_key", "var_key", "value"), absent)
@@ -310,11 +322,8 @@ def block_diagonal(inputs: Sequence[LabeledMatrix], shifts: Sequence[Shift], joi
     maps = [lm.obsp for lm in inputs]
     out = {}
     for k in shared_keys(maps) if join == "inner" else all_keys(maps):
-        parts = [
-            m[k].edges.select((F.col("i_key") + s.key).alias("i_key"), (F.col("j_key") + s.key).alias("j_key"), "value")
-            for m, s in zip(maps, shifts) if k in m
-        ]
-        out[k] = Graph(_union(parts))
+        parts = [(i, m[k].edges.select("i_key", "j_key", "value")) for i, m in enumerate(maps) if k in m]
+        out[k] = Graph(_shifted(parts, shifts, "i_key", "j_key").drop("ds"))
     return out
 
 

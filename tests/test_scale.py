@@ -1,9 +1,10 @@
 """Plans that keep their shape when the data grow: gaps, samples, pieces and text lines."""
 import math
+import re
 
 from pyspark.sql import functions as F
 
-from labelmx import Graph, Matrix, Vectors, tune
+from labelmx import Graph, Matrix, Vectors, concat, tune
 from labelmx.operators import reshape as R
 from labelmx.operators import select as S
 from labelmx.plans.local import small_table
@@ -116,3 +117,23 @@ def test_parts_of_an_exchange_are_small(spark):
         assert spark.conf.get(size) == "1m"  # what the session names stays
     finally:
         spark.conf.set(size, had) if had else spark.conf.unset(size)
+
+
+def test_stacked_pieces_share_exchanges(spark, make):
+    """Pieces of one matrix read its cells by the same plan, whatever their keys are shifted by."""
+    lm = make([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]], ["a", "b", "c"], ["x", "y"], sparse=True, obs_cols={"kind": ["p", "q", "r"]})
+    cells = spark.createDataFrame(lm.X.cells.collect(), lm.X.cells.schema).groupBy("obs_key", "var_key").agg(F.sum("value").alias("value"))
+    lm = lm.replace(X=Matrix(cells), obsp={"g": Graph(lm.X.cells.select(F.col("obs_key").alias("i_key"), F.col("obs_key").alias("j_key"), "value"))})
+    pieces = {k: lm.subset(obs=F.col("kind") == k) for k in ("p", "q", "r")}
+    size = "spark.sql.autoBroadcastJoinThreshold"
+    had = spark.conf.get(size)
+    spark.conf.set(size, "-1")
+    try:
+        out = concat(pieces, label="piece", pairwise=True)
+        held = out.X.cells.join(out.obs.select(F.col("key").alias("obs_key"), "name"), "obs_key")
+        text = held._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(size, had)
+    assert not re.search(r"isnotnull\(\(obs_key#\d+L \+ -?\d+\)", text)
+    assert grid(out) == [[1, 2], [3, 4], [5, 6]] and column(out, "obs", "piece") == ["p", "q", "r"]
+    assert sorted((r.i_key, r.j_key, r.value) for r in out.obsp["g"].edges.collect()) == sorted((k.key, k.key, v) for k, vs in zip(out.obs.orderBy("ord").collect(), ((1, 2), (3, 4), (5, 6))) for v in vs)
