@@ -8,9 +8,10 @@ by the executors and numbered without an exchange.
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import unquote
@@ -34,9 +35,11 @@ class Lines:
         return self.df.where(F.col("at") >= n).select((F.col("at") - n).alias("at"), F.when(F.col("at") >= n, F.col("value")).alias("value"))
 
 
-def open_lines(spark: SparkSession, path: str) -> Lines:
+def open_lines(spark: SparkSession, path: str, fields: Mapping[str, Column] | None = None) -> Lines:
     """Lines of a file or directory; ``.gz`` and ``.bz2`` are decompressed by suffix.
 
+    With ``fields`` each line is cut into those columns of ``value`` as it is read, and they take its place.
+
     Lines are written once as they are read, with their split and their place in
     it, so that every later plan sees the same splits and a compressed file is
     unpacked once and then parsed in parallel. A line's number is the lines of the
@@ -44,19 +47,20 @@ def open_lines(spark: SparkSession, path: str) -> Lines:
     the lines themselves are never exchanged.
     """
     raw = spark.read.text(path)
+    shown = ["value"] if fields is None else [c.alias(name) for name, c in fields.items()]
     files = sorted(raw.inputFiles())
     first = next((f for f in files if not spark.read.text(f).where("value <> ''").isEmpty()), None)
     if first is None:
         raise ValueError(f"no data in {path}")
     read = stored(raw.select(
         F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"), "value",
-    ).where(F.col("value") != "").withColumn("line", F.monotonically_increasing_id()), "lines")
+        F.col("_metadata.file_block_start").alias("start"), "value",
+    ).where(F.col("value") != "").select("file", "path", "start", F.monotonically_increasing_id().alias("line"), *shown), "lines")
     splits = read.groupBy("file", "path", "start").agg(F.min("line").alias("low"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(F.lit(0)).orderBy("path", "start").rowsBetween(Window.unboundedPreceding, -1)
     # as many rows as the input has splits: a few bytes for every 128 MB
     shift = stored(splits.select("file", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("low")).alias("shift")), "splits")
-    numbered = read.join(F.broadcast(shift), ["file", "start"]).select((F.col("line") + F.col("shift")).alias("at"), "value")
+    numbered = read.join(F.broadcast(shift), ["file", "start"]).select((F.col("line") + F.col("shift")).alias("at"), *(fields or ["value"]))
     return Lines(numbered, first)
 
 
@@ -165,7 +169,8 @@ def umi_matrix(rows: DataFrame, order: str = "at", dtype: str = "float", *, dens
     genes are in first-seen order.
     """
     def axis(col: str) -> DataFrame:
-        seen = rows.groupBy(F.col(col).alias("name")).agg(F.min(order).alias("first"))
+        # counted, dealt and written below: the rows are gone through once
+        seen = stored(rows.groupBy(F.col(col).alias("name")).agg(F.min(order).alias("first")), "seen")
         # two names can start on one line only if they are on different axes
         return ranked(seen, "first", "key").select("key", F.col("key").alias("ord"), "name")
 
@@ -183,9 +188,10 @@ def umi_matrix(rows: DataFrame, order: str = "at", dtype: str = "float", *, dens
 def read_umi_counts(spark: SparkSession, path: str, dtype: str = "float", *, dense: bool = False) -> LabeledMatrix:
     """A tab-separated ``gene, cell, count`` table (often gzipped); its first line is a header."""
     t = F.split("value", "\t")
-    rows = open_lines(spark, path).after(1).select(
-        t[0].alias("gene"), t[1].alias("cell"), F.trim(t[2]).cast("bigint").alias("count"), "at"
-    )
+    lines = open_lines(spark, path, {"gene": t[0], "cell": F.get(t, F.lit(1)), "count": F.get(t, F.lit(2))}).df.where("at >= 1")
+    # what is asked of a line depends on its number too: the header may hold anything
+    held = lambda c: F.when(F.col("at") >= 1, F.coalesce(c, F.raise_error(F.concat(F.lit(f"no {c} in line "), "at"))))
+    rows = lines.select("gene", held("cell").alias("cell"), F.trim(held("count")).cast("bigint").alias("count"), (F.col("at") - 1).alias("at"))
     return umi_matrix(rows, "at", dtype, dense=dense)
 
 

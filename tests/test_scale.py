@@ -2,11 +2,13 @@
 import math
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from labelmx import Graph, Matrix, Vectors, concat, tune
 from labelmx.operators import reshape as R
 from labelmx.operators import select as S
+from labelmx.plans.durable import stored
 from labelmx.plans.local import small_table
 from labelmx.session import PART_BYTES
 from labelmx.sources import text
@@ -137,3 +139,17 @@ def test_stacked_pieces_share_exchanges(spark, make):
     assert not re.search(r"isnotnull\(\(obs_key#\d+L \+ -?\d+\)", text)
     assert grid(out) == [[1, 2], [3, 4], [5, 6]] and column(out, "obs", "piece") == ["p", "q", "r"]
     assert sorted((r.i_key, r.j_key, r.value) for r in out.obsp["g"].edges.collect()) == sorted((k.key, k.key, v) for k, vs in zip(out.obs.orderBy("ord").collect(), ((1, 2), (3, 4), (5, 6))) for v in vs)
+
+
+def test_umi_lines_are_cut_once(spark, tmp_path, monkeypatch):
+    """Lines are cut into fields as they are read; axes are numbered from stored names."""
+    (tmp_path / "u.tsv").write_text("anything\ng1\tc1\t3\n\ng2\tc1\t1\ng1\tc1\t5\ng1\tc2\t2\n")
+    kept = {}
+    monkeypatch.setattr(text, "stored", lambda df, stem="table": kept.setdefault(f"{stem}{len(kept)}", stored(df, stem)))
+    lm = text.read_umi_counts(spark, str(tmp_path / "u.tsv"), dtype="double")
+    assert names(lm, "obs") == ["c1", "c2"] and names(lm, "var") == ["g1", "g2"] and grid(lm) == [[5, 1], [2, 0]]
+    assert [k.rstrip("0123456789") for k in kept] == ["lines", "splits", "seen", "seen"]
+    assert {"gene", "cell", "count"} <= set(kept["lines0"].columns)
+    (tmp_path / "short.tsv").write_text("gene\tcell\tcount\ng1\tc1\t3\ng2\tc1\n")
+    with pytest.raises(Exception, match="no count in line"):
+        text.read_umi_counts(spark, str(tmp_path / "short.tsv")).X.cells.collect()
