@@ -15,7 +15,8 @@ runs are dealt by the last ``LOW`` bytes of their contexts, which brings togethe
 all that followed a context of ``LOW`` bytes or more, and what followed shorter
 ones is at most 256**LOW runs, known to all tasks. Scores of runs that make up at
 least 2**-SHARE_BITS of all are looked up in a table of bounded size; the others meet
-the places where they occur in a join, which packs the rows of a part into arrays.
+the places where they occur in a join, which packs the rows of a part into arrays;
+the sums of a block of rows come back as arrays too, one for each part it met.
 
 Word tokens (runs of non-space bytes, and one end per text) are scored by an
 add-one unigram model for comparison. Tokens above such a share, 2**-TOKEN_BITS of all, are
@@ -53,6 +54,7 @@ END_TOKEN = -1
 _CHUNK_BYTES = 500_000
 _COUNT_BYTES = 4_000_000
 _SPILL_ROWS = 1_500_000
+PART_RUNS = 1 << 18  # distinct runs of a part, on average: their scores are one task's table
 
 
 def _lower(data: np.ndarray) -> np.ndarray:
@@ -287,15 +289,15 @@ def _parcels(keys: np.ndarray, values: np.ndarray, parts: int) -> Iterator[tuple
         yield p, keys[order[s:e]].tobytes(), values[order[s:e]].tobytes()
 
 
-_PARCEL = "part int, kind tinyint, keys binary, worth binary"
+_PARCEL = "part int, kind tinyint, block bigint, keys binary, worth binary"
 
 
-def _parcel_batches(parcels, kind: int, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _parcel_batches(parcels, kind: int, block: int = 0, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
     def out():
         part, keys, worth = zip(*held)
-        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([kind] * len(part), pa.int8()), pa.array(keys, pa.binary()), pa.array(worth, pa.binary())], ["part", "kind", "keys", "worth"])
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([kind] * len(part), pa.int8()), pa.array([block] * len(part), pa.int64()), pa.array(keys, pa.binary()), pa.array(worth, pa.binary())], ["part", "kind", "block", "keys", "worth"])
 
     for p in parcels:
         held.append(p)
@@ -324,24 +326,32 @@ def _rate(shared, parts, least, batches) -> Iterator[pa.RecordBatch]:
     yield from _parcel_batches(_parcels(keys[~often], score[~often], parts), 0)
 
 
+def _steps(rows: np.ndarray) -> bytes:
+    """Row numbers, compressed: those of a part ascend, so their steps are small."""
+    return zlib.compress(np.diff(rows, prepend=0).tobytes(), 1)
+
+
+def _rows_of(steps: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(steps), np.int64))
+
+
 def _pack(parts, batches) -> Iterator[pa.RecordBatch]:
-    """The rare runs of rows by part (kind 1), compressed: they are most of what is exchanged."""
+    """The rare runs of rows by part (kind 1), compressed: they are most of what is exchanged. The rows of a batch are a block."""
     for b in batches:
         lists = b.column(1).to_pylist()
         sizes = [len(x) // 8 for x in lists]
         keys = np.frombuffer(b"".join(lists), np.uint64)
         rows = np.repeat(b.column(0).to_numpy(zero_copy_only=False), sizes)
-        # rows of a part ascend, so their steps are small
-        small = ((p, zlib.compress(k, 1), zlib.compress(np.diff(np.frombuffer(r, np.int64), prepend=0).tobytes(), 1)) for p, k, r in _parcels(keys, rows, parts))
-        yield from _parcel_batches(small, 1)
+        small = ((p, zlib.compress(k, 1), _steps(np.frombuffer(r, np.int64))) for p, k, r in _parcels(keys, rows, parts))
+        yield from _parcel_batches(small, 1, int(rows.min(initial=1 << 62)))
 
 
 def _meet(batches) -> Iterator[pa.RecordBatch]:
-    """Sums of scores by row; the scores of a part come before its rows."""
+    """Sums of scores by row, the rows of a parcel in one array; the scores of a part come before its rows."""
     now, keys, worth, table = None, [], [], None
     for b in batches:
-        rows, sums = [], []
-        for part, kind, k, w in zip(*[c.to_pylist() for c in b.columns]):
+        blocks, rows, sums = [], [], []
+        for part, kind, block, k, w in zip(*[c.to_pylist() for c in b.columns]):
             if part != now:
                 now, keys, worth, table = part, [], [], None
             if kind == 0:
@@ -350,14 +360,23 @@ def _meet(batches) -> Iterator[pa.RecordBatch]:
                 continue
             if table is None:
                 table, scores = Table.build(np.concatenate(keys)), np.concatenate(worth)
-            row, at = np.unique(np.cumsum(np.frombuffer(zlib.decompress(w), np.int64)), return_inverse=True)
+            row, at = np.unique(_rows_of(w), return_inverse=True)
             found = table.find(np.frombuffer(zlib.decompress(k), np.uint64))
             if (found < 0).any():
                 raise ValueError("a run of the texts has no score")
-            rows.append(row)
-            sums.append(np.bincount(at, scores[found], len(row)))
+            blocks.append(block)
+            rows.append(_steps(row))
+            sums.append(np.bincount(at, scores[found], len(row)).tobytes())
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(sums))], ["row", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(rows, pa.binary()), pa.array(sums, pa.binary())], ["block", "rows", "sums"])
+
+
+def _total(met: pa.Table) -> pa.Table:
+    """The sums of a block's rows over all parts."""
+    rows = np.concatenate([_rows_of(x) for x in met.column("rows").to_pylist()])
+    sums = np.frombuffer(b"".join(met.column("sums").to_pylist()), np.float64)
+    row, at = np.unique(rows, return_inverse=True)
+    return pa.table({"row": pa.array(row), "rest": pa.array(np.bincount(at, sums, len(row)))})
 
 
 def _score(shared, batches) -> Iterator[pa.RecordBatch]:
@@ -403,7 +422,8 @@ def score(docs: DataFrame, model: Model, runs: DataFrame, tokens: DataFrame, *,
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` of every row; ``runs`` has all runs of the rows."""
     spark = docs.sparkSession
     tasks = task_count(docs)
-    low, parts = spark.sparkContext.broadcast(model.low), 2 * tasks
+    # parts grow with the runs that one table holds, not with the tasks: a row meets each part at most once
+    low, parts = spark.sparkContext.broadcast(model.low), max(1, -(-runs.count() // PART_RUNS))
     context = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * LOW) - 1))
     rated = runs.repartition(tasks, context).mapInArrow(partial(_rate, low, parts, model.total / (1 << SHARE_BITS)), _PARCEL)
     rated = stored(rated, "rated")
@@ -417,8 +437,8 @@ def score(docs: DataFrame, model: Model, runs: DataFrame, tokens: DataFrame, *,
     done = stored(done, "scores")
     # runs too rare for the table meet their scores here
     packed = done.where(F.length("runs") > 0).select("row", "runs").mapInArrow(partial(_pack, parts), _PARCEL)
-    met = rated.where("kind = 0").union(packed).repartition(tasks, "part").sortWithinPartitions("part", "kind").mapInArrow(_meet, "row bigint, more double")
-    met = met.groupBy("row").agg(F.sum("more").alias("rest"))
+    met = rated.where("kind = 0").union(packed).repartition(tasks, "part").sortWithinPartitions("part", "kind").mapInArrow(_meet, "block bigint, rows binary, sums binary")
+    met = met.groupBy("block").applyInArrow(_total, "row bigint, rest double")
     # tokens too rare for the table meet their counts here; no key has more than a 2**-TOKEN_BITS share of them
     rare = done.select("row", F.explode("rare").alias("key")).join(tokens, "key", "left")
     scale = float(model.n_tokens + model.n_kinds + 1)

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -484,6 +485,21 @@ def test_ppm(frame, odd):
     assert bare == 0
 
 
+def test_ppm_sums_come_back_in_blocks():
+    """A record for each part that a block of rows met, not one for each of its rows."""
+    rng, parts = np.random.default_rng(5), 4
+    keys, worth = np.arange(500, dtype=np.uint64) * np.uint64(977), rng.normal(size=500)
+    runs = [rng.choice(keys, 60) for _ in range(50)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(100, 150), pa.int64()), pa.array([x.tobytes() for x in runs], pa.binary())], ["row", "runs"])
+    scores = list(ppm._parcel_batches(ppm._parcels(keys, worth, parts), 0))
+    sent = pa.Table.from_batches([*scores, *ppm._pack(parts, [rows])]).sort_by([("part", "ascending"), ("kind", "ascending")])
+    met = pa.Table.from_batches(ppm._meet(sent.to_batches()))
+    assert met.num_rows == parts and set(met.column("block").to_pylist()) == {100}
+    value = dict(zip(keys.tolist(), worth.tolist()))
+    got = {r["row"]: r["rest"] for r in ppm._total(met).to_pylist()}
+    assert got == pytest.approx({100 + i: sum(value[k] for k in x.tolist()) for i, x in enumerate(runs)})
+
+
 def test_ppm_keeps_rare_runs(frame, monkeypatch):
     monkeypatch.setattr(ppm, "SHARE_BITS", 4)  # a table of 16 runs at most: nearly all are rare
     rng = random.Random(5)
