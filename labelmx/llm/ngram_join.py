@@ -15,8 +15,11 @@ A posting list of many near copies is not expanded into all its pairs. Each list
 proposes one hub (the set with the fewest shingles of its own) and every member
 is verified against it; members whose components are known to be joined need no
 further pair. This repeats with other hubs while it finds links and the pairs
-left would be many; then every pair of one list that is still in different
-components is verified, so no link that could join components is lost.
+left would be many; then the pairs of one list that are still in different
+components are verified, so no link that could join components is lost. Of these
+only pairs meet whose shared shingle comes early enough in both sets for their two
+sizes, which sorts members out before they meet, so a list of many sets that are
+not alike does not grow to the square of its length.
 
 The order comes from a table of 2**20 counters filled from all shingles of all
 documents; which counters a shingle shares only affects speed, never results.
@@ -47,6 +50,8 @@ COUNTER_BITS = 20
 _SLICE = 4096
 FILTER_WORDS = 1 << 18  # 2**24 bits, 2 MB broadcast
 HUBS = 4
+LONG = 512  # members of a list from which on they meet by ranges of sizes
+RANGES = 8  # ranges of sizes from one power of two to the next
 
 
 def _counters(hashes: np.ndarray) -> np.ndarray:
@@ -107,7 +112,7 @@ def _signatures(width, threshold, order, batches):
             k = prefix_size(n, threshold) if n else 0
             first = s[np.lexsort((s, ranks[_counters(s)]))[:k]] if n else s
             prefixes.append((int(first.sum(dtype=np.uint64)), int(mix(first).sum(dtype=np.uint64))) if n else (0, 0))
-            tokens.append(np.sort(first).tobytes())
+            tokens.append(first.tobytes())
         as_long = lambda xs, i: pa.array(np.array([x[i] for x in xs], np.uint64).view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [ids, pa.array(sizes, pa.int64()), as_long(sets, 0), as_long(sets, 1), as_long(prefixes, 0), as_long(prefixes, 1), pa.array(tokens, pa.binary())],
@@ -115,33 +120,38 @@ def _signatures(width, threshold, order, batches):
         )
 
 
+_POSTING = "token bigint, gid bigint, place int"
+
+
 def _postings(batches):
     for b in batches:
         raw = b.column(1).to_pylist()
         counts = [len(x) // 8 for x in raw]
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), counts))], ["token", "gid"])
+        place = np.concatenate([np.arange(n, dtype=np.int32) for n in counts]) if counts else np.zeros(0, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), counts)), pa.array(place)], ["token", "gid", "place"])
 
 
 def _shared_only(batches):
     """From rows sorted by token, those whose token occurs again; keeps one row between batches."""
     held, held_shared = None, False
     for b in batches:
-        token, gid = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if not len(token):
+        rows = pa.Table.from_batches([b])
+        if not b.num_rows:
             continue
         if held is not None:
-            token, gid = np.append(held[0], token), np.append(held[1], gid)
+            rows = pa.concat_tables([held, rows])
+        token = rows.column(0).to_numpy()
         same = token[1:] == token[:-1]
         shared = np.zeros(len(token), bool)
         shared[1:] |= same
         shared[:-1] |= same
         shared[0] |= held_shared
-        held, held_shared = (token[-1:], gid[-1:]), bool(shared[-1])
+        held, held_shared = rows.slice(len(token) - 1), bool(shared[-1])
         keep = np.flatnonzero(shared[:-1])
         if len(keep):
-            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(gid[keep])], ["token", "gid"])
+            yield from rows.take(pa.array(keep)).combine_chunks().to_batches()
     if held is not None and held_shared:
-        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], ["token", "gid"])
+        yield from held.combine_chunks().to_batches()
 
 
 def _id_filter(ids: DataFrame, name: str) -> np.ndarray:
@@ -204,13 +214,13 @@ class NgramJoin:
         # the only exchange of whole prefixes, one row per group
         lead = groups.select("lead.*")
         lists = self.whole.select("doc_id", "s1", "s2", "tokens").join(lead, ["doc_id", "s1", "s2"], "left_semi")
-        lists = lists.select("doc_id", "tokens").mapInArrow(_postings, "token bigint, gid bigint")
-        lists = lists.repartition(task_count(lists), "token").sortWithinPartitions("token").mapInArrow(_shared_only, "token bigint, gid bigint")
-        # members of one group share their whole prefix
-        several = member.where("members > 1").select(F.xxhash64(F.lit("group"), "gid").alias("token"), "id", "n", self._prefix().alias("shares"))
+        lists = lists.select("doc_id", "tokens").mapInArrow(_postings, _POSTING)
+        lists = lists.repartition(task_count(lists), "token").sortWithinPartitions("token").mapInArrow(_shared_only, _POSTING)
+        # members of one group share their whole prefix: place -1
+        several = member.where("members > 1").select(F.xxhash64(F.lit("group"), "gid").alias("token"), "id", "n", F.lit(-1).alias("place"))
         lists = stored(lists, "lists")
         # members take over the posting lists of their group; a group of several is a list itself
-        lists = stored(lists.join(member.select("gid", "id", "n"), "gid").select("token", "id", "n", F.lit(1).cast("bigint").alias("shares")).union(several), "lists")
+        lists = stored(lists.join(member.select("gid", "id", "n"), "gid").select("token", "id", "n", "place").union(several), "lists")
         wanted = self.spark.sparkContext.broadcast(_id_filter(lists.select("id"), "id"))
         texts = self.docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_WORDS * 64)).alias("bit"))
         shingles = stored(texts.where("doc_id IS NOT NULL").mapInArrow(partial(_sets, self.width, wanted), "id bigint, shingles binary"), "shingles")
@@ -222,24 +232,18 @@ class NgramJoin:
             rows = lists if label is None else lists.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
             if label is not None:
                 # lists whose members are all joined are done; the rest meets the commonest label
-                by_label = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
-                main = by_label.groupBy("token").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-                main = main.select("token", F.col("top.label").alias("main"), F.col("all").alias("size"), (F.col("all") - F.col("top.c")).alias("others"))
+                by_label = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"))
+                main = by_label.groupBy("token").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("kinds"), F.min("least").alias("least")).where("kinds > 1")
+                main = main.select("token", F.col("top.label").alias("main"), F.col("all").alias("size"), (F.col("all") - F.col("top.c")).alias("others"), "least")
                 rows = stored(rows.join(main, "token"), "open")
                 left = rows.agg(F.count(F.lit(1))).first()[0]
                 if not left:
                     break
                 pairs_left = main.agg(F.sum(F.col("others") * F.col("size"))).first()[0]
                 last = not found or 20 * found < asked or pairs_left <= left
-                if last:
-                    strange = rows.where("label <> main").select("token", "shares", F.col("id").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-                    whole = rows.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), (F.col("label") == F.col("main")).alias("common"))
-                    made = strange.join(whole, "token").where("la <> lb AND (common OR a < b)")
-                else:
-                    made = self._to_hubs(rows, turn)
+                pairs = self._rest(rows) if last else self._possible(self._to_hubs(rows, turn))
             else:
-                last, made = False, self._to_hubs(rows, turn)
-            pairs = self._possible(made)
+                last, pairs = False, self._possible(self._to_hubs(rows, turn))
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = stored(pairs, "pairs")
@@ -263,10 +267,33 @@ class NgramJoin:
             draws = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(i), "id").alias("own"), "id", "n")) for i in range(HUBS)]
             hubs, rows = common.groupBy("token").agg(F.array_distinct(F.array(*draws)).alias("hubs")), rows.where("label <> main")
         hubs = hubs.select("token", F.explode("hubs").alias("hub")).select("token", F.col("hub.id").alias("b"), F.col("hub.n").alias("nb"))
-        met = rows.join(hubs, "token").where("id <> b").select("token", "shares", F.col("id").alias("a"), F.col("n").alias("na"), "b", "nb")
+        met = rows.join(hubs, "token").where("id <> b").select("token", F.when(F.col("place") < 0, self._prefix()).otherwise(1).alias("shares"), F.col("id").alias("a"), F.col("n").alias("na"), "b", "nb")
         # two draws may name one hub
         return met.dropDuplicates(["token", "a", "b"]) if turn else met
 
+    def _rest(self, rows: DataFrame) -> DataFrame:
+        """Distinct pairs of different labels that share a shingle early enough in both sets.
+
+        Sets of sizes m and n that overlap by ``need`` share one of the first ``m - need + 1`` shingles
+        of one and ``n - need + 1`` of the other. That is less than the whole prefix, which must do for the
+        smallest partner, and it holds per set: members of a long list meet by ranges of sizes, and a
+        member whose shingle comes too late for a range does not go there.
+        """
+        t = self.threshold
+        size_range = lambda n: F.floor(F.log2(n) * RANGES).cast("int")
+        low, high = F.expr(f"({t} * n + 99) div 100"), F.expr(f"100 * n div {t}")
+        ranges = F.when(F.col("size") > LONG, F.sequence(size_range(low), size_range(high))).otherwise(F.array(F.lit(-1)))
+        rows = rows.select("token", "id", "n", "place", "label", "main", F.when(F.col("size") > LONG, size_range(F.col("n"))).otherwise(-1).alias("own"), F.explode(ranges).alias("other"), "least", low.alias("low"))
+        # the smallest partner of a list and range leaves the most room
+        smallest = F.greatest(F.col("low").cast("double"), F.col("least").cast("double"), F.when(F.col("other") < 0, 0.0).otherwise(F.pow(F.lit(2.0), F.col("other") / RANGES)))
+        rows = rows.where(F.col("place") <= F.col("n") - t * (F.col("n") + smallest) / (100 + t) + 1e-6)
+        strange = rows.where("label <> main").select("token", "own", "other", F.col("id").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"))
+        whole = rows.select("token", F.col("other").alias("own"), F.col("own").alias("other"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"), (F.col("label") == F.col("main")).alias("common"))
+        need = f"({t} * (na + nb) + {99 + t}) div {100 + t}"
+        met = strange.join(whole, ["token", "own", "other"]).where("la <> lb AND (common OR a < b)")
+        met = met.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * t).where(f"pa <= na - {need} AND pb <= nb - {need}")
+        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
     def _prefix(self):
         return F.expr(f"n - ({self.threshold} * n + 99) div 100 + 1")
 

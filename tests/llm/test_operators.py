@@ -77,6 +77,39 @@ def test_jaccard_components(frame, odd, spark):
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["0", "1", "2", "3", "4", "6", "7", "8", "9", "None"])
 
 
+@pytest.mark.parametrize("long", [0, 512])
+def test_jaccard_components_of_sizes_that_differ(frame, monkeypatch, long):
+    monkeypatch.setattr(ngram_join, "LONG", long)
+    rng = random.Random(11)
+    rows, word = [], iter(f"w{i}" for i in range(100_000))
+    for size in (4, 6, 13, 40, 90):
+        base = [next(word) for _ in range(size + 4)]
+        for _ in range(14):
+            w = list(base)
+            for _ in range(rng.randrange(0, 4 + size // 30)):  # some links hold, some just miss
+                w[rng.randrange(len(w))] = next(word)
+            a = rng.randrange(0, 1 + size // 4)
+            rows.append((len(rows), " ".join(w[a:] + [next(word) for _ in range(rng.randrange(0, 2 + size // 8))])))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(frame(rows)).collect()}
+    sets = {i: shingle_set(t) for i, t in rows}
+    alike = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    top = roots(sets, alike)
+    assert got == {i: (len(sets[i]), top[i]) for i in sets}
+    assert 5 < len(set(top.values())) < len(rows)
+
+
+@pytest.mark.parametrize("size", [300, 3000])
+def test_last_round_meets_early_shingles_only(frame, spark, size):
+    # one list of 300 sets of 100 shingles: 200 have it too late for a partner of their size, 60 are too small for the rest
+    rows = [(7, i, 100 if i < 240 else 70, 20 if i < 200 else 3, i % 100, 0, size, 70) for i in range(300)]
+    lists = spark.createDataFrame(rows, "token bigint, id bigint, n bigint, place int, label bigint, main bigint, size bigint, least bigint")
+    got = {(r.a, r.b) for r in ngram_join.NgramJoin(frame([(0, "a b c d e f")]))._rest(lists).collect()}
+    left = range(200, 240)
+    early = {(a, b) for a in left for b in left if a < b}
+    small = {(a, b) for a in range(240, 300) for b in range(240, 300) if a < b}
+    assert got == {(a, b) for a, b in early | small if a % 100 != b % 100}
+
+
 def test_shingles_of_words_at_chunk_edges():
     import pyarrow as pa
 
