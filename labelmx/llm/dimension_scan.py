@@ -5,7 +5,8 @@ part of their columns estimates a whole distance. k-means on a bounded sample
 gives lists; every vector goes to its nearest one. A query reads the lists
 nearest to it. Inside a list, columns are read in blocks: after each block the
 partial squared distance is scaled up, and a candidate whose estimate lies above
-the query's current k-th distance by more than the test allows is abandoned. The
+the query's current k-th distance by more than the test allows is abandoned, and
+so is one that is whole but beyond the k nearest of what was read with it. The
 survivors' cosines are computed in double precision on the original vectors.
 
 Equal vectors cannot all be among the k nearest, so only the k+1 smallest ids of
@@ -39,6 +40,7 @@ BLOCK_ROWS = 4_096
 QUERY_ROWS = 512
 COLUMN_BLOCK = 16
 EPSILON = 2.1
+DENSE = 0.1  # share of a block's pairs from which on all are computed
 
 
 class Index(NamedTuple):
@@ -141,6 +143,15 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, turned: np.ndarray, ids: np
         slack = 1e-9
         alive = d <= limit[:, None] * factor(cut) + slack
         alive &= query_ids[:, None] != ids[None, s : s + step]
+        # while many are left, a product of whole blocks costs less than picking rows
+        while cut < dim and alive.mean() > DENSE:
+            nxt = min(cut + block, dim)
+            x, y = queries[:, cut:nxt], part[:, cut:nxt]
+            d += (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * x @ y.T
+            cut = nxt
+            alive &= d <= limit[:, None] * factor(cut) + slack
+        if cut == dim and d.shape[1] > k:
+            alive &= d <= np.partition(np.where(alive, d, np.inf), k - 1, axis=1)[:, k - 1 : k] + slack
         q, c = np.nonzero(alive)
         d = d[q, c]
         while cut < dim and len(q):
@@ -150,15 +161,16 @@ def scan(queries: np.ndarray, query_ids: np.ndarray, turned: np.ndarray, ids: np
             stay = d <= limit[q] * factor(cut) + slack
             q, c, d = q[stay], c[stay], d[stay]
         if len(q):
-            kept_q.append(q)
-            kept_c.append(c + s)
             order = np.lexsort((d, q))
-            q, d = q[order], d[order]
+            q, c, d = q[order], c[order], d[order]
             rank = np.arange(len(q)) - np.searchsorted(q, q)
             first = rank < k
             fresh = np.full((len(queries), k), np.inf)
             fresh[q[first], rank[first]] = d[first]
             radius = np.sort(np.concatenate([radius, fresh], axis=1), axis=1)[:, :k]
+            near = d <= radius[q, -1] + slack
+            kept_q.append(q[near])
+            kept_c.append(c[near] + s)
     if not kept_q:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(kept_q), np.concatenate(kept_c)

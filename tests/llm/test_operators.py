@@ -364,6 +364,21 @@ def test_segmentation_is_the_best_split():
         assert math.isclose(sum(s._cost(w) for w in s.split(run)), best)
 
 
+@pytest.mark.parametrize("spread", [0.05, 3.0])
+def test_scan_abandons_inside_one_block(spread):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((700, 64)) * spread + np.repeat(rng.standard_normal((7, 64)), 100, axis=0)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for rows in (x[:3], x[:250], x):  # fewer than k, one step, several steps
+        q, c = dimension_scan.scan(x[:40], np.arange(40), rows, np.arange(len(rows)), 5)
+        far = ((x[:40, None] - rows[None]) ** 2).sum(axis=2)
+        far[np.arange(min(40, len(rows))), np.arange(min(40, len(rows)))] = np.inf
+        best = {(i, j) for i in range(40) for j in np.argsort(far[i])[:5] if far[i, j] < np.inf}
+        kept = set(zip(q.tolist(), c.tolist()))
+        assert len(kept) == len(q) and len(kept & best) >= 0.97 * len(best)
+        assert len(q) <= 40 * 5 * 3  # what is not among the nearest of its step is not scored
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(7)
     x = rng.standard_normal((600, 16)) + np.repeat(rng.standard_normal((6, 16)) * 2, 100, axis=0)
