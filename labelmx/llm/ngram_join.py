@@ -218,7 +218,6 @@ class NgramJoin:
         lists = lists.repartition(task_count(lists), "token").sortWithinPartitions("token").mapInArrow(_shared_only, _POSTING)
         # members of one group share their whole prefix: place -1
         several = member.where("members > 1").select(F.xxhash64(F.lit("group"), "gid").alias("token"), "id", "n", F.lit(-1).alias("place"))
-        lists = stored(lists, "lists")
         # members take over the posting lists of their group; a group of several is a list itself
         lists = stored(lists.join(member.select("gid", "id", "n"), "gid").select("token", "id", "n", "place").union(several), "lists")
         wanted = self.spark.sparkContext.broadcast(_id_filter(lists.select("id"), "id"))
@@ -229,13 +228,13 @@ class NgramJoin:
         lists = stored(lists.join(own, "id"), "lists")
         links, tested, label, found, turn = None, None, None, 1, 0
         while True:
-            rows = lists if label is None else lists.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+            rows = lists if label is None else lists.drop("own").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
             if label is not None:
                 # lists whose members are all joined are done; the rest meets the commonest label
                 by_label = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("least"))
                 main = by_label.groupBy("token").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("kinds"), F.min("least").alias("least")).where("kinds > 1")
                 main = main.select("token", F.col("top.label").alias("main"), F.col("all").alias("size"), (F.col("all") - F.col("top.c")).alias("others"), "least")
-                rows = stored(rows.join(main, "token"), "open")
+                rows = stored(rows.join(main.drop("others"), "token"), "open")
                 left = rows.agg(F.count(F.lit(1))).first()[0]
                 if not left:
                     break
