@@ -18,8 +18,8 @@ further pair. This repeats with other hubs while it finds links and the pairs
 left would be many; then the pairs of one list that are still in different
 components are verified, so no link that could join components is lost. Of these
 only pairs meet whose shared shingle comes early enough in both sets for their two
-sizes, which sorts members out before they meet, so a list of many sets that are
-not alike does not grow to the square of its length.
+sizes, which sorts most members out before they meet. Members within that bound
+that are not alike still meet in pairs.
 
 The order comes from a table of 2**20 counters filled from all shingles of all
 documents; which counters a shingle shares only affects speed, never results.
